@@ -1 +1,173 @@
-QUERIES={};ORACLES={}
+"""Byte-level BPE by forced-boundary splitting.
+
+A pair of bytes that lies inside no token of the vocabulary can never be merged across, so a cut
+between the two is certain: what is left of it and what is right of it are merged independently. The
+table of such pairs comes from the vocabulary alone. A text is cut, about every 2 KB, where white space
+follows another byte and that pair is forced; the pre-tokenizer starts a new piece there whatever
+stands around it (or, after other Unicode white space, groups pieces differently but only across the
+forced pair), so fragments are pre-tokenized by themselves. Where no such place comes up for 4 KB, the
+pre-tokenizer's pieces are cut at every forced pair, which keeps very long pieces short. Each
+fragment's merges are the public rank file's; the ids of the fragments are concatenated.
+
+``encode`` adds ``ids`` (token ids as little-endian unsigned 32-bit integers) and ``n_tokens``;
+``decode`` turns ids back to text. Both are row-local: no shuffle, memory bounded by an Arrow batch.
+
+Defined cases: a null text is empty and has no tokens; the vocabulary's special token's string in a
+text is one special token, as the tokenizers library has it by default; bytes that aren't valid UTF-8
+after decoding become U+FFFD; other columns pass through, ``ids`` and ``n_tokens`` are replaced; an
+empty table stays empty.
+"""
+
+from __future__ import annotations
+
+import base64
+import functools
+import re
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skein.llm.common import read_table, ship
+
+#: The pre-tokenizer's pattern and the special token of the public vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPECIAL = {"<|endoftext|>": 50256}
+#: A fragment ends at the first certain cut after so many bytes.
+FRAGMENT = 2048
+SPACE = b" \t\n\r\x0b\x0c"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+class ForcedBoundaryBpe:
+    """A vocabulary of (token bytes, rank) with its table of forced pairs."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, special: dict[str, int] | None = None, fragment: int = FRAGMENT):
+        import regex
+        import tiktoken
+
+        self.fragment = fragment
+        self.special = dict(SPECIAL if special is None else special)
+        self.merger = tiktoken.Encoding("fragments", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(pattern)
+        inside = np.zeros((256, 256), bool)
+        for token in ranks:
+            if len(token) > 1:
+                codes = np.frombuffer(token, np.uint8)
+                inside[codes[:-1], codes[1:]] = True
+        #: forced[a, b]: no token holds byte b right after byte a.
+        self.forced = ~inside
+        self.tokens: list[bytes] = [b""] * (max([*ranks.values(), *self.special.values()], default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        for text, rank in self.special.items():
+            self.tokens[rank] = text.encode()
+        # cut before white space that follows any other byte, where no token holds that pair
+        unforced = bytes(b for b in range(256) if b not in SPACE and not all(self.forced[b, x] for x in SPACE))
+        space, before = re.escape(SPACE), re.escape(SPACE + unforced)
+        self.fragments = re.compile(rb"(?s:.{%d}.*?[^%s](?=[%s])|.+)" % (fragment, before, space)).findall
+        self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+
+    def forced_parts(self, piece: bytes) -> list[bytes]:
+        """A pre-tokenizer's piece, cut at every forced pair."""
+        codes = np.frombuffer(piece, np.uint8)
+        at = (np.flatnonzero(self.forced[codes[:-1], codes[1:]]) + 1).tolist()
+        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
+
+    def fragment_ids(self, fragment: bytes) -> list[int]:
+        """Ids of one fragment, from nothing but itself."""
+        text = fragment.decode()
+        if len(fragment) <= 2 * self.fragment:
+            return self.merger.encode_ordinary(text)
+        out: list[int] = []  # white space is rare here, so pieces may be long
+        for piece in self.pieces.finditer(text):
+            for part in self.forced_parts(piece[0].encode()):
+                out += self.merger._encode_single_piece(part)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if self.special_split and any(s in text for s in self.special):
+            parts = enumerate(self.special_split(text))
+            return b"".join(_packed([self.special[x]]) if k % 2 else self._ordinary(x) for k, x in parts)
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
+        return b"".join([_packed(self.fragment_ids(x)) for x in self.fragments(text.encode())])
+
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+@functools.cache
+def load(path: str) -> ForcedBoundaryBpe:
+    """The vocabulary of a rank file (base64 token, rank), once for each worker."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    return ForcedBoundaryBpe(ranks)
+
+
+def _mapped(df: DataFrame, fields: list[T.StructField], column: str, make) -> DataFrame:
+    names = {f.name for f in fields}
+    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
+    rest = [f.name for f in df.schema.fields if f.name not in names]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, max(batch.num_rows, 1), 1000):  # whole texts, few at a time
+                part = batch.slice(start, 1000)
+                new = make(part.column(part.schema.get_field_index(column)))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in rest] + new, names=rest + [f.name for f in fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """df with ``ids`` (binary) and ``n_tokens`` (long)."""
+    ship(df.sparkSession)
+    where = path or vocabulary_path()
+
+    def make(column):
+        bpe = load(where)
+        ids = [bpe.encode(t.as_py() or "") for t in column]
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+
+    return _mapped(df, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], text, make)
+
+
+def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """df with ``decoded``, the text that the ids stand for."""
+    ship(df.sparkSession)
+    where = path or vocabulary_path()
+
+    def make(column):
+        bpe = load(where)
+        return [pa.array([bpe.decode(x.as_py() or b"") for x in column], pa.string())]
+
+    return _mapped(df, [T.StructField("decoded", T.StringType())], ids, make)
+
+
+def digest(df: DataFrame) -> DataFrame:
+    """The contract's columns of rows with ids, n_tokens and decoded."""
+    return df.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(decode(encode(docs).select("doc_id", "ids", "n_tokens")))
+
+
+QUERIES = {"op3_forced_boundary_bpe": op3_forced_boundary_bpe}
+#: SQL can't merge by rank; the tests hold it against the tokenizers library.
+ORACLES: dict[str, str] = {}
