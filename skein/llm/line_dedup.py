@@ -1 +1,107 @@
-QUERIES={};ORACLES={}
+"""Line dedup over the whole corpus, in DataFrame operations only.
+
+Lines become 128-bit hashes of their keys. (hash, document, position) rows are range-partitioned and
+sorted by hash, then document, then position, so that in each range the first row of a hash is its
+first occurrence; the ranges' first and last documents of a hash meet in one aggregation, to which a
+range sends a row for each hash. A line that a third of the documents hold is spread over many ranges,
+as document and position belong to the range key. Hashes found in two documents or more are joined
+back to their later occurrences, and each document gets its runs of kept and dropped lines: a
+run-length bitmap, not text. ``apply_bitmaps`` cuts the texts where that is wanted.
+
+A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z in lower case. Keys
+of at least ``min_chars`` code points found in two documents or more stay only in the smallest doc_id
+that holds them (there, every time).
+
+Defined cases: a null or empty text is one empty line; rows with equal doc_id are one document; a null
+doc_id counts as the largest long integer, so other documents keep the line; repeated rows lose
+the same lines; other columns pass through ``drop_lines``; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm.common import read_table
+
+MIN_CHARS = 10
+STRIPPED = " \t\n\x0b\x0c\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LAST_ID = 2**63 - 1
+
+
+def _lines(text: str = "text") -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+
+
+def _document() -> tuple[Column, Column]:
+    """A document's id for comparisons, and what tells texts of one id apart."""
+    return F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
+
+
+def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row (h1, h2, doc, text_hash, pos) for each line whose key is long enough."""
+    lines = docs.select(*_document(), F.posexplode(_lines()).alias("pos", "line"))
+    key = F.translate(F.btrim("line", F.lit(STRIPPED)), UPPER, LOWER)
+    keyed = lines.select("doc", "text_hash", "pos", key.alias("key")).filter(F.char_length("key") >= min_chars)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "text_hash", "pos")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, text_hash, n_dropped, runs) of documents that lose lines; runs: alternating numbers of lines to keep and to drop."""
+    order = ["h1", "h2", "doc", "pos"]
+    ranged = line_occurrences(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    firsts = ranged.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    repeated = firsts.filter(F.col("first_doc") < F.col("last_doc")).select("h1", "h2", "first_doc")
+    later = ranged.join(repeated, ["h1", "h2"]).filter(F.col("doc") > F.col("first_doc"))
+    dropped = later.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # as many as a document has lines
+    at = F.col("at")
+    starts = F.filter("at", lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
+    ends = F.filter("at", lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1))
+    runs = dropped.select("doc", "text_hash", F.size("at").cast("long").alias("n_dropped"), starts.alias("starts"), ends.alias("ends"))
+    begin, end = F.col("starts"), F.col("ends")
+    pair = F.transform("starts", lambda x, i: F.struct((x - F.coalesce(F.when(i > 0, F.get(end, i - 1) + 1), F.lit(0))).alias("keep"), (F.get(end, i) - F.get(begin, i) + 1).alias("drop")))
+    return runs.select("doc", "text_hash", "n_dropped", pair.alias("runs"))
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text."""
+    doc, text_hash = _document()
+    rows = docs.withColumns({"_doc": doc, "_hash": text_hash})
+    found = bitmaps.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("runs").alias("_runs"))
+    joined = rows.join(found, ["_doc", "_hash"], "left")
+    mask = F.flatten(F.transform("_runs", lambda r: F.concat(F.array_repeat(F.lit(True), r["keep"]), F.array_repeat(F.lit(False), r["drop"]))))
+    # in an array of one, so that the mask is made once for each text
+    cut = F.transform(F.array(mask), lambda m: F.array_join(F.filter(_lines(), lambda _, i: F.coalesce(F.get(m, i), F.lit(True))), "\n"))
+    return joined.select(
+        *docs.columns,
+        F.size(_lines()).cast("long").alias("n_lines"),
+        F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_runs").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.get(cut, 0)).alias("kept_text"),
+    )
+
+
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the text that is left, under the same columns."""
+    done = apply_bitmaps(docs, keep_bitmaps(docs, min_chars))
+    return done.select(*[F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
+def op7_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = apply_bitmaps(docs, keep_bitmaps(docs))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+k AS (SELECT doc_id, pos, line,
+  translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first_doc FROM k),
+j AS (SELECT *, length(key) >= {MIN_CHARS} AND doc_id > first_doc AS gone FROM f)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+QUERIES = {"op7_line_bitmaps": op7_line_bitmaps}
+ORACLES = {"op7_line_bitmaps": SQL}
