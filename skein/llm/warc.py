@@ -9,8 +9,8 @@ Of the records with equal payloads of at least ``revisit_from`` bytes, the one w
 page_id is a response; the others are revisits that refer to it. Smaller ones are all responses.
 
 Plan: the digest is taken in the scan. Only (digest, page_id) pairs are aggregated, with partial sums,
-so a payload that a third of the pages share is one row per task. Payload bytes move once, keyed by
-page_id, which no payload can make hot; reading back is an equi-join that adaptive execution can split.
+so a payload that a third of the pages share is one row per task; so are payload bytes, which move once
+by digest. Reading back is an equi-join that adaptive execution can split.
 
 Defined cases: a null html is an empty payload; a null page_id or url is an absent header field and
 sorts after all others (a revisit of a payload that only null ids hold has no refers_to); repeated
@@ -63,10 +63,8 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM)
     known = known.withColumn("refers_to", F.when(~is_first, F.col("first_id")))
     known.select("page_id", "digest", F.encode(_header(), "UTF-8").alias("header")).write.parquet(f"{path}/headers")
 
-    # the bytes of a digest come from its first page; rows repeated with that id collapse on the digest
-    keeper = first.select(F.col("first_id").alias("page_id"), F.col("digest").alias("wanted"))
-    stored = rows.join(keeper, rows.page_id.eqNullSafe(keeper.page_id) & (rows.digest == keeper.wanted), "left_semi")
-    stored.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # equal digests have equal bytes: a task sends one payload for each, and the bytes move once
+    rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
