@@ -1 +1,189 @@
-QUERIES={};ORACLES={}
+"""SimHash near-dedup: exact comparison of 64-bit fingerprints in tiles, with numpy.
+
+A text's fingerprint has a bit set where over half of its shingles' hashes have it. Equal fingerprints
+are one row from then on. Tiles are made of fingerprints that agree on 3 of 6 blocks of bits, in
+order of population count: two fingerprints that differ in at most 3 bits agree on at least 3 blocks,
+so tiles with other block values need no comparison, and every pair within the radius meets in some
+tile. Inside, sub-tiles are compared by exclusive-or and bit counts, and a pair of sub-tiles is skipped
+where population counts alone differ beyond the radius. A block value that more than TILE
+fingerprints share is split by population count and hash into several tiles, and tile pairs within the
+radius are dealt out; so no group lies in one task, and nothing is capped. A tile gives a spanning
+forest of its links, not all pairs; components come from components.py.
+
+Defined cases: a null or empty text, or one of white space, has the fingerprint zero, which links
+like any other; fewer words than ``size`` are one shingle; a null doc_id takes part, and a component's
+id is the smallest id that isn't null; repeated rows have equal results; other columns pass
+through ``one_of_each``; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations, repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm.common import read_table, ship, written
+from skein.llm.components import components
+
+SHINGLE = 3
+RADIUS = 3
+SEED = 42
+TILE = 4096
+SUB_TILE = 256
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return 0
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 8192):
+        part = hashes[start : start + 8192]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, fp) by row; fp is the fingerprint as a signed long."""
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            prints = [fingerprint(t.as_py() or "", size) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+
+
+def _masks(radius: int) -> list[int]:
+    """Bits of 64 in radius + 3 blocks; each choice of 3 of them, as a signed mask."""
+    edges = np.linspace(0, 64, radius + 4).round().astype(int)
+    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(x) for x in combinations(blocks, 3)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def forest(prints: np.ndarray, counts: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between prints, which are in order of their population counts."""
+    parent = np.arange(len(prints))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i in range(0, len(prints), SUB_TILE):
+        left, high = prints[i : i + SUB_TILE], counts[min(i + SUB_TILE, len(prints)) - 1]
+        for j in range(i, len(prints), SUB_TILE):
+            if counts[j] - high > radius:
+                break  # all further sub-tiles are beyond the radius
+            near = np.bitwise_count(left[:, None] ^ prints[None, j : j + SUB_TILE]) <= radius
+            for a, b in zip(*np.nonzero(np.triu(near, 1) if i == j else near), strict=True):
+                ra, rb = find(i + int(a)), find(j + int(b))
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+                    out.append((i + int(a), j + int(b)))
+    return out
+
+
+def _compare(radius: int):
+    """Links of rows that come sorted by (tile key, population count): columns k1, k2, k3, fp."""
+
+    def links(keys: np.ndarray, prints: np.ndarray):
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        sizes = np.diff(np.r_[starts, len(keys)])
+        two = starts[sizes == 2]
+        near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
+        a, b = [prints[near]], [prints[near + 1]]
+        for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            own = prints[start : start + size]
+            if found := forest(own, np.bitwise_count(own).astype(np.int64), radius):
+                pairs = np.array(found)
+                a.append(own[pairs[:, 0]])
+                b.append(own[pairs[:, 1]])
+        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        keys, prints = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+        for batch in batches:
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            keys = np.concatenate([keys, np.stack(columns[:3], axis=1)])
+            prints = np.concatenate([prints, columns[3].view(np.uint64)])
+            if not len(keys):
+                continue
+            whole = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys[0] != keys[-1]).any() else 0
+            if whole:  # the last key's rows may go on in the next batch
+                yield links(keys[:whole], prints[:whole])
+                keys, prints = keys[whole:], prints[whole:]
+        if len(keys):
+            yield links(keys, prints)
+
+    return run
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b): links among the distinct fingerprints of column fp that connect all that are within the radius."""
+    ship(prints.sparkSession)
+    tables = F.array(*[F.struct(F.lit(k).cast("long").alias("k1"), F.col("fp").bitwiseAND(F.lit(m)).alias("k2")) for k, m in enumerate(_masks(radius))])
+    keyed = prints.select(F.explode(tables).alias("k"), "fp").select("k.k1", "k.k2", "fp", F.bit_count("fp").alias("pop"))
+    sizes = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    # only keys that two fingerprints share go on
+    shared = written(sizes.filter("n > 1"), "tiles")
+    rows = keyed.join(shared, ["k1", "k2"])
+    parts = F.ceil(F.col("n") / F.lit(tile))
+    part = F.pmod(F.xxhash64("fp"), parts)
+    small = rows.filter(F.col("n") <= tile).select("k1", "k2", F.lit(0).cast("long").alias("k3"), "fp", "pop")
+    # a large one: the row's own (population count, part) against all parts of the counts within the radius
+    own = F.col("pop") * parts + part
+    other = F.explode(F.sequence((F.col("pop") - radius) * parts, (F.col("pop") + radius + 1) * parts - 1))
+    large = rows.filter(F.col("n") > tile).select("k1", "k2", "fp", "pop", own.alias("own"), other.alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    large = large.select("k1", "k2", (F.shiftleft(low + F.lit(1 << 28), 32) + high).alias("k3"), "fp", "pop")
+    keys = ["k1", "k2", "k3"]
+    dealt = small.union(large).repartition(*keys).sortWithinPartitions(*keys, "pop", "fp")
+    return dealt.select(*keys, "fp").mapInArrow(_compare(radius), "a long, b long")
+
+
+def grouped(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) by row; root is a fingerprint of the row's component."""
+    rows = written(fingerprints(docs, size), "fingerprints")
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = written(components(links(prints.select("fp"), radius, tile)), "roots")
+    rooted = prints.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    return rows.join(classes, "fp")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each component: the smallest doc_id (an id beats null), then the smallest hash of its text."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keepers = grouped(docs, size, radius).groupBy("root").agg(F.min(rank).alias("r"))
+    keepers = written(keepers.select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id"), F.col("r.text_hash").alias("hash")).distinct(), "keepers")
+    keys = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+    held = docs.select(*[c.alias(f"_{k}") for k, c in keys.items()], F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    kept = held.join(keepers.select(*[F.col(k).alias(f"_{k}") for k in keys]), [f"_{k}" for k in keys], "left_semi")
+    return kept.dropDuplicates([f"_{k}" for k in keys]).select("_row.*")
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = grouped(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op9_simhash_components": op9_simhash_components}
+#: SQL here has no XXH64; the tests compare all pairs by brute force.
+ORACLES: dict[str, str] = {}
