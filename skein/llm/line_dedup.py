@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read_table
+from skein.llm.common import read_table, written
 
 MIN_CHARS = 10
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -50,7 +50,8 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, text_hash, n_dropped, runs) of documents that lose lines; runs: alternating numbers of lines to keep and to drop."""
     order = ["h1", "h2", "doc", "pos"]
-    ranged = line_occurrences(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    narrow = written(line_occurrences(docs, min_chars), "lines")  # texts are split once; ranges are drawn from hashes
+    ranged = written(narrow.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
     firsts = ranged.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
     repeated = firsts.filter(F.col("first_doc") < F.col("last_doc")).select("h1", "h2", "first_doc")
     later = ranged.join(repeated, ["h1", "h2"]).filter(F.col("doc") > F.col("first_doc"))
