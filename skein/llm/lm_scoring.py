@@ -11,9 +11,9 @@ target.
 
 with c(v) the number of times v starts a pair. A text's first word is scored by P1.
 
-Plan: each task counts whole texts into arrays and sends its buckets that aren't zero, which are summed
-by bucket; labels meet documents in an equi-join on doc_id. The model has PAIR_BUCKETS + WORD_BUCKETS
-rows at most, whatever the input (a proven bound of 30 MB), and goes to the tasks as a broadcast.
+Plan: each task counts whole texts into arrays and sends them in chunks, which are summed by chunk;
+labels meet documents in an equi-join on doc_id. The models are 2 * BUCKETS numbers, whatever the
+input (a proven bound of 26 MB), and go to the tasks as a broadcast.
 
 Defined cases: words are maximal runs other than [\\x20\\x09-\\x0D], with A-Z in lower case; a null or
 empty text, or one of white space, has no words and a null score; a doc_id counts as target if any of
@@ -33,6 +33,11 @@ from skein.llm.common import read_table, ship, written
 
 WORD_BUCKETS = 1 << 18
 PAIR_BUCKETS = 1 << 20
+#: One array holds words, pairs and words that start a pair; it moves in chunks.
+PAIRS_AT = WORD_BUCKETS
+STARTS_AT = WORD_BUCKETS + PAIR_BUCKETS
+BUCKETS = 2 * WORD_BUCKETS + PAIR_BUCKETS
+CHUNK = 1 << 13
 ALPHA, MU = 0.1, 50.0
 #: Words whose hash a worker keeps; it starts anew beyond.
 KEPT_WORDS = 200_000
@@ -68,12 +73,11 @@ def buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
-    """(kind, bucket, total, target) of rows with text and is_target. kind 0: words, 1: pairs, 2: words that start a pair."""
+    """(chunk, total, target): counts of CHUNK buckets in turn, as unsigned 64-bit integers, of rows with text and is_target."""
     ship(rows.sparkSession)
-    sizes = (WORD_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS)
 
     def count(batches):
-        sums = [[np.zeros(n, np.int64) for n in sizes] for _ in range(2)]
+        sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             good = batch.column(batch.schema.get_field_index("is_target"))
             parts: tuple[list, list] = ([], [])
@@ -81,25 +85,32 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                 words, pairs = buckets(word_hashes(text.as_py() or ""))
                 if len(words):
                     for to in parts[: 2 if target else 1]:
-                        to.append((words, pairs, words[:-1]))
+                        to += [words, PAIRS_AT + pairs, STARTS_AT + words[:-1]]
             for which, found in enumerate(parts):
-                for kind in range(3 if found else 0):
-                    sums[which][kind] += np.bincount(np.concatenate([x[kind] for x in found]), minlength=sizes[kind])
-        for kind in range(3):
-            at = np.flatnonzero(sums[0][kind])
-            for start in range(0, len(at), 100_000):
-                own = at[start : start + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int32)), pa.array(sums[0][kind][own]), pa.array(sums[1][kind][own])], names=["kind", "bucket", "total", "target"])
+                if found:
+                    sums[which] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        if sums.any():
+            for k, chunk in enumerate(np.split(sums, BUCKETS // CHUNK, axis=1)):
+                if chunk.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in chunk)], names=["chunk", "total", "target"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[k] = held.get(k, 0) + np.stack([np.frombuffer(x, np.int64) for x in both])
+        for k, sums in held.items():  # at most as many as there are chunks
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)], names=["chunk", "total", "target"])
 
-    counted = rows.select("text", "is_target").mapInArrow(count, "kind int, bucket int, total long, target long")
-    return counted.groupBy("kind", "bucket").agg(F.sum("total").alias("total"), F.sum("target").alias("target"))
+    kind = "chunk int, total binary, target binary"
+    return rows.select("text", "is_target").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind)
 
 
 class Model:
     """Log probabilities by bucket, from counts over the shared vocabulary."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, starts: np.ndarray):
-        self.words, self.pairs, self.starts = words, pairs, starts
+    def __init__(self, counts: np.ndarray):
+        words, self.pairs, self.starts = np.split(counts, [PAIRS_AT, STARTS_AT])
         self.p1 = (words + ALPHA) / (words.sum() + ALPHA * len(words))
 
     def log_probabilities(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -108,13 +119,12 @@ class Model:
         return np.log(out)
 
 
-def load_models(counts: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Background and target counts as arrays: as many rows as there are buckets at most."""
-    tables = [[np.zeros(n) for n in (WORD_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS)] for _ in range(2)]
-    for kind in range(3):
-        part = counts.filter(F.col("kind") == kind).select("bucket", "total", "target").toArrow()
-        at = part.column("bucket").to_numpy()
-        tables[0][kind][at], tables[1][kind][at] = part.column("total").to_numpy(), part.column("target").to_numpy()
+def load_models(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Background and target counts: BUCKETS numbers each, whatever the input."""
+    tables = np.zeros((2, BUCKETS))
+    for row in counts.toLocalIterator():
+        at = slice(row["chunk"] * CHUNK, (row["chunk"] + 1) * CHUNK)
+        tables[:, at] = np.frombuffer(row["total"], np.int64), np.frombuffer(row["target"], np.int64)
     return tables[0], tables[1]
 
 
@@ -122,14 +132,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with n_words, target_loss, background_loss (per word, in nats) and score, their difference."""
     spark = docs.sparkSession
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # by shuffle at every size: labels grow with the documents
+    rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     sent = spark.sparkContext.broadcast(load_models(written(count_ngrams(rows), "ngrams")))
     added = ["n_words", "target_loss", "background_loss", "score"]
     rest = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType(rest + [T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in added[1:])])
 
     def run(batches):
-        background, target = (Model(*x) for x in sent.value)
+        background, target = (Model(x) for x in sent.value)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(batch.schema.get_field_index("text")):
