@@ -43,25 +43,30 @@ def _repeat_words(hashes: Column) -> Column:
     return F.get(F.transform(F.transform(F.array(ranked), again), covered), 0)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: filters and later columns that use it are not merged into it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """docs with host, the counts and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     words, n = F.col("_words"), F.size("_words")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    with_lines = split.withColumns({"_hashes": windows, "_lines": F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))})
     hashes, lines = F.col("_hashes"), F.col("_lines")
-    counted = with_lines.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)),
-            "n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, f"{SYMBOLS}+", ""))).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": F.when(hashes.isNull() | (F.size(F.array_distinct(hashes)) == F.size(hashes)), F.lit(0)).otherwise(_repeat_words(hashes)).cast("long"),
-        }
+    counts = F.struct(
+        n.cast("long").alias("n_words"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, f"{SYMBOLS}+", ""))).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.when(hashes.isNull() | (F.size(F.array_distinct(hashes)) == F.size(hashes)), F.lit(0)).otherwise(_repeat_words(hashes)).cast("long").alias("n_repeat_words"),
     )
+    split = _once(docs, "_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    split = _once(split, "_lines", F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    counted = _once(_once(split, "_hashes", windows), "_counts", counts)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumns({"host": F.coalesce(F.col("source"), F.lit("")), "base_failed": failed}).drop("_words", "_hashes", "_lines")
+    out = counted.select(*docs.columns, F.coalesce(F.col("source"), F.lit("")).alias("host"), *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
+    return out.withColumn("base_failed", failed)
 
 
 def host_verdicts(featured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
