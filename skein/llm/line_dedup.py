@@ -53,7 +53,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     narrow = written(line_occurrences(docs, min_chars), "lines")  # texts are split once; ranges are drawn from hashes
     ranged = written(narrow.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
     firsts = ranged.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    repeated = firsts.filter(F.col("first_doc") < F.col("last_doc")).select("h1", "h2", "first_doc")
+    # as a table of its own, so that both sides of the join are dealt out anew and a line in very many documents can be split
+    repeated = written(firsts.filter(F.col("first_doc") < F.col("last_doc")).select("h1", "h2", "first_doc"), "repeated")
     later = ranged.join(repeated, ["h1", "h2"]).filter(F.col("doc") > F.col("first_doc"))
     dropped = later.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # as many as a document has lines
     at = F.col("at")
