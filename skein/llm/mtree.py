@@ -36,7 +36,7 @@ from skein.llm.common import read_table, ship, written
 K = 5
 SCALE = 256
 SHARD_ROWS = 16_384
-PAGE = 128
+PAGE = 256
 FANOUT = 16
 BLOCK_BYTES = 16 << 20
 SLACK = 1e-6
@@ -112,29 +112,32 @@ class Tree:
             bound, _, page, to_parent = heapq.heappop(heap)
             if bound > reach + slack:
                 break
-            some = np.flatnonzero(np.abs(to_parent - page.from_parent) - page.radii <= reach + slack) if page is not self.root else np.arange(len(page.vectors))
-            if not len(some):
-                continue
-            vectors = page.vectors[some]
+            vectors, radii, some = page.vectors, page.radii, None
+            if page is not self.root and reach < np.inf:
+                near = np.abs(to_parent - page.from_parent) - radii <= reach + slack
+                if not near.all():
+                    some = np.flatnonzero(near)
+                    if not len(some):
+                        continue
+                    vectors, radii = vectors[some], radii[some]
             if not fits:
                 vectors = vectors.astype(np.int64)
             dots = vectors @ q
             if page.kids is not None:
                 apart = np.sqrt(np.maximum(base - 2.0 * dots, 0))
-                least = np.maximum(apart - page.radii[some], 0)
+                least = np.maximum(apart - radii, 0)
                 for i in np.flatnonzero(least <= reach + slack):
                     n += 1
-                    heapq.heappush(heap, (float(least[i]), n, page.kids[some[i]], float(apart[i])))
+                    heapq.heappush(heap, (float(least[i]), n, page.kids[i if some is None else some[i]], float(apart[i])))
+                continue
+            good = np.flatnonzero(dots >= best[0][0]) if len(best) == k else np.arange(len(dots))
+            if not len(good):
                 continue
-            if len(best) == k:
-                good = np.flatnonzero(dots >= best[0][0])
-            else:
-                good = np.arange(len(dots))
             for i in good[np.argsort(-dots[good], kind="stable")]:
                 score = int(dots[i])
                 if len(best) == k and score < best[0][0]:
                     break
-                for one in page.ids[some[i]].tolist():
+                for one in page.ids[i if some is None else some[i]].tolist():
                     if one == own_id:
                         continue
                     if len(best) < k:
