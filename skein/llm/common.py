@@ -78,5 +78,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that df doesn't have yet, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """``row`` with all of df, and the columns an operator reads: whatever else df has, names can't clash."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read_table, written
+from skein.llm.common import packed, read_table, written
 
 MIN_CHARS = 10
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -67,26 +67,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text."""
-    doc, text_hash = _document()
-    rows = docs.withColumns({"_doc": doc, "_hash": text_hash})
-    found = bitmaps.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("runs").alias("_runs"))
-    joined = rows.join(found, ["_doc", "_hash"], "left")
-    mask = F.flatten(F.transform("_runs", lambda r: F.concat(F.array_repeat(F.lit(True), r["keep"]), F.array_repeat(F.lit(False), r["drop"]))))
+    """docs with n_lines, n_dropped and kept_text, in place of columns of these names."""
+    own_doc, own_hash = _document()
+    rows = packed(docs, "text", own_doc, own_hash)
+    joined = rows.join(bitmaps, ["doc", "text_hash"], "left")
+    mask = F.flatten(F.transform("runs", lambda r: F.concat(F.array_repeat(F.lit(True), r["keep"]), F.array_repeat(F.lit(False), r["drop"]))))
     # in an array of one, so that the mask is made once for each text
     cut = F.transform(F.array(mask), lambda m: F.array_join(F.filter(_lines(), lambda _, i: F.coalesce(F.get(m, i), F.lit(True))), "\n"))
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
     return joined.select(
-        *docs.columns,
+        *[F.col("row")[c].alias(c) for c in rest],
         F.size(_lines()).cast("long").alias("n_lines"),
-        F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_runs").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.get(cut, 0)).alias("kept_text"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("runs").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.get(cut, 0)).alias("kept_text"),
     )
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text that is left, under the same columns."""
-    done = apply_bitmaps(docs, keep_bitmaps(docs, min_chars))
-    return done.select(*[F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    done = apply_bitmaps(packed(docs, "doc_id", "text"), keep_bitmaps(docs, min_chars))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return done.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:

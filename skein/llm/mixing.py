@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import read_table, written
+from skein.llm.common import packed, read_table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
@@ -81,10 +81,11 @@ def raked(cells: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str,
         by_value = written(by_value, "targets")
         whole = by_value.agg(F.sum("raw")).first()[0] or 1.0
         out = out.join(by_value.select(d, (F.col("raw") / F.lit(whole)).alias(f"target_{d}")), d)
-    out = written(out.withColumn("weight", F.col("share")), "raking")
-    if few:
-        out = out.coalesce(1)
-    for _ in range(sweeps):
+    out = out.withColumn("weight", F.col("share"))
+    for k in range(sweeps):
+        if k % SWEEPS == 0:  # plans stay short
+            out = written(out, "raking")
+            out = out.coalesce(1) if few else out
         for d in DIMENSIONS:
             at = F.sum("weight").over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(at > 0, F.col("weight") * F.col(f"target_{d}") / at).otherwise(0.0))
@@ -113,7 +114,7 @@ def draw_of(seed: int = SEED) -> Column:
 
 
 def sample(docs: DataFrame, probabilities: DataFrame, topic: Column | None = None, seed: int = SEED) -> DataFrame:
-    """docs with _source, _lang, _topic, _weight, _probability and _sampled."""
+    """docs with _source, _lang, _topic, _weight, _probability and _sampled (names of their own; ``mixed`` stands any)."""
     keyed = docs.withColumns(_dims(topic_of() if topic is None else topic))
     cells = probabilities.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
     return keyed.join(cells, ["_source", "_lang", "_topic"], "left").withColumn("_sampled", draw_of(seed) < F.col("_probability"))
@@ -122,7 +123,7 @@ def sample(docs: DataFrame, probabilities: DataFrame, topic: Column | None = Non
 def mixed(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict | None = None) -> DataFrame:
     """The sampled documents, under the same columns."""
     probabilities = calibrated(raked(written(cell_tokens(docs), "cells"), temper, targets), budget)
-    return sample(docs, probabilities).filter("_sampled").select(*docs.columns)
+    return sample(packed(docs, "doc_id", "text", "source", "lang"), probabilities).filter("_sampled").select("row.*")
 
 
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

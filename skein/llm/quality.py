@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import read_table, written
+from skein.llm.common import free_names, read_table, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -49,11 +49,12 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with host, the counts and base_failed."""
+    """docs with host, the counts and base_failed, in place of columns of these names."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words, n = F.col("_words"), F.size("_words")
+    words_name, lines_name, hashes_name, counts_name = free_names(docs, "words", "lines", "hashes", "counts")
+    words, n = F.col(words_name), F.size(words_name)
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    hashes, lines = F.col("_hashes"), F.col("_lines")
+    hashes, lines = F.col(hashes_name), F.col(lines_name)
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
@@ -61,11 +62,12 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(hashes.isNull() | (F.size(F.array_distinct(hashes)) == F.size(hashes)), F.lit(0)).otherwise(_repeat_words(hashes)).cast("long").alias("n_repeat_words"),
     )
-    split = _once(docs, "_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    split = _once(split, "_lines", F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    counted = _once(_once(split, "_hashes", windows), "_counts", counts)
+    split = _once(docs, words_name, F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    split = _once(split, lines_name, F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    counted = _once(_once(split, hashes_name, windows), counts_name, counts)
+    rest = [c for c in docs.columns if c.lower() not in (*COUNTS, "host", "base_failed")]
+    out = counted.select(*rest, F.coalesce(F.col("source"), F.lit("")).alias("host"), *[F.col(counts_name)[c].alias(c) for c in COUNTS])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = counted.select(*docs.columns, F.coalesce(F.col("source"), F.lit("")).alias("host"), *[F.col(f"_counts.{c}").alias(c) for c in COUNTS])
     return out.withColumn("base_failed", failed)
 
 
@@ -92,8 +94,9 @@ def judged(featured: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents that pass, under the same columns. Counts are made twice, which costs less than moving the texts."""
-    only = features(docs)
-    return judged(only, host_verdicts(only, max_rate)).filter("kept").select(*docs.columns)
+    own = [f"c{k}" for k in range(len(docs.columns))]  # so that no column can clash with those that are added
+    only = features(docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, own, strict=True)], "text", "source"))
+    return judged(only, host_verdicts(only, max_rate)).filter("kept").select(*own).toDF(*docs.columns)
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
