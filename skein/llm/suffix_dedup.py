@@ -11,8 +11,8 @@ another - is marked. Matches never cross texts, overlaps count, and strings are
 3. Equal segments are one from then on, and wholly covered where there are two: a text that a third of the
    rows copy is one row in all that follows.
 4. Segments that share their key with different ones are gathered, by key, into shards of about
-   SHARD_BYTES. A shard's suffix array is made by induced sorting, and neighbours whose permuted
-   common prefix has ``length`` bytes mark their windows.
+   SHARD_BYTES. A shard's suffix array is made by induced sorting, with strings that all of a group's
+   windows share as one number, and neighbours whose permuted common prefix is a whole window mark it.
 5. The different segments of a key beyond SHARD_BYTES (a passage in very many texts, each with other
    text around it) are not put into one shard: their windows are hashed and counted, dealt out by hash.
    That is the exact way for the rest, not a cap.
@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import read_table, ship, written
+from skein.llm.common import free_names, read_table, ship, written
 from skein.llm.suffix_array import permuted_lcp, suffix_array
 
 LENGTH = 400
 #: A segment's key is the hash of so many bytes.
 GRAM = 128
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
+PARTS = 4
 #: Bytes that are hashed at a time; positions among them take 21 bits.
 BLOCK = 1 << 20
 LAST_ID = 2**63 - 1
@@ -82,11 +83,11 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def segments_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first byte, last byte + 1) of the segments of texts laid one after the other in at most BLOCK + length bytes; ends: theirs."""
+def segments_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(key, first byte, last byte + 1, place) of the segments of texts laid one after the other in at most BLOCK + length bytes; ends: theirs."""
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none.view(np.uint64), none, none
+        return none.view(np.uint64), none, none, none
     codes = np.frombuffer(data, np.uint8)
     hashes = _gram_hashes(codes, gram)
     tagged = ((hashes >> np.uint64(21)) << np.uint64(21)) | np.arange(len(hashes), dtype=np.uint64)
@@ -96,11 +97,11 @@ def segments_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int =
     inside = starts + length <= ends[text]
     starts, place, text = starts[inside], place[inside], text[inside]
     if not len(starts):
-        return none.view(np.uint64), none, none
+        return none.view(np.uint64), none, none, none
     new = np.r_[True, (starts[1:] != starts[:-1] + 1) | (place[1:] != place[:-1]) | (text[1:] != text[:-1])]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(starts)] - 1
-    return hashes[place[first]], starts[first], starts[last] + length
+    return hashes[place[first]], starts[first], starts[last] + length, place[first]
 
 
 def _blocks(texts: list[bytes], length: int):
@@ -125,7 +126,7 @@ def _blocks(texts: list[bytes], length: int):
 
 
 def find_segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, segment, doc, text_hash, start, size): segment is a hash of the segment's bytes."""
+    """(key, segment, doc, text_hash, start, size, place): segment is a hash of the segment's bytes, place where its key's string starts in it."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -135,7 +136,7 @@ def find_segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             docs_in, hashes_in = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [x.as_py() for x in batch.column(2)]
             for numbers, offsets, ends, data in _blocks(texts, length):
-                keys, a, b = segments_of(data, ends, length, gram)
+                keys, a, b, place = segments_of(data, ends, length, gram)
                 if not len(keys):
                     continue
                 own = np.searchsorted(ends, a, side="right")
@@ -144,12 +145,12 @@ def find_segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 digests = np.array([xxh3_64_intdigest(view[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
                 row = numbers[own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(docs_in[row]), pa.array(hashes_in[row]), pa.array(a - text_start + offsets[own]), pa.array((b - a).astype(np.int32))],
-                    names=["key", "segment", "doc", "text_hash", "start", "size"],
+                    [pa.array(keys.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(docs_in[row]), pa.array(hashes_in[row]), pa.array(a - text_start + offsets[own]), pa.array((b - a).astype(np.int32)), pa.array((place - a).astype(np.int32))],
+                    names=["key", "segment", "doc", "text_hash", "start", "size", "place"],
                 )
 
     rows = docs.select(*_document(), _bytes()).filter(F.octet_length("data") >= length)
-    return rows.mapInArrow(run, "key long, segment long, doc long, text_hash long, start long, size int")
+    return rows.mapInArrow(run, "key long, segment long, doc long, text_hash long, start long, size int, place int")
 
 
 def _document():
@@ -160,22 +161,54 @@ def _bytes():
     return F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")
 
 
-def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Of each piece, the runs of bytes that windows found elsewhere among the pieces cover."""
-    codes, ends = [], []
-    for k, piece in enumerate(pieces):  # each is closed by a number of its own, so that no match goes on into the next
-        codes += [np.frombuffer(piece, np.uint8).astype(np.int64), np.array([256 + k])]
-        ends.append((ends[-1] if ends else 0) + len(piece) + 1)
-    text, ends = np.concatenate(codes), np.array(ends)
+def repeated_windows(pieces: list[bytes], places: list[int], length: int = LENGTH, gram: int = GRAM) -> list[list[tuple[int, int]]]:
+    """Of each piece, the runs of bytes that windows found elsewhere among the pieces cover.
+
+    All windows of a piece hold the gram bytes at its place. They fall into PARTS by how far before it they
+    start; a part's windows hold a longer string, its core, and only pieces that share a core can
+    share a window of that part. In the text that is sorted a core is one number, so that just the bytes
+    around it are left.
+    """
+    width = -(-(length - gram + 1) // PARTS)
+    sharing: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    for k, (piece, place) in enumerate(zip(pieces, places, strict=True)):
+        for part in range(PARTS):
+            near, far = part * width, min((part + 1) * width - 1, length - gram)
+            low, high = max(place - far, 0), min(place - near, len(piece) - length)
+            if low <= high:
+                sharing.setdefault((part, piece[place - near : place - far + length]), []).append((k, low, high))
+    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
+    codes, own, least, core_number = [], [], [], 256
+    closing = 256 + sum(len(v) > 1 for v in sharing.values())
+    for (part, core), members in sharing.items():
+        if len(members) < 2:
+            continue
+        near = part * width
+        for k, low, high in members:
+            before, after = places[k] - near, places[k] - near + len(core)
+            piece = pieces[k]
+            # closed by a number of its own, so that no match goes on into the next
+            codes += [np.frombuffer(piece, np.uint8, before - low, low), [core_number], np.frombuffer(piece, np.uint8, high + length - after, after), [closing]]
+            own.append((k, low, high + length - after + before - low + 2, before - low))
+            least.append(length - len(core) + 1)
+            closing += 1
+        core_number += 1
+    if not own:
+        return out
+    text = np.concatenate(codes).astype(np.int64)
+    members, lows, sizes, lefts = (np.array(x) for x in zip(*own, strict=True))
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(text)) - (ends - sizes)[of]
+    windows = inside <= lefts[of]  # those that start no later than their core
     order = suffix_array(text)
     common = permuted_lcp(text, order)
     order = np.array(order)
-    long_enough = np.flatnonzero(common[order] >= length)  # ranks whose predecessor shares a window
-    marked = np.unique(np.r_[order[long_enough], order[long_enough - 1]])
-    own = np.searchsorted(ends, marked, side="right")
-    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
-    begins = np.r_[0, ends[:-1]]
-    for p, k in zip((marked - begins[own]).tolist(), own.tolist(), strict=True):
+    needed = np.where(windows, np.array(least)[of], len(text) + 1)
+    same = np.flatnonzero(common[order] >= needed[order])  # ranks whose predecessor shares a window
+    marked = np.unique(np.r_[order[same], order[same - 1]])
+    found = np.stack([members[of[marked]], lows[of[marked]] + inside[marked]], axis=1)
+    for k, p in sorted(map(tuple, found.tolist())):
         runs = out[k]
         if runs and p <= runs[-1][1]:
             runs[-1] = (runs[-1][0], p + length)
@@ -184,11 +217,11 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[list[tup
     return out
 
 
-def _covered_in_shards(pieces: DataFrame, length: int) -> DataFrame:
-    """(doc, text_hash, a, b) from rows (key, n, doc, text_hash, start, data), by suffix arrays of whole keys."""
+def _covered_in_shards(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, text_hash, a, b) from rows (key, n, doc, text_hash, start, data, place), by suffix arrays of whole keys."""
 
     def cover(rows):
-        found = repeated_windows([r[5] for r in rows], length)
+        found = repeated_windows([r[5] for r in rows], [r[6] for r in rows], length, gram)
         spans = [(r[2], r[3], r[4] + a, r[4] + b) for r, runs in zip(rows, found, strict=True) if r[1] == 1 for a, b in runs]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*spans, strict=True) if spans else ([], [], [], []))], names=["doc", "text_hash", "a", "b"])
 
@@ -206,7 +239,7 @@ def _covered_in_shards(pieces: DataFrame, length: int) -> DataFrame:
             yield cover(held)
 
     dealt = pieces.repartition("key").sortWithinPartitions("key", "segment")
-    return dealt.select("key", "n", "doc", "text_hash", "start", "data").mapInArrow(run, "doc long, text_hash long, a long, b long")
+    return dealt.select("key", "n", "doc", "text_hash", "start", "data", "place").mapInArrow(run, "doc long, text_hash long, a long, b long")
 
 
 def _covered_by_windows(pieces: DataFrame, length: int) -> DataFrame:
@@ -231,31 +264,32 @@ def _covered_by_windows(pieces: DataFrame, length: int) -> DataFrame:
 def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, text_hash, spans) of texts that hold repeated windows: an array of (a, b), which may overlap."""
     found = written(find_segments(docs, length, gram), "segments")
-    shared = found.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    # a table of its own, so that the join deals both sides out anew and a key of very many rows can be split
+    shared = written(found.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "keys")
     rows = written(found.join(shared, "key"), "shared")
-    distinct = rows.groupBy("key", "segment").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc", "text_hash", "start", "size")])
+    distinct = rows.groupBy("key", "segment").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc", "text_hash", "start", "size", "place")])
     distinct = written(distinct, "distinct")
     copies = rows.join(distinct.filter("n > 1").select("key", "segment"), ["key", "segment"], "left_semi")
     copies = copies.select("doc", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
 
     keys = distinct.groupBy("key").agg(F.count("*").alias("different"), F.sum("size").alias("bytes")).filter("different > 1")
     wanted = distinct.join(keys.select("key", "bytes"), "key")
-    wanted = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "segment", "n", "start", "size", (F.col("bytes") > SHARD_BYTES).alias("many"))).alias("wanted"))
+    wanted = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "segment", "n", "start", "size", "place", (F.col("bytes") > SHARD_BYTES).alias("many"))).alias("wanted"))
     texts = docs.select(*_document(), _bytes()).join(wanted, ["doc", "text_hash"])
-    kind = "key long, segment long, n long, start long, many boolean"
+    kind = "key long, segment long, n long, start long, place int, many boolean"
 
     def cut(batches):
         for batch in batches:
             for doc, text_hash, data, ones in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                columns = [[x[c] for x in ones] for c in ("key", "segment", "n", "start", "many")]
+                columns = [[x[c] for x in ones] for c in ("key", "segment", "n", "start", "place", "many")]
                 parts = [data[x["start"] : x["start"] + x["size"]] for x in ones]
-                arrays = [*(pa.array(v, t) for v, t in zip(columns, (pa.int64(),) * 4 + (pa.bool_(),), strict=True)), pa.array([doc] * len(ones), pa.int64()), pa.array([text_hash] * len(ones), pa.int64()), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "segment", "n", "start", "many", "doc", "text_hash", "data"])
+                arrays = [*(pa.array(v, t) for v, t in zip(columns, (pa.int64(),) * 4 + (pa.int32(), pa.bool_()), strict=True)), pa.array([doc] * len(ones), pa.int64()), pa.array([text_hash] * len(ones), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "segment", "n", "start", "place", "many", "doc", "text_hash", "data"])
 
     pieces = texts.select("doc", "text_hash", "data", "wanted").mapInArrow(cut, f"{kind}, doc long, text_hash long, data binary")
     # rows that repeat an id and text would give a segment twice
     pieces = written(pieces, "pieces")
-    spans = copies.union(_covered_in_shards(pieces.filter("not many"), length)).union(_covered_by_windows(pieces.filter("many"), length))
+    spans = copies.union(_covered_in_shards(pieces.filter("not many"), length, gram)).union(_covered_by_windows(pieces.filter("many"), length))
     return spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -272,10 +306,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with n_bytes, runs (array of (a, b), the removed bytes) and kept (the remaining bytes)."""
-    rows = docs.withColumns(dict(zip(("_doc", "_hash"), _document(), strict=True)))
-    spans = covered_spans(docs, length, gram).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, ["_doc", "_hash"], "left")
-    own = [f for f in docs.schema.fields if f.name not in ("n_bytes", "runs", "kept")]
+    doc, text_hash, found, data = free_names(docs, "doc", "text_hash", "spans", "data")
+    rows = docs.withColumns(dict(zip((doc, text_hash), _document(), strict=True)))
+    spans = covered_spans(docs.select("doc_id", "text"), length, gram).toDF(doc, text_hash, found)
+    joined = rows.join(spans, [doc, text_hash], "left")
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("n_bytes", "runs", "kept")]
     run_type = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     schema = T.StructType([*own, T.StructField("n_bytes", T.LongType()), T.StructField("runs", run_type), T.StructField("kept", T.BinaryType())])
     names = [f.name for f in own]
@@ -293,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sizes, pa.int64()), pa.array(runs, pair), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "runs", "kept"])
 
-    return joined.select(*names, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_data"), "_spans").mapInArrow(cut, schema)
+    return joined.select(*names, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias(data), found).mapInArrow(cut, schema)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
