@@ -183,6 +183,6 @@ def fallback_answer(context: Column, reason: str = "no provider") -> Column:
     """The answer without a provider: the context itself, cut at a line end after 800 characters."""
     text = F.trim(context)
     head = F.substring(text, 1, 800)
-    cut = F.concat(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, "(?s)\n[^\n]*$", "")).otherwise(head), F.lit("\n[...]"))
+    cut = F.concat(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, "\n[^\n]*\\z", "")).otherwise(head), F.lit("\n[...]"))
     shown = F.when(F.length(text) > 800, cut).otherwise(text)
     return F.when(text == "", F.lit("Nothing in the graph bears on this question.")).otherwise(F.concat(F.lit(f"From the graph ({reason}):\n\n"), shown))

@@ -50,9 +50,32 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v", "w").union(links.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
 
-def component_scope(links: DataFrame, seed_ids: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(id) of everything that a seed reaches. Each round is a join of the newest ids only, written to the
-    shared folder; a chain as long as a graph's diameter is slow, a wide graph is not."""
+def _components_in_one_task(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, component) by pointer jumping over arrays."""
+    names, at = np.unique(np.concatenate([rows.u, rows.v]), return_inverse=True)
+    u, v, label = at[: len(rows)], at[len(rows) :], np.arange(len(names))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if (new == label).all():
+            return pd.DataFrame({"id": names, "component": names[label]})
+        label = new
+
+
+def component_scope(links: DataFrame, seed_ids: DataFrame, max_rounds: int = 10_000, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id) of everything that a seed reaches. Up to one_task links the components are found in one task.
+    Beyond, each round is a join of the newest ids only, written to the shared folder; a chain as long
+    as a graph's diameter is slow, a wide graph is not."""
+    if links.count() <= one_task:
+        inside = stored(ranked_components(links, one_task), "components")
+        wanted = inside.join(seed_ids.select("id").distinct(), "id", "left_semi").select("component").distinct()
+        alone = seed_ids.select("id").distinct().join(inside.select("id"), "id", "left_anti")
+        return inside.join(wanted, "component", "left_semi").select("id").union(alone)
     pairs = stored(both_ways(links).select("u", "v"), "links")
     reached = stored(seed_ids.select("id").distinct(), "reached")
     newest = reached
@@ -169,8 +192,10 @@ def ask(nodes: DataFrame, edges: DataFrame, question: str, k: int = TOP_K) -> tu
     return found, shown, induced_edges(edges, best)
 
 
-def ranked_components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each linked id reaches, by alternating large and small stars."""
+def ranked_components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id, component): the smallest id that each linked id reaches; beyond one_task links by alternating large and small stars."""
+    if links.count() <= one_task:
+        return links.select("u", "v").withColumn("all", F.lit(True)).groupBy("all").applyInPandas(lambda rows: _components_in_one_task(rows), "id string, component string")
     at = stored(links.filter("u <> v").select("u", "v").distinct(), "stars")
     before = None
     while True:
@@ -185,8 +210,10 @@ def ranked_components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = at.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return at.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    linked = at.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    # centres, and ids whose only link is to themselves
+    others = links.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(linked, "id", "left_anti")
+    return linked.union(others.select("id", F.col("id").alias("component")))
 
 
 def neighbours(links: DataFrame) -> DataFrame:
