@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.shared import ship
+
 THRESHOLD = 0.85
 
 
@@ -27,6 +29,7 @@ def best_symbols(names: DataFrame, symbols: DataFrame, threshold: float = THRESH
 
     A ratio of t needs lengths within a factor of (2 - t) / t, so lengths are joined by equality after each
     name is put on the few lengths that can match it: no cross join, and nothing is lost."""
+    ship(names.sparkSession)
     a = names.select("name").distinct().withColumn("a", F.lower("name"))
     b = symbols.select(F.col("name").alias("symbol"), "id", "seq").withColumn("b", F.lower("symbol")).withColumn("size", F.length("b"))
     least = F.ceil(F.length("a") * F.lit(threshold) / F.lit(2 - threshold)).cast("int")

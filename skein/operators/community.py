@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators import traverse
-from skein.shared import stored
+from skein.shared import ship, stored
 
 FINE, COARSE = 0.6, 0.15
 LARGE_GRAPH = 5000
@@ -139,6 +139,7 @@ def _in_rounds(links: DataFrame, total: float, resolution: float, rounds: int =
 def partition(nodes: DataFrame, links: DataFrame, resolution: float, previous: DataFrame | None = None, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, community): numbers by size, then smallest id; with ``previous`` (id, community) a community keeps
     the number that most of its members had, where no larger one has it."""
+    ship(links.sparkSession)
     total = 2.0 * (links.agg(F.sum("w")).first()[0] or 0.0) or 1.0
     inside = traverse.ranked_components(links)
     rows = links.join(inside.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("component", F.coalesce("component", "u"))

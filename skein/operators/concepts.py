@@ -15,6 +15,7 @@ from skein.functions import fuzzy
 from skein.functions import text as X
 from skein.operators import resolve
 from skein.schemas import AMBIGUOUS, INFERRED
+from skein.shared import ship
 
 
 def backtick_mentions(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def link_concepts(concepts: DataFrame, symbols: DataFrame, already: DataFrame, p
 
     concepts: rel_path, concept_id, name, pos. already: rel_path, target of earlier references. A file's
     concepts are as many as its provider named, so a group is bounded by one file."""
-    targets = lambda df, name: df.groupBy("concept_id").agg(F.collect_set("target").alias(name))
+    ship(concepts.sparkSession)
     ordered = symbols.withColumnRenamed("id", "target")
     if prefix == "vision":
         exact = concepts.select("concept_id", "name").join(ordered.select("name", "target"), "name").select("concept_id", "target")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import fuzzy
 from skein.functions import text as X
 from skein.operators.graph import collapse_edges
-from skein.shared import stored
+from skein.shared import ship, stored
 
 ALPHA = 0.85
 TOLERANCE = 1e-6
@@ -115,6 +115,7 @@ def pagerank(links: DataFrame, ids: DataFrame, seed_ids: DataFrame, iterations:
     """(id, score): Personalized PageRank over weighted undirected links among ids; all 1.0 if it doesn't converge.
 
     A tolerance of 0 runs exactly ``iterations`` rounds."""
+    ship(links.sparkSession)
     marks = seed_ids.select("id").distinct().withColumn("seed", F.lit(True))
     # nodes without links keep their place by a link of weight 0 to themselves
     alone = ids.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("w"))
@@ -194,6 +195,7 @@ def ask(nodes: DataFrame, edges: DataFrame, question: str, k: int = TOP_K) -> tu
 
 def ranked_components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches; beyond one_task links by alternating large and small stars."""
+    ship(links.sparkSession)
     if links.count() <= one_task:
         return links.select("u", "v").withColumn("all", F.lit(True)).groupBy("all").applyInPandas(lambda rows: _components_in_one_task(rows), "id string, component string")
     at = stored(links.filter("u <> v").select("u", "v").distinct(), "stars")

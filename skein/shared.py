@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_BASES[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once a session, so that Python workers can import them anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="skein-"), f"{package.name}.zip")  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, f"{package.name}/{p.relative_to(package)}")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table: computed once, read from there by all that follows, safe if executors are lost."""
     path = shared_path(df.sparkSession, name)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein import schemas
+from skein.shared import ship
 from skein.sources import scanner
 
 
@@ -277,6 +278,7 @@ def extract(files: DataFrame, provider=None) -> DataFrame:
 
     Files that must stay local, and all files without a provider, get what can be read without one."""
 
+    ship(files.sparkSession)
     kinds = {"pos": pa.int32(), "metadata": pa.map_(pa.string(), pa.string())}
     shape = pa.schema([(f.name, kinds.get(f.name, pa.string())) for f in schemas.FACTS.fields])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.functions import text as X
+from skein.shared import ship
 
 #: Files whose bytes one task reads.
 BATCH = 64
@@ -64,6 +65,7 @@ def read_files(spark: SparkSession, root: str, extra_ignored: tuple[str, ...] =
     """All known files below root, with modality, language, force_local and reason; code first in file_seq.
 
     Ignored and sensitive folders are judged on the path below root. root must be readable by the executors."""
+    ship(spark)
     spark.dataSource.register(ProjectFiles)
     found = spark.read.format("skein_files").option("path", str(root)).option("ignore", "\n".join((*X.NOISE_DIRS, *extra_ignored))).load()
     path = F.col("rel_path")
