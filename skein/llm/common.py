@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.shared import ship  # noqa: F401
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -41,23 +40,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once a session, so that Python workers can import them anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="skein-"), f"{package.name}.zip")  # the driver serves it from here
-    with zipfile.ZipFile(archive, "w") as out:
-        for p in sorted(package.rglob("*.py")):
-            out.write(p, f"{package.name}/{p.relative_to(package)}")
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
