@@ -175,9 +175,10 @@ def collapse_edges(spark, sf_dir):
     return graph.collapse_edges(A.supply_edges(spark, sf_dir)).select("u", "v", F.round("w", 6).alias("weight"))
 
 
-@_query("edge_integrity", ", kept AS (SELECT * FROM nodes WHERE seq % 3 <> 0) SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)", True)
+@_query("edge_integrity", ", kept AS (SELECT * FROM nodes WHERE modality <> 'code') SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)", True)
 def edge_integrity(spark, sf_dir):
-    nodes = A.trade_nodes(spark, sf_dir).filter("seq % 3 <> 0")
+    """Customers and suppliers have no nodes, so their edges dangle."""
+    nodes = A.trade_nodes(spark, sf_dir).filter("modality <> 'code'")
     return graph.drop_dangling(A.trade_edges(spark, sf_dir), nodes).select("source", "target", "relation")
 
 
@@ -201,32 +202,33 @@ def node_dedup_last(spark, sf_dir):
     return graph.dedup_nodes(nodes)
 
 
-_SYMBOLS = """s AS (SELECT 'n' || o_custkey % 700 AS name, 'sym:' || o_orderkey AS id, o_orderkey AS seq FROM orders WHERE o_orderkey % 29 = 0), u AS (SELECT name, min(id) AS id FROM s GROUP BY name HAVING count(*) = 1)"""
+_SYMBOLS = """s AS (SELECT 'n' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 6 ELSE o_orderkey END AS name, 'sym:' || o_orderkey AS id, o_orderkey AS seq FROM orders), u AS (SELECT name, min(id) AS id FROM s GROUP BY name HAVING count(*) = 1)"""
 
 
 def _symbol_nodes(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "orders").filter("o_orderkey % 29 = 0")
-    return rows.select(F.concat(F.lit("sym:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit(".n"), (F.col("o_custkey") % 700).cast("string"), F.lit("()")).alias("label"), F.lit("code").alias("modality"), F.lit("x/f.py").alias("source_file"), F.col("o_orderkey").alias("seq"))
+    """Every order as a symbol; a third of them share their names with others."""
+    number = F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_orderkey") / 6)).otherwise(F.col("o_orderkey"))
+    return A.table(spark, sf_dir, "orders").select(F.concat(F.lit("sym:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit(".n"), number.cast("string"), F.lit("()")).alias("label"), F.lit("code").alias("modality"), F.lit("x/f.py").alias("source_file"), F.col("o_orderkey").alias("seq"))
 
 
-@_query("resolve_calls_unique", f"WITH {_SYMBOLS} SELECT 'sym:' || l_orderkey AS source, u.id AS target, count(*) AS n_calls FROM lineitem JOIN u ON u.name = 'n' || l_suppkey % 700 WHERE u.id <> 'sym:' || l_orderkey GROUP BY ALL")
+@_query("resolve_calls_unique", f"WITH {_SYMBOLS} SELECT 'sym:' || l_orderkey AS source, u.id AS target, count(*) AS n_calls FROM lineitem JOIN u ON u.name = 'n' || (l_orderkey + 7) WHERE u.id <> 'sym:' || l_orderkey GROUP BY ALL")
 def resolve_calls_unique(spark, sf_dir):
     rows = A.table(spark, sf_dir, "lineitem")
-    calls = rows.select(F.concat(F.lit("sym:"), F.col("l_orderkey").cast("string")).alias("caller_id"), F.concat(F.lit("n"), (F.col("l_suppkey") % 700).cast("string")).alias("callee_name"), F.lit("x/f.py").alias("source_file"), F.lit("L1").alias("line"))
+    calls = rows.select(F.concat(F.lit("sym:"), F.col("l_orderkey").cast("string")).alias("caller_id"), F.concat(F.lit("n"), (F.col("l_orderkey") + 7).cast("string")).alias("callee_name"), F.lit("x/f.py").alias("source_file"), F.lit("L1").alias("line"))
     return resolve.resolve_calls(calls, _symbol_nodes(spark, sf_dir)).groupBy("source", "target").agg(F.count("*").alias("n_calls"))
 
 
 @_query(
     "resolve_imports_tiered",
-    f"""WITH {_SYMBOLS}, i AS (SELECT c_custkey, 'file:' || c_custkey AS source, 'n' || c_custkey % 900 AS symbol, 'pkg.n' || c_custkey % 900 AS module FROM customer),
-ns AS (SELECT 'pkg.n' || s_suppkey % 90 AS module, min('file:' || s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(*) = 1)
+    f"""WITH {_SYMBOLS}, i AS (SELECT c_custkey, 'file:' || c_custkey AS source, 'n' || 10 * c_custkey AS symbol, 'pkg.n' || 10 * c_custkey AS module FROM customer),
+ns AS (SELECT 'pkg.n' || 30 * (s_suppkey - CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END) AS module, min('file:' || s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(*) = 1)
 SELECT source, coalesce(u.id, ns.id) AS target, CASE WHEN u.id IS NOT NULL THEN 'cross_file_import' ELSE 'cross_file_import_namespace' END AS context
 FROM i LEFT JOIN u ON u.name = i.symbol LEFT JOIN ns USING (module) WHERE coalesce(u.id, ns.id) IS NOT NULL AND coalesce(u.id, ns.id) <> source""",
 )
 def resolve_imports_tiered(spark, sf_dir):
     key = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    imports = A.table(spark, sf_dir, "customer").select(key("file:", F.col("c_custkey")).alias("source_id"), key("pkg.n", F.col("c_custkey") % 900).alias("module"), F.lit("imports").alias("relation"), F.lit("x/g.py").alias("source_file"), F.lit("L1").alias("line"))
-    spaces = A.table(spark, sf_dir, "supplier").select(key("pkg.n", F.col("s_suppkey") % 90).alias("namespace"), key("file:", F.col("s_suppkey")).alias("id"))
+    imports = A.table(spark, sf_dir, "customer").select(key("file:", F.col("c_custkey")).alias("source_id"), key("pkg.n", 10 * F.col("c_custkey")).alias("module"), F.lit("imports").alias("relation"), F.lit("x/g.py").alias("source_file"), F.lit("L1").alias("line"))
+    spaces = A.table(spark, sf_dir, "supplier").select(key("pkg.n", 30 * (F.col("s_suppkey") - F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0))).alias("namespace"), key("file:", F.col("s_suppkey")).alias("id"))
     return resolve.resolve_imports(imports, _symbol_nodes(spark, sf_dir), spaces).select("source", "target", "context")
 
 
@@ -255,14 +257,17 @@ def normalized_first_wins(spark, sf_dir):
 
 # incremental
 
-_TWO_BUILDS = """now AS (SELECT doc_id::VARCHAR AS rel_path, sha1(coalesce(text, '')) AS sha1 FROM documents WHERE doc_id % 10 <> 0),
-cache AS (SELECT doc_id::VARCHAR AS rel_path, sha1(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END) AS sha1 FROM documents WHERE doc_id % 11 <> 0)"""
+_TWO_BUILDS = """now AS (SELECT 'doc/' || doc_id AS rel_path, sha1(coalesce(text, '')) AS sha1 FROM documents),
+cache AS (SELECT 'doc/' || doc_id AS rel_path, sha1(coalesce(text, '') || CASE WHEN l.quality = 1 THEN '' ELSE 'x' END) AS sha1 FROM documents d JOIN labels l USING (doc_id)
+  UNION ALL SELECT 'bench/' || item_id, sha1(text) FROM benchmark)"""
 
 
 def _two_builds(spark, sf_dir):
+    """Now: the documents. Then: those with labels, another text where the quality is bad, and the benchmark's items."""
+    row = lambda prefix, key, t: (F.concat(F.lit(prefix), F.col(key).cast("string")).alias("rel_path"), F.sha1(F.encode(t, "UTF-8")).alias("sha1"))
     docs = A.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    row = lambda t: (F.col("doc_id").cast("string").alias("rel_path"), F.sha1(F.encode(t, "UTF-8")).alias("sha1"))
-    return docs.filter("doc_id % 10 <> 0").select(*row(F.col("t"))), docs.filter("doc_id % 11 <> 0").select(*row(F.concat("t", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(""))))
+    known = docs.join(A.table(spark, sf_dir, "labels"), "doc_id").select(*row("doc/", "doc_id", F.concat("t", F.when(F.col("quality") == 1, "").otherwise("x"))))
+    return docs.select(*row("doc/", "doc_id", F.col("t"))), known.union(A.table(spark, sf_dir, "benchmark").select(*row("bench/", "item_id", F.col("text"))))
 
 
 @_query("status_diff", f"WITH {_TWO_BUILDS} SELECT rel_path, CASE WHEN c.sha1 IS NULL THEN 'new' WHEN n.sha1 IS NULL THEN 'deleted' WHEN c.sha1 = n.sha1 THEN 'unchanged' ELSE 'changed' END AS state FROM now n FULL JOIN cache c USING (rel_path)")
@@ -291,10 +296,10 @@ def cache_prune(spark, sf_dir):
     return incremental.pruned(cache, now)
 
 
-@_query("cache_update", f"WITH {_TWO_BUILDS} SELECT rel_path, sha1 FROM cache JOIN now USING (rel_path, sha1) UNION ALL SELECT n.rel_path, n.sha1 FROM now n LEFT JOIN cache c USING (rel_path, sha1) WHERE c.sha1 IS NULL AND n.rel_path::BIGINT % 2 = 0 AND NOT EXISTS (SELECT 1 FROM cache c JOIN now m USING (rel_path, sha1) WHERE c.rel_path = n.rel_path)")
+@_query("cache_update", f"WITH {_TWO_BUILDS} SELECT rel_path, sha1 FROM cache JOIN now USING (rel_path, sha1) UNION ALL SELECT n.rel_path, n.sha1 FROM now n LEFT JOIN cache c USING (rel_path, sha1) WHERE c.sha1 IS NULL AND ascii(n.sha1) < 56 AND NOT EXISTS (SELECT 1 FROM cache c JOIN now m USING (rel_path, sha1) WHERE c.rel_path = n.rel_path)")
 def cache_update(spark, sf_dir):
     now, cache = _two_builds(spark, sf_dir)
-    fresh = incremental.misses(now, cache).withColumn("incomplete", F.col("rel_path").cast("long") % 2 == 1)
+    fresh = incremental.misses(now, cache).withColumn("incomplete", F.ascii("sha1") >= 56)
     return incremental.updated(cache, now, fresh)
 
 
@@ -497,10 +502,11 @@ def ask_question(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@_query("context_sentences", ", t AS (SELECT * FROM edges WHERE relation <> 'placed_by') SELECT e.source_file, e.seq, coalesce(a.modality, 'code') = 'code' AND coalesce(b.modality, 'code') = 'code' AS is_code, coalesce(a.label, e.source) || ' —' || relation || '—> ' || coalesce(b.label, e.target) AS line FROM t e LEFT JOIN (SELECT * FROM nodes WHERE seq % 5 <> 0) a ON a.id = e.source LEFT JOIN (SELECT * FROM nodes WHERE seq % 5 <> 0) b ON b.id = e.target", True)
+@_query("context_sentences", " SELECT e.source_file, e.seq, coalesce(a.modality, 'code') = 'code' AND coalesce(b.modality, 'code') = 'code' AS is_code, coalesce(a.label, e.source) || ' —' || relation || '—> ' || coalesce(b.label, e.target) AS line FROM edges e LEFT JOIN (SELECT * FROM nodes WHERE modality <> 'concept') a ON a.id = e.source LEFT JOIN (SELECT * FROM nodes WHERE modality <> 'concept') b ON b.id = e.target", True)
 def context_sentences(spark, sf_dir):
-    edges, nodes = A.trade_edges(spark, sf_dir).filter("relation <> 'placed_by'"), A.trade_nodes(spark, sf_dir).filter("seq % 5 <> 0")
-    return traverse.fact_lines(nodes, edges).select("source_file", "seq", "is_code", "line")
+    """Regions and nations have no nodes: their ids stand in for labels, and they count as code."""
+    nodes = A.trade_nodes(spark, sf_dir).filter("modality <> 'concept'")
+    return traverse.fact_lines(nodes, A.trade_edges(spark, sf_dir)).select("source_file", "seq", "is_code", "line")
 
 
 @_query("context_by_source", ", t AS (SELECT * FROM edges WHERE relation IN ('lies_in', 'sells_from')), f AS (SELECT CASE WHEN a.modality = 'code' AND b.modality = 'code' THEN '' ELSE t.source_file END AS section, t.seq, a.label || ' —' || relation || '—> ' || b.label AS line FROM t JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target) SELECT section, count(*) AS n_facts, string_agg(line, chr(10) ORDER BY seq, line) AS body FROM f GROUP BY section", True)
@@ -522,11 +528,12 @@ def degree_top5(spark, sf_dir):
     return graph.top_degrees(A.trade_nodes(spark, sf_dir), A.trade_edges(spark, sf_dir))
 
 
-@_query("degree_undirected", ", both_ways AS (SELECT source, target, seq FROM supply UNION ALL SELECT target, source, seq FROM supply WHERE seq % 2 = 0), k AS (SELECT source, target, row_number() OVER (PARTITION BY source, target ORDER BY seq) AS key FROM both_ways), o AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, key FROM k) SELECT id, count(*) AS degree FROM (SELECT a AS id FROM o UNION ALL SELECT b FROM o) GROUP BY id", True)
+@_query("degree_undirected", ", both_ways AS (SELECT source, target, seq FROM supply UNION ALL SELECT target, source, seq FROM supply WHERE confidence = 'INFERRED'), k AS (SELECT source, target, row_number() OVER (PARTITION BY source, target ORDER BY seq) AS key FROM both_ways), o AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, key FROM k) SELECT id, count(*) AS degree FROM (SELECT a AS id FROM o UNION ALL SELECT b FROM o) GROUP BY id", True)
 def degree_undirected(spark, sf_dir):
-    one = A.supply_edges(spark, sf_dir).select("source", "target", "seq")
-    back = one.filter("seq % 2 = 0").select(F.col("target").alias("source"), F.col("source").alias("target"), "seq")
-    return graph.undirected_degrees(one.union(back))
+    """Inferred edges also run back."""
+    one = A.supply_edges(spark, sf_dir)
+    back = one.filter("confidence = 'INFERRED'").select(F.col("target").alias("source"), F.col("source").alias("target"), "seq")
+    return graph.undirected_degrees(one.select("source", "target", "seq").union(back))
 
 
 @_query("modality_hist", " SELECT modality, count(*) AS n_nodes FROM nodes GROUP BY modality", True)
@@ -558,10 +565,10 @@ def community_sizes(spark, sf_dir):
     return _grouped(spark, sf_dir).groupBy(F.coalesce("community", F.lit(0)).cast("long").alias("community")).agg(F.count("*").alias("n_members"))
 
 
-@_query("warm_start_membership", "WITH p AS (SELECT 'c' || c_custkey AS id, c_custkey % 13 AS community FROM customer WHERE c_custkey % 4 <> 0), n AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 4 = 0) SELECT id, community AS start FROM p UNION ALL SELECT id, (SELECT max(community) FROM p) + row_number() OVER (ORDER BY id) FROM n")
+@_query("warm_start_membership", "WITH p AS (SELECT 'c' || c_custkey AS id, c_custkey % 13 AS community FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING') SELECT id, community AS start FROM p UNION ALL SELECT id, (SELECT max(community) FROM p) + row_number() OVER (ORDER BY id) FROM n")
 def warm_start_membership(spark, sf_dir):
-    customers = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey")
-    return community.initial_membership(customers.select("id"), customers.filter("c_custkey % 4 <> 0").select("id", (F.col("c_custkey") % 13).alias("community")))
+    customers = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey", "c_mktsegment")
+    return community.initial_membership(customers.select("id"), customers.filter("c_mktsegment <> 'BUILDING'").select("id", (F.col("c_custkey") % 13).alias("community")))
 
 
 @_query("communities_two_levels")

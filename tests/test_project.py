@@ -131,7 +131,7 @@ def test_query_equals_its_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     df = catalog.queries()[name](spark, sf_dir)
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages labels benchmark".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     columns = sorted(df.columns)
     names = ", ".join(f'"{c}"' for c in columns)
