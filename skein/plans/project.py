@@ -80,7 +80,7 @@ def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFra
 def build(spark: SparkSession, root: str, out: str, do_cluster: bool = True, provider=None) -> tuple[DataFrame, DataFrame]:
     settings.load_env(root)
     own = settings.load_settings(root)
-    provider = provider or providers.choose(force_local=False)
+    provider = provider or providers.choose(False, own.model, own.vision_model)
     name = provider.name if provider is not None else "none"
     found = read_files(spark, root, own.extra_ignore_dirs, own.extra_sensitive_dirs)
     listed = stored(found.drop("content").withColumn("provider", F.when(F.col("force_local"), "none").otherwise(F.lit(name))), "files")

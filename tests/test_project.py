@@ -119,6 +119,57 @@ def test_pdf_and_video():
     assert kinds(extract.video_facts("a.mp4", b"", Model()))[-1][1].startswith("[neither")
 
 
+def test_providers(monkeypatch):
+    from skein.sources import providers
+
+    monkeypatch.setattr(providers, "_FACTORIES", {})
+    providers.register("far", "SKEIN_FAR", lambda model, vision: ("far", model, vision))
+    providers.register("near", "SKEIN_NEAR", lambda model, vision: ("near", model, vision), local=True)
+    assert providers.choose(False) is None
+    monkeypatch.setenv("SKEIN_NEAR", "1")
+    monkeypatch.setenv("SKEIN_FAR", "1")
+    assert providers.choose(False, "m")[:2] == ("far", "m") and providers.choose(True)[0] == "near"
+
+    waits, answers = [], [providers.Busy(3), providers.Busy(5), "done"]
+
+    def call():
+        if isinstance(answers[0], Exception):
+            raise answers.pop(0)
+        return answers[0]
+
+    assert providers.patiently(call, sleep=waits.append) == "done" and waits == [3, 5]
+    answers[:] = [providers.Busy()] * 3
+    with pytest.raises(providers.Busy):
+        providers.patiently(call, sleep=waits.append)
+    assert providers.describe_image(Model(), b"", "image/png") is None
+
+    class Namer:
+        name = "n"
+
+        def link_names(self, names, candidates):
+            return {"a": "real", "b": "invented"}
+
+        def name_group(self, labels):
+            return " Payments "
+
+    assert providers.link_one(Namer(), "a", {"real": "1"}) == "real" and providers.link_one(Namer(), "b", {"real": "1"}) is None
+    assert providers.group_name(Namer(), ["x", "y"]) == "Payments" and providers.group_name(Namer(), ["x"]) is None
+
+
+def test_graph_file_round_trip_and_page(spark, tmp_path):
+    from skein.sinks import export
+
+    nodes = spark.createDataFrame([("a", "</script><b>", "code", "f", 1), ("b", "B", "document", "g", 2)], "id string, label string, modality string, source_file string, seq long")
+    edges = spark.createDataFrame([("a", "b", "calls", "EXTRACTED", "f", 1), ("a", "b", "uses", "EXTRACTED", "f", 2)], "source string, target string, relation string, confidence string, source_file string, seq long")
+    out = str(tmp_path / "graph")
+    export.export(nodes, edges, out)
+    again, links = export.from_json(spark, f"file://{out}/graph.json")
+    assert {r.id for r in again.collect()} == {"a", "b"} and {(r.key, r.relation) for r in links.collect()} == {(0, "calls"), (1, "uses")}
+    page = open(f"{out}/graph.html").read()
+    assert "</script><b>" not in page and page.count("</script>") == 3
+    assert "- code: 1" in open(f"{out}/REPORT.md").read()
+
+
 def test_document_with_provider():
     rows = extract.document_facts("a.md", "# T\r\n`f` and `g`\n", Model()).rows
     assert [r["name"] for r in rows if r["kind"] == "mention"] == ["f", "g"]
