@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators import traverse
-from skein.shared import ship, stored
+from skein.shared import numbered, ship, stored
 
 FINE, COARSE = 0.6, 0.15
 LARGE_GRAPH = 5000
@@ -30,14 +30,8 @@ def initial_membership(ids: DataFrame, previous: DataFrame) -> DataFrame:
     top = previous.agg(F.max("community")).first()[0]
     known = ids.select("id").distinct().join(previous.select("id", F.col("community").cast("long").alias("start")), "id", "left")
     old, new = known.filter("start is not null"), known.filter("start is null").select("id")
-    # numbers without one task for all: counts of ranges first
-    ranged = stored(new.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()), "new")
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
     base = (top if top is not None else -1) + 1
-    numbered = ranged.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.lit(base) + F.col("before") + F.col("place")).alias("start"))
-    return old.unionByName(numbered)
+    return old.unionByName(numbered(new, "place", "id").select("id", (F.lit(base) + F.col("place")).alias("start")))
 
 
 def move_nodes(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, total: float, resolution: float, start: np.ndarray) -> np.ndarray:
@@ -162,15 +156,14 @@ def partition(nodes: DataFrame, links: DataFrame, resolution: float, previous: D
 def _numbered(member: DataFrame, previous: DataFrame | None) -> DataFrame:
     sizes = member.groupBy("leader").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     if previous is None:
-        order = Window.orderBy(F.desc("n"), "least")  # one row for each community
-        return member.join(sizes.withColumn("community", F.row_number().over(order) - 1), "leader").select("id", F.col("community").cast("long").alias("community"))
+        return member.join(numbered(sizes, "community", F.desc("n"), "least"), "leader").select("id", F.col("community").cast("long").alias("community"))
     votes = member.join(previous.select("id", F.col("community").cast("long").alias("old")), "id").groupBy("leader", "old").agg(F.count("*").alias("votes"))
     first = F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("votes"), "old"))
     wish = votes.withColumn("place", first).filter("place = 1").select("leader", "old", "votes")
     claim = F.row_number().over(Window.partitionBy("old").orderBy(F.desc("votes"), "leader"))
     kept = wish.withColumn("place", claim).filter("place = 1").select("leader", F.col("old").alias("community"))
     top = previous.agg(F.max("community")).first()[0]
-    others = sizes.join(kept, "leader", "left_anti").withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "least")) + F.lit(top if top is not None else -1))
+    others = numbered(sizes.join(kept, "leader", "left_anti"), "place", F.desc("n"), "least").withColumn("community", F.col("place") + F.lit((top if top is not None else -1) + 1))
     numbers = kept.union(others.select("leader", F.col("community").cast("long")))
     return member.join(numbers, "leader").select("id", F.col("community").cast("long").alias("community"))
 
@@ -213,8 +206,7 @@ def representatives(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame
     # the k best of each community come by a window that keeps only k rows a task
     best = traverse.first_k(ranked, "community", k, F.desc("degree"), "seq")
     top = best.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("place", "label"))).alias("t"))
-    sizes = ranked.groupBy("community").agg(F.count("*").alias("n_members"))
-    index = (F.row_number().over(Window.orderBy("community")) - 1) % len(PALETTE)  # one row for each community
+    sizes = numbered(ranked.groupBy("community").agg(F.count("*").alias("n_members")), "index", "community")
     colors = F.array(*[F.lit(c) for c in PALETTE])
     labels = F.transform("t", lambda x: x["label"])
-    return top.join(sizes, "community").select("community", F.get(labels, 0).alias("label"), "n_members", F.get(colors, index).alias("color"), labels.alias("top_labels"))
+    return top.join(sizes, "community").select("community", F.get(labels, 0).alias("label"), "n_members", F.get(colors, (F.col("index") % len(PALETTE)).cast("int")).alias("color"), labels.alias("top_labels"))

@@ -10,7 +10,7 @@ from skein.functions import fuzzy
 from skein.functions import text as X
 from skein.operators import community, concepts, graph, incremental, resolve, traverse
 from skein.plans import adapters as A
-from skein.shared import stored
+from skein.shared import numbered, stored
 from skein.sources import extract
 from skein.streaming import ingest
 
@@ -156,15 +156,9 @@ def security_decision(spark, sf_dir):
 
 @_query("file_order", f"WITH {_PATHS} SELECT p_partkey, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM paths")
 def file_order(spark, sf_dir):
-    """Places in the order of path parts: ranges first, then a running number inside each."""
-    parts = _paths(spark, sf_dir).withColumn("parts", F.split("path", "/"))
-    ranged = stored(parts.repartitionByRange("parts").withColumn("range", F.spark_partition_id()), "ranges")
-    from pyspark.sql import Window
-
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("parts"))
-    return ranged.withColumn("own", place).join(F.broadcast(before), "range").select("p_partkey", (F.col("own") + F.col("before")).alias("place"))
+    """Places in the order of path parts."""
+    parts = numbered(_paths(spark, sf_dir).withColumn("parts", F.split("path", "/")), "place", "parts")
+    return parts.select("p_partkey", (F.col("place") + 1).alias("place"))
 
 
 # building

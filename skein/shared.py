@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _BASES: dict[str, str] = {}
 
@@ -44,3 +45,17 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df with a gapless number from 0 in the given order, without one task for all rows.
+
+    Rows are dealt into ranges and counted; a range's running number goes on from the ranges before it. Only
+    one count for each range, as many as there are shuffle partitions, is broadcast."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = ranged.withColumn("_own", own).join(F.broadcast(starts), "_range")
+    return placed.withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
