@@ -214,17 +214,31 @@ def test_removed_repeats_of_awkward_rows(awkward):
     assert Counter((r.doc_id, str(bytes(r.kept))) for r in suffix_dedup.remove_repeats(awkward).collect()) == want
 
 
-def test_texts_longer_than_a_block(spark, monkeypatch):
+def test_segments_hold_each_window_once(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     draw = np.random.default_rng(2)
-    base = "".join(draw.choice(list("abcd"), 4000))
-    rows = [(0, base), (1, base[500:2600] + "x" + base[3000:]), (2, base[:90])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = [t.encode() for _, t in rows]
-    for text, ends in ((texts[0], [4000]),):
-        assert len(ends) == 1 and len(list(suffix_dedup._blocks([text], 80))) == 6
-    done = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, 80, 24).collect()}
-    assert done == {k: x[0] for k, x in enumerate(brute_removed(texts, 80))}
+    base = bytes(draw.integers(97, 101, 4000).astype(np.uint8))
+    texts = [base, base[500:2600] + b"x" + base[3000:], base[:90], b"", base[:79], b"ab" * 400]
+    windows, keys = Counter(), defaultdict(set)
+    for numbers, offsets, ends, data in suffix_dedup._blocks(texts, 80):
+        for key, start, end, place in zip(*suffix_dedup.segments_of(data, ends, 80, 24), strict=True):
+            own = int(np.searchsorted(ends, start, side="right"))
+            first = start - (ends[own - 1] if own else 0) + offsets[own]
+            for k in range(end - start - 79):
+                windows[numbers[own], first + k] += 1
+                text = texts[numbers[own]][first + k : first + k + 80]
+                keys[text].add((int(key), int(place - start - k)))
+                assert len(text) == 80 and 0 <= place - start - k <= 56
+    assert windows == Counter((n, k) for n, t in enumerate(texts) for k in range(len(t) - 79))
+    assert all(len(v) == 1 for v in keys.values())  # equal windows have equal keys, at equal places
+
+
+def test_very_long_texts(spark):
+    draw = np.random.default_rng(3)
+    long, other = ("".join(map(chr, draw.integers(97, 123, n))) for n in (2_500_000, 5_000))
+    rows = [(1, long), (2, other + long[1_000_000:2_200_000] + other[::-1])]
+    done = {r.doc_id: [tuple(x) for x in r.runs] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert done == {1: [(1_000_000, 2_200_000)], 2: [(5_000, 1_205_000)]}
 
 
 # search
@@ -442,3 +456,11 @@ def test_scores_tell_kinds_of_text_apart(spark):
     labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(200)], "doc_id long, quality int")
     held_out = [(r.score, r.doc_id % 2) for r in lm_scoring.score(df, labels).filter("doc_id >= 200").collect()]
     assert min(s for s, k in held_out if k == 0) > max(s for s, k in held_out if k == 1)
+
+
+def test_scores_tell_good_from_bad_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rows = lm_scoring.score(docs.select("doc_id", "text"), labels.filter(half == 0)).join(labels.filter(half == 1), "doc_id").filter("score is not null").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.8
