@@ -1,7 +1,14 @@
-"""Tables in the shared folder, for steps that several later ones read and for loops whose lineage would grow."""
+"""Tables in the shared folder, for steps that several later ones read and for loops whose lineage would grow.
+
+Lineage is cut by writing a table under ``spark.checkpoint.dir`` (the folder the cluster shares) and
+reading it back, so a lost executor costs a re-read and never a wrong answer. The tables of one
+session lie in one folder, which goes when the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -14,12 +21,20 @@ from pyspark.sql import functions as F
 _BASES: dict[str, str] = {}
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table, or a session's folder, where the session is still there to do so."""
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _BASES:
         base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skein-")
-        _BASES[app] = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+        _BASES[app] = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
+        atexit.register(remove, spark, _BASES[app])
     return f"{_BASES[app]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
