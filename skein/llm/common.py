@@ -1,59 +1,14 @@
-"""Shared plumbing: tables written to the shared folder, and what every operator assumes.
-
-Lineage is cut by writing a table under ``spark.checkpoint.dir`` (the folder the cluster shares) and
-reading it back, so a lost executor costs a re-read and never a wrong answer. The tables of one
-session lie in one folder, which goes when the driver ends.
-"""
+"""What every operator of this subpackage uses: tables in the shared folder, and columns of any name."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.shared import remove as drop_path  # noqa: F401
+from skein.shared import shared_path as new_path  # noqa: F401
 from skein.shared import ship  # noqa: F401
-
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for this session's tables: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="skein-")
-        path = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
-        _FOLDERS[app] = path
-        atexit.register(_remove, spark, path)
-    return _FOLDERS[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended already
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a table that no later step reads."""
-    _remove(spark, path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, read from there by all that follows."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from skein.shared import stored as written  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
