@@ -36,20 +36,20 @@ from skein.llm.common import read_table, ship, written
 K = 5
 SCALE = 256
 SHARD_ROWS = 16_384
-PAGE = 256
-FANOUT = 16
+PAGE = 512
+FANOUT = 64
 BLOCK_BYTES = 16 << 20
 SLACK = 1e-6
 
 
 @dataclass
 class Page:
-    """A node. kids: pages of an inner node; ids: each entry's smallest ids in a leaf."""
+    """A node. kids: numbers of an inner node's pages; ids: each entry's smallest ids in a leaf."""
 
     vectors: np.ndarray
     radii: np.ndarray
     from_parent: np.ndarray
-    kids: list[Page] | None
+    kids: list[int] | None
     ids: list[np.ndarray] | None
 
 
@@ -73,18 +73,22 @@ class Tree:
         self.extra = np.sqrt(self.most - norms)
         self.top = top
         self.random = np.random.default_rng(7)
-        self.root = self._load(np.arange(len(distinct)), None)
+        self.pages: list[Page] = []  # the root is number 0
+        self._load(np.arange(len(distinct)), None)
 
     def _far(self, rows: np.ndarray, one: int) -> np.ndarray:
         """Distances of rows to one, in the metric space."""
         apart = self.vectors[rows].astype(np.float64) - self.vectors[one].astype(np.float64)
         return np.sqrt((apart**2).sum(axis=1) + (self.extra[rows] - self.extra[one]) ** 2)
 
-    def _load(self, rows: np.ndarray, parent: int | None) -> Page:
+    def _load(self, rows: np.ndarray, parent: int | None) -> int:
+        number = len(self.pages)
+        self.pages.append(Page(self.vectors[:0], np.zeros(0), np.zeros(0), None, None))
         home = (lambda x: self._far(x, parent)) if parent is not None else (lambda x: np.zeros(len(x)))
         if len(rows) <= self.page:
-            return Page(self.vectors[rows], np.zeros(len(rows)), home(rows), None, [self.ids[r] for r in rows])
-        routing = self.random.choice(rows, min(self.fanout, len(rows) // 2), replace=False)
+            self.pages[number] = Page(self.vectors[rows], np.zeros(len(rows)), home(rows), None, [self.ids[r] for r in rows])
+            return number
+        routing = self.random.choice(rows, min(self.fanout, max(2, 2 * len(rows) // self.page)), replace=False)
         apart = np.stack([self._far(rows, r) for r in routing])
         nearest = apart.argmin(axis=0)
         groups = [(r, np.flatnonzero(nearest == k), apart[k]) for k, r in enumerate(routing)]
@@ -94,61 +98,70 @@ class Tree:
             groups = [(r, g[: len(g) // 2], d), (r, g[len(g) // 2 :], d)]
         own = np.array([r for r, _, _ in groups])
         kids = [self._load(rows[g], r) for r, g, _ in groups]
-        return Page(self.vectors[own], np.array([d[g].max() for _, g, d in groups]), home(own), kids, None)
+        self.pages[number] = Page(self.vectors[own], np.array([d[g].max() for _, g, d in groups]), home(own), kids, None)
+        return number
 
-    def search(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
-        """The k best as (score, id), the smaller id first among equal scores. Counts nothing twice."""
-        if not len(self.vectors):
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query's id, id, score) of the k best for each row of queries, the smaller id first among equal scores.
+
+        Every query goes best first through its own heap; queries whose next page is the same one look at it together."""
+        if not len(self.vectors) or not len(queries):
             return []
-        fits = self.exact and float(np.abs(query).max(initial=0)) * max(self.top, 1) * max(1, len(query)) < 2**52
-        q = query.astype(np.float64) if fits else query
-        base = float((query.astype(np.float64) ** 2).sum()) + self.most
-        slack = SLACK * (1 + base**0.5)
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        reach = np.inf  # the k-th best's distance
-        heap: list[tuple[float, int, Page, float]] = [(0.0, 0, self.root, 0.0)]
-        n = 0
-        while heap:
-            bound, _, page, to_parent = heapq.heappop(heap)
-            if bound > reach + slack:
-                break
-            vectors, radii, some = page.vectors, page.radii, None
-            if page is not self.root and reach < np.inf:
-                near = np.abs(to_parent - page.from_parent) - radii <= reach + slack
-                if not near.all():
-                    some = np.flatnonzero(near)
-                    if not len(some):
-                        continue
-                    vectors, radii = vectors[some], radii[some]
-            if not fits:
-                vectors = vectors.astype(np.int64)
-            dots = vectors @ q
-            if page.kids is not None:
-                apart = np.sqrt(np.maximum(base - 2.0 * dots, 0))
-                least = np.maximum(apart - radii, 0)
-                for i in np.flatnonzero(least <= reach + slack):
-                    n += 1
-                    heapq.heappush(heap, (float(least[i]), n, page.kids[i if some is None else some[i]], float(apart[i])))
-                continue
-            good = np.flatnonzero(dots >= best[0][0]) if len(best) == k else np.arange(len(dots))
-            if not len(good):
-                continue
-            for i in good[np.argsort(-dots[good], kind="stable")]:
-                score = int(dots[i])
-                if len(best) == k and score < best[0][0]:
-                    break
-                for one in page.ids[i if some is None else some[i]].tolist():
-                    if one == own_id:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -one))
-                    elif (score, -one) > best[0]:
-                        heapq.heapreplace(best, (score, -one))
+        fits = self.exact and float(np.abs(queries).max(initial=0)) * max(self.top, 1) * max(1, queries.shape[1]) < 2**52
+        q = queries.astype(np.float64) if fits else queries
+        base = (queries.astype(np.float64) ** 2).sum(axis=1) + self.most
+        slack = SLACK * (1 + np.sqrt(base))
+        best: list[list[tuple[int, int]]] = [[] for _ in queries]  # heaps of (score, -id): the worst first
+        least = np.full(len(queries), -np.inf)  # the k-th best's score
+        reach = np.full(len(queries), np.inf)  # and distance
+        heaps = [[(0.0, 0, 0.0)] for _ in queries]  # (least distance, page, distance to the page's routing object)
+        while True:
+            waiting: dict[int, list[tuple[int, float]]] = {}
+            for i, heap in enumerate(heaps):
+                if heap:
+                    bound, page, to_parent = heapq.heappop(heap)
+                    if bound > reach[i] + slack[i]:
+                        heap.clear()  # nor can any other page of its heap hold a better one
                     else:
-                        break
-            if len(best) == k:
-                reach = max(base - 2.0 * best[0][0], 0) ** 0.5
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+                        waiting.setdefault(page, []).append((i, to_parent))
+            if not waiting:
+                break
+            for number, visitors in waiting.items():
+                page = self.pages[number]
+                rows = np.array([i for i, _ in visitors])
+                limit = reach[rows] + slack[rows]
+                # an entry that the stored distances rule out for all of them isn't computed
+                near = np.abs(page.from_parent[:, None] - np.array([d for _, d in visitors])) - page.radii[:, None] <= limit if number else np.ones((len(page.vectors), len(rows)), bool)
+                some = np.flatnonzero(near.any(axis=1))
+                if not len(some):
+                    continue
+                vectors = page.vectors if len(some) == len(page.vectors) else page.vectors[some]
+                dots = (vectors if fits else vectors.astype(np.int64)) @ q[rows].T
+                if page.kids is not None:
+                    apart = np.sqrt(np.maximum(base[rows] - 2.0 * dots, 0))
+                    bounds = np.maximum(apart - page.radii[some][:, None], 0)
+                    for e, j in zip(*np.nonzero((bounds <= limit) & near[some]), strict=True):
+                        heapq.heappush(heaps[rows[j]], (float(bounds[e, j]), page.kids[some[e]], float(apart[e, j])))
+                    continue
+                bar = least[rows]
+                if len(some) > k + 1:  # entries below the k + 1 best of the page can't be among the k best
+                    bar = np.maximum(bar, np.partition(dots, len(some) - k - 1, axis=0)[len(some) - k - 1])
+                for e, j in zip(*np.nonzero(dots >= bar), strict=True):
+                    heap, own, score = best[rows[j]], own_ids[rows[j]], int(dots[e, j])
+                    for one in page.ids[some[e]].tolist():
+                        if one == own:
+                            continue
+                        if len(heap) < k:
+                            heapq.heappush(heap, (score, -one))
+                        elif (score, -one) > heap[0]:
+                            heapq.heapreplace(heap, (score, -one))
+                        else:
+                            break
+                for i in rows.tolist():
+                    if len(best[i]) == k:
+                        least[i] = best[i][0][0]
+                        reach[i] = max(base[i] - 2.0 * least[i], 0) ** 0.5
+        return [(int(own), -i, s) for own, heap in zip(own_ids, best, strict=True) for s, i in sorted(heap, reverse=True)]
 
 
 def integer_vectors(table: DataFrame, vector: str = "embedding", id_column: str = "vec_id", scale: int = SCALE) -> DataFrame:
@@ -224,7 +237,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     if n not in sent.value:
                         continue
                     tree, (own, vectors) = pickle.loads(data.as_py()), sent.value[n]
-                    out = [(int(q), i, s) for q, v in zip(own, vectors, strict=True) for s, i in tree.search(v, int(q), k)]
+                    out = tree.search(vectors, own, k)
                     for start in range(0, len(out), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[start : start + 100_000], strict=True)], names=["query_id", "vec_id", "score"])
 

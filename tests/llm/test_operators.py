@@ -270,7 +270,7 @@ def test_tree_leaves_out_pages():
     tree = mtree.Tree(vectors, np.arange(720), 6, page=16, fanout=4)
     for q in range(0, 720, 37):
         scores = sorted((-int(vectors[k] @ vectors[q]), k) for k in range(720) if k != q)[:5]
-        assert tree.search(vectors[q], q, 5) == [(-s, k) for s, k in scores]
+        assert tree.search(vectors[q : q + 1], np.array([q]), 5) == [(q, k, -s) for s, k in scores]
 
 
 # lines
