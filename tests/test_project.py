@@ -78,6 +78,19 @@ def test_init_config_command(tmp_path):
     assert cli.main(["init-config", str(tmp_path)]) == 0 and (tmp_path / settings.FILE).exists()
 
 
+def test_commands(spark, root, tmp_path, capsys):
+    out = str(tmp_path / "out")
+    assert cli.main(["-q", "status", str(root), "--out", out]) == 0
+    assert json.loads(capsys.readouterr().out)["needs_rebuild"]
+    assert cli.main(["-q", "build", str(root), "--out", out, "--no-cluster"]) == 0
+    assert "community" not in spark.read.parquet(f"{out}/nodes").columns
+    assert cli.main(["-q", "cluster", "--out", out]) == 0
+    assert spark.read.parquet(f"{out}/nodes").filter("community is null").count() == 0
+    capsys.readouterr()
+    assert cli.main(["-q", "query", "what is Account", "--out", out]) == 0
+    assert "Account —contains—> check_password()" in capsys.readouterr().out
+
+
 def kinds(facts):
     return [(r["kind"], r.get("label")) for r in facts.rows]
 
