@@ -42,12 +42,21 @@ GRAM = 128
 SHARD_BYTES = 2 << 20
 PARTS = 4
 #: Bytes that are hashed at a time; positions among them take 21 bits.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Rows of an Arrow batch that are Python objects at a time.
+ROWS = 200
 LAST_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def few_rows(batches):
+    """The batches in slices, so that whole texts are few at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     if n not in _TABLES:
@@ -132,7 +141,7 @@ def find_segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in few_rows(batches):
             docs_in, hashes_in = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [x.as_py() for x in batch.column(2)]
             for numbers, offsets, ends, data in _blocks(texts, length):
@@ -246,7 +255,7 @@ def _covered_by_windows(pieces: DataFrame, length: int) -> DataFrame:
     """The same for keys with very many different segments: windows are hashed and counted."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             for n, doc, text_hash, start, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 at = range(len(data) - length + 1)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in at), np.int64).reshape(-1, 2)
@@ -279,7 +288,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     kind = "key long, segment long, n long, start long, place int, many boolean"
 
     def cut(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             for doc, text_hash, data, ones in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 columns = [[x[c] for x in ones] for c in ("key", "segment", "n", "start", "place", "many")]
                 parts = [data[x["start"] : x["start"] + x["size"]] for x in ones]
@@ -316,7 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     names = [f.name for f in own]
 
     def cut(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, found = batch.column(len(names)), batch.column(len(names) + 1)
             sizes, runs, kept = [], [], []
             for text, spans in zip(texts, found, strict=True):
