@@ -66,27 +66,31 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return runs.select("doc", "text_hash", "n_dropped", pair.alias("runs"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text, in place of columns of these names."""
-    own_doc, own_hash = _document()
-    rows = packed(docs, "text", own_doc, own_hash)
-    joined = rows.join(bitmaps, ["doc", "text_hash"], "left")
+def _cut(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(row, n_lines, n_dropped, kept_text): row holds all of docs, so that no column can clash and a text moves once."""
+    joined = packed(docs, *_document()).join(bitmaps, ["doc", "text_hash"], "left")
+    lines = F.split(F.coalesce(F.col("row")["text"], F.lit("")), "\n", -1)
     mask = F.flatten(F.transform("runs", lambda r: F.concat(F.array_repeat(F.lit(True), r["keep"]), F.array_repeat(F.lit(False), r["drop"]))))
     # in an array of one, so that the mask is made once for each text
-    cut = F.transform(F.array(mask), lambda m: F.array_join(F.filter(_lines(), lambda _, i: F.coalesce(F.get(m, i), F.lit(True))), "\n"))
-    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    cut = F.transform(F.array(mask), lambda m: F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.get(m, i), F.lit(True))), "\n"))
     return joined.select(
-        *[F.col("row")[c].alias(c) for c in rest],
-        F.size(_lines()).cast("long").alias("n_lines"),
+        "row",
+        F.size(lines).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("runs").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.get(cut, 0)).alias("kept_text"),
+        F.when(F.col("runs").isNull(), F.coalesce(F.col("row")["text"], F.lit(""))).otherwise(F.get(cut, 0)).alias("kept_text"),
     )
 
 
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text, in place of columns of these names."""
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    return _cut(docs, bitmaps).select(*[F.col("row")[c].alias(c) for c in rest], "n_lines", "n_dropped", "kept_text")
+
+
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text that is left, under the same columns."""
-    done = apply_bitmaps(packed(docs, "doc_id", "text"), keep_bitmaps(docs, min_chars))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row")["text"])
+    done = _cut(docs, keep_bitmaps(docs, min_chars))
     return done.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
