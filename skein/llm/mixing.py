@@ -113,17 +113,22 @@ def draw_of(seed: int = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def sample(docs: DataFrame, probabilities: DataFrame, topic: Column | None = None, seed: int = SEED) -> DataFrame:
-    """docs with _source, _lang, _topic, _weight, _probability and _sampled (names of their own; ``mixed`` stands any)."""
-    keyed = docs.withColumns(_dims(topic_of() if topic is None else topic))
+def _drawn(keyed: DataFrame, probabilities: DataFrame, seed: int) -> DataFrame:
+    """keyed (with doc_id and the dimensions) with _weight, _probability and _sampled."""
     cells = probabilities.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
     return keyed.join(cells, ["_source", "_lang", "_topic"], "left").withColumn("_sampled", draw_of(seed) < F.col("_probability"))
 
 
+def sample(docs: DataFrame, probabilities: DataFrame, topic: Column | None = None, seed: int = SEED) -> DataFrame:
+    """docs with _source, _lang, _topic, _weight, _probability and _sampled (names of their own; ``mixed`` stands any)."""
+    return _drawn(docs.withColumns(_dims(topic_of() if topic is None else topic)), probabilities, seed)
+
+
 def mixed(docs: DataFrame, budget: float = BUDGET, temper: float = TEMPER, targets: dict | None = None) -> DataFrame:
     """The sampled documents, under the same columns."""
     probabilities = calibrated(raked(written(cell_tokens(docs), "cells"), temper, targets), budget)
-    return sample(packed(docs, "doc_id", "text", "source", "lang"), probabilities).filter("_sampled").select("row.*")
+    keyed = packed(docs, "doc_id", *[c.alias(k) for k, c in _dims(topic_of()).items()])
+    return _drawn(keyed, probabilities, SEED).filter("_sampled").select("row.*")
 
 
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,9 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, text_name: str = "text", source: str = "source") -> DataFrame:
     """docs with host, the counts and base_failed, in place of columns of these names."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col(text_name), F.lit(""))
     words_name, lines_name, hashes_name, counts_name = free_names(docs, "words", "lines", "hashes", "counts")
     words, n = F.col(words_name), F.size(words_name)
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
@@ -66,7 +66,7 @@ def features(docs: DataFrame) -> DataFrame:
     split = _once(split, lines_name, F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     counted = _once(_once(split, hashes_name, windows), counts_name, counts)
     rest = [c for c in docs.columns if c.lower() not in (*COUNTS, "host", "base_failed")]
-    out = counted.select(*rest, F.coalesce(F.col("source"), F.lit("")).alias("host"), *[F.col(counts_name)[c].alias(c) for c in COUNTS])
+    out = counted.select(*rest, F.coalesce(F.col(source), F.lit("")).alias("host"), *[F.col(counts_name)[c].alias(c) for c in COUNTS])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -94,9 +94,9 @@ def judged(featured: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents that pass, under the same columns. Counts are made twice, which costs less than moving the texts."""
-    own = [f"c{k}" for k in range(len(docs.columns))]  # so that no column can clash with those that are added
-    only = features(docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, own, strict=True)], "text", "source"))
-    return judged(only, host_verdicts(only, max_rate)).filter("kept").select(*own).toDF(*docs.columns)
+    own = dict(zip(docs.columns, (f"c{k}" for k in range(len(docs.columns))), strict=True))  # so that no column can clash with those that are added
+    only = features(docs.toDF(*own.values()), own["text"], own["source"])
+    return judged(only, host_verdicts(only, max_rate)).filter("kept").select(*own.values()).toDF(*own)
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
