@@ -20,7 +20,7 @@ from skein.shared import numbered, ship, stored
 
 FINE, COARSE = 0.6, 0.15
 LARGE_GRAPH = 5000
-ONE_TASK_LINKS = 1_000_000
+ONE_TASK_LINKS = 500_000
 PALETTE = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
 log = logging.getLogger("skein")
 

@@ -17,7 +17,7 @@ TOLERANCE = 1e-6
 MAX_ITERATIONS = 100
 TOP_K = 20
 #: Up to so many links in scope one task ranks them; beyond, every iteration is a distributed step.
-ONE_TASK_LINKS = 2_000_000
+ONE_TASK_LINKS = 500_000
 ROUND = 10
 
 
