@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text")))
+    coded = bpe.round_trip(docs.select("doc_id", "source", "lang", "text"))
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return coded.select("doc_id", "source", "lang", "n_tokens", "ids", same.alias("decodes"))
 

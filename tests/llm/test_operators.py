@@ -130,6 +130,7 @@ def test_bpe_on_rows(awkward, empty, library):
     for r in out.collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.decoded == (r.text or "")
+    assert sorted(map(repr, bpe.round_trip(awkward).collect())) == sorted(map(repr, out.collect()))
     assert bpe.encode(empty).count() == 0
     broken = bpe.load(bpe.vocabulary_path())
     half = np.array([broken.tokens.index(b"\xc3")], "<u4").tobytes()
