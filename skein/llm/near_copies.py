@@ -1,0 +1,207 @@
+"""Near-dedup by the overlap of five-word shingles: all pairs whose sets have a Jaccard of 0.8 or more, none missed.
+
+A SimHash radius that reaches 0.8 (some 10 bits of 64 on the average, more at the tail) leaves no
+blocks to select by, and any radius loses some pairs. So pairs are found by prefixes instead: with the
+shingles of each set in one fixed order, two sets that overlap enough have their first SHARED common ones
+among the first n - ceil(0.8 n) + SHARED of each. The order is by frequency in a sample, rare ones first,
+then by hash; it decides what a run costs, never what it finds. A pair is looked up where sizes and the places
+of the shared shingles allow the overlap, and kept where the sets themselves have it.
+
+Plan: equal sets are one row from then on. First each set meets one other of about its size for each of
+its shared shingles, which joins large groups in links of as many rows; then all pairs of sets that are not
+joined by then are compared, in tiles where more than TILE share a shingle. Nothing is capped.
+
+Defined cases: words are those of simhash.py; fewer than five are one shingle; a null or empty text, or
+one of white space, has the empty set, and empty sets are equal; the rest is as in simhash.py. Shingles
+and sets are known by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.llm.common import ship, written
+from skein.llm.components import components
+from skein.llm.simhash import _LOWER, SEED, first_of_each, rooted
+
+SHINGLE = 5
+#: Jaccard of 4 / 5, which is 9 * overlap >= 4 * (sizes of both).
+LEAST = 0.8
+TILE = 2048
+#: One text in SAMPLE is counted for the order; so many of the frequent shingles are put last.
+SAMPLE, FREQUENT = 20, 100_000
+#: So many shingles in prefixes have to be shared, or all that small sets need.
+SHARED = 8
+
+
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of a text's shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    found = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), np.uint64))
+
+
+def _digest(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.tobytes())
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, sorted, and counts of the most frequent shingles of a sample: FREQUENT at most, whatever the input."""
+
+    def count(batches):
+        for batch in batches:
+            found = [shingles(t.as_py() or "") for t in batch.column(0)]
+            own, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = sample.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 2")
+    rows = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    own = rows["s"].to_numpy().view(np.uint64)
+    order = np.argsort(own)
+    return own[order], rows["n"].to_numpy()[order]
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, n, prefix) by row: the set's digest and size, and its first shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+
+    def run(batches):
+        often, counts = sent.value
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for text in batch.column(1):
+                own = shingles(text.as_py() or "")
+                n = len(own)
+                order = own
+                if n and len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    order = own[np.argsort(np.where(often[at] == own, counts[at], 0), kind="stable")]
+                for to, x in zip(out, (_digest(own), n, order[: n - (4 * n + 4) // 5 + SHARED]), strict=True):
+                    to.append(x)
+            arrays = [batch.column(0), batch.column(2), pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int32()), _lists(out[2])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "fp", "n", "prefix"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, prefix array<long>")
+
+
+def _possible(n, m, at, other, least):
+    """Whether sets of n and m shingles, with a shared one at these places, can overlap enough; Columns or arrays."""
+    return (9 * least(n, m) >= 4 * (n + m)) & (9 * (least(at, other) + 1 + least(n - at - 1, m - other - 1)) >= 4 * (n + m))
+
+
+def _compare(batches):
+    """Possible pairs of rows that come sorted by key: columns s, tile, part, fp, n, at, root."""
+
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of rows with equal keys; in a tile of two parts, those of one part meet elsewhere."""
+        across = x[..., 1] >> 20 != x[..., 1] & 0xFFFFF
+        ok = (x[..., 6] != y[..., 6]) & ~(across & (x[..., 2] == y[..., 2]))
+        return ok & _possible(x[..., 4], y[..., 4], x[..., 5], y[..., 5], np.minimum)
+
+    def out(x: np.ndarray, y: np.ndarray):
+        a, b = np.minimum(x[:, 3], y[:, 3]), np.maximum(x[:, 3], y[:, 3])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(x[:, 4] + y[:, 4])], names=["a", "b", "sizes"])
+
+    def pairs(rows: np.ndarray, starts: np.ndarray):
+        sizes = np.diff(np.r_[starts, len(rows)])
+        few = rows[np.repeat(sizes <= 64, sizes)]
+        for d in range(1, 64):  # small keys at once: each row with the d-th after it
+            at = np.flatnonzero((few[d:, :2] == few[:-d, :2]).all(axis=1))
+            if not len(at):
+                break
+            at = at[may(few[at], few[at + d])]
+            yield out(few[at], few[at + d])
+        for start, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+            own = rows[start : start + size]
+            for i in range(0, size, 128):
+                for j in range(i, size, 1024):
+                    a, b = own[i : i + 128], own[j : j + 1024]
+                    ok = may(np.broadcast_to(a[:, None], (len(a), len(b), 7)), b[None])
+                    x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                    yield out(a[x], b[y])
+
+    held = np.empty((0, 7), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+        starts = np.r_[0, np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1)) + 1]
+        yield from pairs(held[: starts[-1]], starts[:-1])
+        held = held[starts[-1] :]  # the last key's rows may go on in the next batch
+    if len(held):
+        yield from pairs(held, np.zeros(1, np.int64))
+
+
+def _verified(found: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of found (a, b, sizes), a row for each shared shingle, whose sets overlap enough."""
+
+    def own_sets(batches):
+        for batch in batches:
+            found = [shingles(t.as_py() or "") for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_digest(x) for x in found], np.uint64).view(np.int64)), _lists(found)], names=["fp", "own"])
+
+    enough = F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("sizes") * 4 / 9))
+    pairs = written(found.groupBy("a", "b", "sizes").agg(F.count("*").alias("k")).filter(enough).drop("k"), "pairs")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    needed = written(prints.select("fp", "text_hash").join(ends, "fp", "left_semi").select("text_hash"), "needed")
+    texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).join(needed, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    own = written(texts.select("text").mapInArrow(own_sets, "fp long, own array<long>"), "sets")
+    one, two = (own.select(F.col("fp").alias(k), F.col("own").alias(f"s_{k}")) for k in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b")
+    return written(both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * F.col("sizes")).select("a", "b"), "near")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return written(components(links), "roots").withColumnRenamed("a", "fp")
+
+
+def links(prints: DataFrame, docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b): links among the distinct sets of prints (fp, n, prefix, text_hash) that connect all that overlap enough."""
+    keyed = prints.select("fp", "n", F.posexplode("prefix").alias("at", "s"))
+    shared = written(keyed.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
+    rows = written(keyed.join(shared, "s"), "places")
+    # each set with one of about its size, for each shingle
+    band = F.floor(F.log("n") / F.lit(np.log(1.05))).alias("band")
+    centres = rows.groupBy("s", band).agg(F.min(F.struct("fp", "n", "at")).alias("c"))
+    met = rows.withColumn("band", band).join(centres, ["s", "band"]).filter(F.col("fp") > F.col("c.fp"))
+    met = met.filter(_possible(F.col("n"), F.col("c.n"), F.col("at"), F.col("c.at"), F.least))
+    first = _verified(met.select(F.col("c.fp").alias("a"), F.col("fp").alias("b"), (F.col("n") + F.col("c.n")).cast("long").alias("sizes")), prints, docs)
+    # all that these links haven't joined
+    rows = written(rows.join(_roots(first), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "places")
+    apart = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("s")
+    parts = F.ceil(F.col("k") / F.lit(tile))
+    part = F.pmod(F.xxhash64("fp"), parts)
+    dealt = rows.join(apart, "s", "left_semi").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.withColumn("tile", F.shiftleft(F.least("part", "other"), 20) + F.greatest("part", "other"))
+    dealt = dealt.select("s", "tile", "part", "fp", "n", "at", "root").repartition("s", "tile").sortWithinPartitions("s", "tile")
+    return first.union(_verified(dealt.mapInArrow(_compare, "a long, b long, sizes long"), prints, docs))
+
+
+def grouped(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) by row, as simhash.grouped."""
+    ship(docs.sparkSession)
+    rows = written(sets(docs), "shingles")
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "text_hash")]), "distinct")
+    return rooted(rows.select("doc_id", "text_hash", "fp"), prints.select("fp", "least"), links(prints, docs, tile))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, chosen as in simhash.one_of_each."""
+    return first_of_each(docs, grouped(docs))

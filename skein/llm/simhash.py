@@ -161,17 +161,26 @@ def grouped(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: in
     """(doc_id, text_hash, fp, root, component_id) by row; root is a fingerprint of the row's component."""
     rows = written(fingerprints(docs, size), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = written(components(links(prints.select("fp"), radius, tile)), "roots")
-    rooted = prints.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    return rooted(rows, prints, links(prints.select("fp"), radius, tile))
+
+
+def rooted(rows: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with root and component_id, from prints (fp, least) and links (a, b) among them."""
+    roots = written(components(found), "roots")
+    own = prints.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(own.join(smallest, "root").select("fp", "root", "component_id"), "classes")
     return rows.join(classes, "fp")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each component: the smallest doc_id (an id beats null), then the smallest hash of its text."""
+    return first_of_each(docs, grouped(docs, size, radius))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    keepers = grouped(docs, size, radius).groupBy("root").agg(F.min(rank).alias("r"))
+    keepers = groups.groupBy("root").agg(F.min(rank).alias("r"))
     keepers = written(keepers.select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id"), F.col("r.text_hash").alias("hash")).distinct(), "keepers")
     keys = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "hash": F.xxhash64(F.coalesce("text", F.lit("")))}
     held = docs.select(*[c.alias(f"_{k}") for k, c in keys.items()], F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))

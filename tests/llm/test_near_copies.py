@@ -1,0 +1,72 @@
+"""The pipeline's near dedup against all pairs of five-word shingle sets."""
+
+import random
+
+import pytest
+from test_operators import WORD
+
+import corpus_pipeline as pipeline
+from skein.llm import near_copies
+
+
+def brute_set(text):
+    words = [w.lower() if w.isascii() else w for w in WORD.findall(text or "")]
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts):
+    own = [brute_set(t) for t in texts]
+    root = list(range(len(own)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(own)):
+        for j in range(i):
+            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(own))]
+
+
+def edited(draw, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[draw.randrange(len(words))] = f"new{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts and copies with edits all over them, on both sides of the threshold; a group of many; a common passage."""
+    draw = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = draw.choices(vocabulary, k=60)
+    texts = []
+    for k in range(40):
+        words = draw.choices(vocabulary, k=draw.randint(80, 300)) + (passage if k % 2 else [])
+        texts.append(" ".join(words))
+        texts += [edited(draw, words, e) for e in (1, len(words) // 60, len(words) // 45, len(words) // 35)]
+    words = draw.choices(vocabulary, k=200)
+    texts += [edited(draw, words, draw.randint(1, 6)) for _ in range(120)]
+    return [*texts, None, "", " \n", "one two", "One  two", "one two three four five six"]
+
+
+@pytest.mark.parametrize("tile", [near_copies.TILE, 7])
+def test_groups_equal_all_pairs(spark, copies, tile):
+    df = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in near_copies.grouped(df, tile).collect()} == dict(enumerate(brute_groups(copies)))
+
+
+def test_stage_finds_all_pairs_of_scattered_edits(spark, copies):
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(copies)], "doc_id long, text string, more string")
+    kept = pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(brute_groups(copies))
+
+
+def test_stage_on_awkward_rows(spark, awkward, empty):
+    kept = pipeline.near_dedup(spark, awkward, "")
+    assert kept.count() == len(set(brute_groups([r.text for r in awkward.collect()])))
+    assert pipeline.near_dedup(spark, empty, "").count() == 0
