@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,10 +30,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir. Where that is unset and everything runs in one process (tests), below a temporary folder."""
     app = spark.sparkContext.applicationId
     if app not in _BASES:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skein-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="skein-")
         _BASES[app] = f"{base.rstrip('/')}/skein-{uuid.uuid4().hex}"
         atexit.register(remove, spark, _BASES[app])
     return f"{_BASES[app]}/{name}-{uuid.uuid4().hex[:12]}"
@@ -59,7 +64,16 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table: computed once, read from there by all that follows, safe if executors are lost."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` gave and nothing reads any more: a loop's rounds but the last."""
+    for table in tables:
+        if path := getattr(table, "_stored_at", None):
+            remove(table.sparkSession, path)
 
 
 def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
