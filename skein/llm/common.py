@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.shared import remove as drop_path  # noqa: F401
+from skein.shared import forget  # noqa: F401
 from skein.shared import shared_path as new_path  # noqa: F401
 from skein.shared import ship  # noqa: F401
 from skein.shared import stored as written  # noqa: F401

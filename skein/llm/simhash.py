@@ -1,186 +1,305 @@
-"""SimHash near-dedup: exact comparison of 64-bit fingerprints in tiles, with numpy.
-
-A text's fingerprint has a bit set where over half of its shingles' hashes have it. Equal fingerprints
-are one row from then on. Tiles are made of fingerprints that agree on 3 of 6 blocks of bits, in
-order of population count: two fingerprints that differ in at most 3 bits agree on at least 3 blocks,
-so tiles with other block values need no comparison, and every pair within the radius meets in some
-tile. Inside, sub-tiles are compared by exclusive-or and bit counts, and a pair of sub-tiles is skipped
-where population counts alone differ beyond the radius. A block value that more than TILE
-fingerprints share is split by population count and hash into several tiles, and tile pairs within the
-radius are dealt out; so no group lies in one task, and nothing is capped. A tile gives a spanning
-forest of its links, not all pairs; components come from components.py.
+"""SimHash near-dedup: exact comparison of fingerprints in tiles, with numpy.
+
+A text's fingerprint has a bit set where over half of its shingles' hashes have it; ``Prints`` says how many
+words a shingle has, how many times 64 bits a fingerprint, whether repeats count, and what is linked:
+
+* ``Prints()``: three words, 64 bits, links at 3 or fewer differing bits.
+* ``Prints.similar(0.8)``: five words, 256 bits, sets of shingles. Bits differ as often as the angle between
+  the sets is of half a circle, so a cosine of 0.8 or more is 52 or fewer differing bits. Sets with a Jaccard of
+  0.8 have a cosine of 0.889 at least, so nearly all of them are within (the README has the measured share).
+  A cosine of 0.8 also needs sizes within 0.64 of each other, which rules out most pairs of texts.
+
+Equal fingerprints are one row from then on. Rows are range-partitioned in order of their population counts (of
+all bits, then of halves and quarters), or of their sizes where sizes matter, and packed into tiles. Only
+pairs of tiles whose population counts, or sizes, come within reach are dealt out, each to a task of its
+own. There sub-tiles are compared by exclusive-or and bit counts, and a pair of sub-tiles is left out where
+the population counts of any blocks of bits add up to a difference beyond the radius, or the sizes
+rule it out. So every pair within the radius is found, nothing is capped, and no group lies in one task.
+A tile pair gives stars of the trees that its links make, not all pairs; components come from components.py.
+
+What that costs: comparisons grow with the square of the number of different fingerprints, less what is left
+out: some two thirds by population counts at radius 3, some seven tenths by sizes. Tiles grow with the input,
+so that a fingerprint moves 64 times at most up to 64 million of them.
 
 Defined cases: a null or empty text, or one of white space, has the fingerprint zero, which links
-like any other; fewer words than ``size`` are one shingle; a null doc_id takes part, and a component's
-id is the smallest id that isn't null; repeated rows have equal results; other columns pass
+like any other of its size; fewer words than ``size`` are one shingle; a null doc_id takes part, and a
+component's id is the smallest id that isn't null; repeated rows have equal results; other columns pass
 through ``one_of_each``; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from dataclasses import dataclass
+from itertools import repeat
+from math import acos, log, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import read_table, ship, written
 from skein.llm.components import components
 
-SHINGLE = 3
-RADIUS = 3
 SEED = 42
-TILE = 4096
+#: A tile holds a 64th of the rows, within these bounds (a layout: whatever they are, all pairs are compared).
+TILE_FROM, TILE_TO = 1 << 13, 1 << 20
 SUB_TILE = 256
+#: Tasks for pairs of tiles.
+MOST_TASKS = 20_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
-    from xxhash import xxh64_intdigest
+@dataclass(frozen=True)
+class Prints:
+    """Fingerprints of ``words`` times 64 bits over shingles of ``size`` words; links at ``radius`` or fewer differing bits and sizes within ``ratio``."""
 
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    size: int = 3
+    words: int = 1
+    repeats: bool = True
+    radius: int = 3
+    ratio: float = 0.0
+
+    @staticmethod
+    def similar(cosine: float = 0.8, size: int = 5, words: int = 4) -> Prints:
+        return Prints(size, words, False, int(64 * words * acos(cosine) / pi), cosine * cosine)
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"w{k}" for k in range(self.words)]
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 8192):
         part = hashes[start : start + 8192]
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return counts
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, fp) by row; fp is the fingerprint as a signed long."""
-    ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _other(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64 bits of each hash."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches):
-        for batch in batches:
-            prints = [fingerprint(t.as_py() or "", size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+def fingerprint(text: str, kind: Prints = Prints()) -> tuple[np.ndarray, int]:  # noqa: B008
+    """The unsigned 64-bit words of a text's fingerprint, and its number of shingles."""
+    from xxhash import xxh64_intdigest
 
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(kind.words, np.uint64), 0
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(kind.size)), strict=False)) if len(words) >= kind.size else [b" ".join(words)]
+    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    if not kind.repeats:
+        hashes = np.unique(hashes)
+    bits = [_bit_counts(_other(hashes, k) if k else hashes) * 2 > len(hashes) for k in range(kind.words)]
+    return np.packbits(np.concatenate(bits), bitorder="little").view(np.uint64), len(hashes)
 
-def _masks(radius: int) -> list[int]:
-    """Bits of 64 in radius + 3 blocks; each choice of 3 of them, as a signed mask."""
-    edges = np.linspace(0, 64, radius + 4).round().astype(int)
-    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    masks = [sum(x) for x in combinations(blocks, 3)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
+def fingerprints(docs: DataFrame, kind: Prints = Prints()) -> DataFrame:  # noqa: B008
+    """(doc_id, text_hash, fp, n, w0, w1 ...) by row: fp names the fingerprint (64 bits: w0 itself), n is the number of shingles where sizes matter, else 0."""
+    from xxhash import xxh64_intdigest
+
+    ship(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [fingerprint(t.as_py() or "", kind) for t in batch.column(1)]
+            prints = np.array([p for p, _ in found], np.uint64).reshape(len(found), kind.words)
+            sizes = np.array([n if kind.ratio else 0 for _, n in found], np.int64)
+            names = prints[:, 0] if kind.words == 1 and not kind.ratio else np.array([xxh64_intdigest(p.tobytes() + n.tobytes()) for p, n in zip(prints, sizes, strict=True)], np.uint64)
+            longs = [names.view(np.int64), sizes, *prints.T.copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, longs)], names=["doc_id", "text_hash", "fp", "n", *kind.columns])
 
-def forest(prints: np.ndarray, counts: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between prints, which are in order of their population counts."""
-    parent = np.arange(len(prints))
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, fp long, n long, " + ", ".join(f"{c} long" for c in kind.columns))
+
+
+class _Sub:
+    """A tile's rows (fp, n, words) with what bounds its sub-tiles: least and most of their sizes, and of the population counts of blocks of bits."""
+
+    def __init__(self, rows: np.ndarray):
+        self.names, self.sizes = rows[:, 0], rows[:, 1]
+        self.prints = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        self.starts = np.arange(0, len(rows), SUB_TILE)
+        pops = np.bitwise_count(self.prints.view(np.uint8)).astype(np.int16).reshape(len(rows), -1)
+        edges = lambda x: (np.minimum.reduceat(x, self.starts), np.maximum.reduceat(x, self.starts))
+        self.blocks = []
+        while True:  # of 8 bits, 16, ... all
+            self.blocks.append(edges(pops))
+            if pops.shape[1] == 1:
+                break
+            pops = pops.reshape(len(rows), -1, 2).sum(axis=2, dtype=np.int16)
+        self.size_edges = edges(self.sizes)
+
+    def reachable(self, i: int, other: _Sub, kind: Prints) -> np.ndarray:
+        """Of other's sub-tiles, those that may hold a link to this one's i-th."""
+        least = np.zeros(len(other.starts), np.int64)
+        for (low, high), (low2, high2) in zip(self.blocks, other.blocks, strict=True):
+            apart = np.maximum(np.maximum(low2 - high[i], low[i] - high2), 0).sum(axis=1, dtype=np.int64)
+            least = np.maximum(least, apart)
+        (low, high), (low2, high2) = self.size_edges, other.size_edges
+        return (least <= kind.radius) & (high[i] >= kind.ratio * low2) & (high2 >= kind.ratio * low[i])
+
+
+def _near(a: _Sub, b: _Sub, i: slice, j: slice, kind: Prints) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a's slice i and b's slice j that are linked."""
+    left, right = a.prints[i], b.prints[j]
+    some = np.bitwise_count(left[:, 0][:, None] ^ right[:, 0][None])
+    if kind.words > 1:  # the first 128 bits rule most out
+        some += np.bitwise_count(left[:, 1][:, None] ^ right[:, 1][None])
+    x, y = np.nonzero(some <= kind.radius)
+    if kind.words > 1 and len(x):
+        full = np.bitwise_count(left[x] ^ right[y]).sum(axis=1, dtype=np.int64)
+        m, n = a.sizes[i][x], b.sizes[j][y]
+        ok = (full <= kind.radius) & (np.minimum(m, n) >= kind.ratio * np.maximum(m, n))
+        x, y = x[ok], y[ok]
+    return x + i.start, y + j.start
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, kind: Prints = Prints()) -> tuple[list[tuple[int, int]], int, int]:  # noqa: B008
+    """What the links between rows (fp, n, words) of two tiles, or inside one (b is None), connect: stars (name, its tree's root); pairs of sub-tiles compared and left out."""
+    one, two = _Sub(a), _Sub(a if b is None else b)
+    shift = 0 if b is None else len(a)
+    parent = list(range(shift + len(two.names)))
+    names = one.names if b is None else np.concatenate([one.names, two.names])
+    touched = np.zeros(len(parent), bool)
+    compared = left_out = 0
 
     def find(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
-    for i in range(0, len(prints), SUB_TILE):
-        left, high = prints[i : i + SUB_TILE], counts[min(i + SUB_TILE, len(prints)) - 1]
-        for j in range(i, len(prints), SUB_TILE):
-            if counts[j] - high > radius:
-                break  # all further sub-tiles are beyond the radius
-            near = np.bitwise_count(left[:, None] ^ prints[None, j : j + SUB_TILE]) <= radius
-            for a, b in zip(*np.nonzero(np.triu(near, 1) if i == j else near), strict=True):
-                ra, rb = find(i + int(a)), find(j + int(b))
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-                    out.append((i + int(a), j + int(b)))
-    return out
-
-
-def _compare(radius: int):
-    """Links of rows that come sorted by (tile key, population count): columns k1, k2, k3, fp."""
-
-    def links(keys: np.ndarray, prints: np.ndarray):
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        two = starts[sizes == 2]
-        near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
-        a, b = [prints[near]], [prints[near + 1]]
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            own = prints[start : start + size]
-            if found := forest(own, np.bitwise_count(own).astype(np.int64), radius):
-                pairs = np.array(found)
-                a.append(own[pairs[:, 0]])
-                b.append(own[pairs[:, 1]])
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def roots(x: np.ndarray) -> np.ndarray:
+        own, at = np.unique(x, return_inverse=True)
+        return np.array([find(k) for k in own.tolist()])[at]
+
+    def joined(*parts: np.ndarray) -> bool:
+        """Whether all of these rows are in one tree already."""
+        return all(touched[p].all() for p in parts) and len({find(k) for p in parts for k in p.tolist()}) == 1
+
+    for s, start in enumerate(one.starts.tolist()):
+        i = slice(start, min(start + SUB_TILE, len(one.names)))
+        may = one.reachable(s, two, kind)
+        for t, other in enumerate(two.starts.tolist()):
+            if b is None and t < s:
+                continue
+            if not may[t]:
+                left_out += 1
+                continue
+            j = slice(other, min(other + SUB_TILE, len(two.names)))
+            if joined(np.arange(i.start, i.stop), np.arange(j.start, j.stop) + shift):
+                left_out += 1
+                continue
+            compared += 1
+            x, y = _near(one, two, i, j, kind)
+            y = y + shift
+            if b is None and s == t:
+                x, y = x[x < y], y[x < y]
+            while len(x):
+                rx = roots(x)
+                apart = rx != roots(y)
+                x, y, rx = x[apart], y[apart], rx[apart]
+                for k in np.unique(rx, return_index=True)[1].tolist():
+                    p, q = find(int(x[k])), find(int(y[k]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        touched[[x[k], y[k]]] = True
+    at = np.flatnonzero(touched).tolist()
+    return [(int(names[x]), int(names[r])) for x, r in zip(at, map(find, at), strict=True) if x != r], compared, left_out
+
+
+def _level(kind: Prints) -> Column:
+    """Linked rows are at most ``_reach`` apart here."""
+    if kind.ratio:
+        return F.when(F.col("n") > 0, F.floor(F.log("n") / F.lit(log(1 / kind.ratio) * (1 + 1e-9)))).otherwise(-9).cast("int")
+    return sum((F.bit_count(c) for c in kind.columns[1:]), F.bit_count("w0"))
+
+
+def _reach(kind: Prints) -> int:
+    return 1 if kind.ratio else kind.radius
+
+
+def tiles(prints: DataFrame, kind: Prints, rows: int) -> DataFrame:
+    """(id, low, high, data): prints (fp, n, w0 ...) in order, packed ``rows`` at a time, with the least and the largest level."""
+    half, quarter = F.bit_count(F.shiftrightunsigned("w0", 32)), F.bit_count(F.col("w0").bitwiseAND(F.lit(0xFFFF0000FFFF)))
+    order = ["n", "fp"] if kind.ratio else ["level", half, quarter, "fp"]
+    placed = prints.withColumn("level", _level(kind)).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def pack(batches):
+        number, held, count = TaskContext.get().partitionId() << 32, [], 0
+
+        def cut(part: np.ndarray):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([part[0, 0]], pa.int32()), pa.array([part[-1, 0]], pa.int32()), pa.array([np.ascontiguousarray(part[:, 1:]).tobytes()], pa.binary())],
+                names=["id", "low", "high", "data"],
+            )
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+            count += batch.num_rows
+            if count >= rows:
+                whole = np.concatenate(held)
+                for start in range(0, count - rows + 1, rows):
+                    yield cut(whole[start : start + rows])
+                    number += 1
+                held = [whole[count - count % rows :]]
+                count %= rows
+        if count:
+            yield cut(np.concatenate(held))
+
+    return written(placed.select("level", "fp", "n", *kind.columns).mapInArrow(pack, "id long, low int, high int, data binary"), "tiles")
+
+
+def links(prints: DataFrame, kind: Prints = Prints(), tile: int | None = None) -> DataFrame:  # noqa: B008
+    """(a, b): links among the distinct fingerprints of prints (fp, n, w0 ...) that connect all that are linked."""
+    ship(prints.sparkSession)
+    packed = tiles(prints, kind, tile or min(TILE_TO, max(TILE_FROM, prints.count() // 64)))
+    reach = _reach(kind)
+    own = packed.select("id", F.explode(F.sequence("low", "high")).alias("level"))
+    near = packed.select(F.col("id").alias("other"), F.explode(F.sequence(F.col("low") - reach, F.col("high") + reach)).alias("level"))
+    pairs = written(own.join(near, "level").filter("id <= other").select("id", "other").distinct(), "tile_pairs")
+    one, two = packed.select("id", "data"), packed.select(F.col("id").alias("other"), F.col("data").alias("data2"))
+    # one pair is a task's work: as many partitions as pairs, whatever their bytes
+    dealt = pairs.join(one, "id").join(two, "other").repartition(max(1, min(MOST_TASKS, pairs.count())), "id", "other")
 
     def run(batches):
-        keys, prints = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            keys = np.concatenate([keys, np.stack(columns[:3], axis=1)])
-            prints = np.concatenate([prints, columns[3].view(np.uint64)])
-            if not len(keys):
-                continue
-            whole = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys[0] != keys[-1]).any() else 0
-            if whole:  # the last key's rows may go on in the next batch
-                yield links(keys[:whole], prints[:whole])
-                keys, prints = keys[whole:], prints[whole:]
-        if len(keys):
-            yield links(keys, prints)
+            for k in range(batch.num_rows):
+                ids, data = (batch.column(c)[k].as_py() for c in ("id", "other")), (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64).reshape(-1, 2 + kind.words) for c in ("data", "data2"))
+                same, (a, b) = len(set(ids)) == 1, data
+                found = forest(a, None if same else b, kind)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([p[s] for p in found], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-    return run
+    return dealt.select("id", "other", "data", "data2").mapInArrow(run, "a long, b long")
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of column fp that connect all that are within the radius."""
-    ship(prints.sparkSession)
-    tables = F.array(*[F.struct(F.lit(k).cast("long").alias("k1"), F.col("fp").bitwiseAND(F.lit(m)).alias("k2")) for k, m in enumerate(_masks(radius))])
-    keyed = prints.select(F.explode(tables).alias("k"), "fp").select("k.k1", "k.k2", "fp", F.bit_count("fp").alias("pop"))
-    sizes = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    # only keys that two fingerprints share go on
-    shared = written(sizes.filter("n > 1"), "tiles")
-    rows = keyed.join(shared, ["k1", "k2"])
-    parts = F.ceil(F.col("n") / F.lit(tile))
-    part = F.pmod(F.xxhash64("fp"), parts)
-    small = rows.filter(F.col("n") <= tile).select("k1", "k2", F.lit(0).cast("long").alias("k3"), "fp", "pop")
-    # a large one: the row's own (population count, part) against all parts of the counts within the radius
-    own = F.col("pop") * parts + part
-    other = F.explode(F.sequence((F.col("pop") - radius) * parts, (F.col("pop") + radius + 1) * parts - 1))
-    large = rows.filter(F.col("n") > tile).select("k1", "k2", "fp", "pop", own.alias("own"), other.alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    large = large.select("k1", "k2", (F.shiftleft(low + F.lit(1 << 28), 32) + high).alias("k3"), "fp", "pop")
-    keys = ["k1", "k2", "k3"]
-    dealt = small.union(large).repartition(*keys).sortWithinPartitions(*keys, "pop", "fp")
-    return dealt.select(*keys, "fp").mapInArrow(_compare(radius), "a long, b long")
-
-
-def grouped(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id) by row; root is a fingerprint of the row's component."""
-    rows = written(fingerprints(docs, size), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return rooted(rows, prints, links(prints.select("fp"), radius, tile))
-
-
-def rooted(rows: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with root and component_id, from prints (fp, least) and links (a, b) among them."""
-    roots = written(components(found), "roots")
-    own = prints.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(own.join(smallest, "root").select("fp", "root", "component_id"), "classes")
-    return rows.join(classes, "fp")
-
-
-def one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id (an id beats null), then the smallest hash of its text."""
-    return first_of_each(docs, grouped(docs, size, radius))
+def grouped(docs: DataFrame, kind: Prints = Prints(), tile: int | None = None) -> DataFrame:  # noqa: B008
+    """(doc_id, text_hash, fp, root, component_id) by row; root names a fingerprint of the row's component."""
+    rows = written(fingerprints(docs, kind), "fingerprints")
+    own = ["n", *kind.columns]
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in own]), "distinct")
+    roots = written(components(links(prints.select("fp", *own), kind, tile)), "roots")
+    placed = written(prints.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+    # tables of their own, so that a join deals both sides out anew and a component of very many fingerprints can be split
+    smallest = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    classes = written(placed.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    return rows.select("doc_id", "text_hash", "fp").join(classes, "fp")
 
 
-def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, kind: Prints = Prints()) -> DataFrame:  # noqa: B008
+    """docs with one document of each component: the smallest doc_id (an id beats null), then the smallest hash of its text."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    keepers = groups.groupBy("root").agg(F.min(rank).alias("r"))
+    keepers = grouped(docs, kind).groupBy("root").agg(F.min(rank).alias("r"))
     keepers = written(keepers.select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id"), F.col("r.text_hash").alias("hash")).distinct(), "keepers")
     keys = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "hash": F.xxhash64(F.coalesce("text", F.lit("")))}
     held = docs.select(*[c.alias(f"_{k}") for k, c in keys.items()], F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))

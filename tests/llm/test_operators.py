@@ -392,7 +392,7 @@ def test_links_equal_all_pairs(spark, tile):
             q ^= sum(1 << draw.randrange(64) for _ in range(draw.randint(0, 4)))
             prints.append(q % 2**64)
     prints = sorted(set(prints))
-    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fp long")
+    df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p, 0) for p in prints], "fp long, n long").withColumn("w0", F.col("fp"))
     found = components(simhash.links(df, tile=tile)).collect()
     root = {r.a: r.root for r in found}
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]

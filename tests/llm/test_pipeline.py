@@ -29,7 +29,8 @@ def brute_run(rows):
     """The pipeline's rows without Spark: {doc_id: (source, lang, ids)} of the documents that are left."""
     import hashlib
 
-    from test_operators import WORD, brute_groups, brute_lines, brute_print, brute_quality
+    from test_operators import WORD, brute_lines, brute_quality
+    from test_similar_texts import by_prints
     from tokenizers import Tokenizer
 
     from skein.llm import mixing, quality
@@ -47,7 +48,7 @@ def brute_run(rows):
     left = {d: t for d, _, _, t in brute_lines([(r["doc_id"], r["text"]) for r in rows])}
     rows = [{**r, "text": left[r["doc_id"]]} for r in rows]
 
-    groups, first = brute_groups([brute_print(r["text"]) for r in rows], 3), {}
+    groups, first = by_prints([r["text"] for r in rows]), {}
     for r, g in zip(rows, groups, strict=True):
         if g not in first or r["doc_id"] < first[g]["doc_id"]:
             first[g] = r
