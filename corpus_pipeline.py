@@ -2,8 +2,8 @@
 
 1. quality: documents that fail a base rule, or whose host fails as a whole, go.
 2. line dedup: lines that other documents hold too stay in the smallest doc_id; n_chars follows the text.
-3. near dedup: one document of each group stays (the smallest doc_id); texts whose five-word shingles have a Jaccard
-   of 0.8 or more are in one group.
+3. near dedup: one document of each group stays (the smallest doc_id); groups are linked where SimHash fingerprints of
+   five-word shingles say that the cosine is 0.8 or more, which takes in a Jaccard of 0.8.
 4. mixing: documents are sampled so that sources, languages and topics come nearer to equal weights.
 5. tokens: ids of every whole text, with a check that they decode to it.
 
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, line_dedup, mixing, near_copies, quality
+from skein.llm import bpe, line_dedup, mixing, quality, simhash
 from skein.llm.common import new_path, read_table
 
 #: The share of the tokens that mixing keeps.
 BUDGET = 0.8
+#: The cosine of two texts' sets of five-word shingles from which near dedup links them.
+SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs, simhash.Prints.similar(SIMILARITY))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
