@@ -1,12 +1,12 @@
 """Line dedup over the whole corpus, in DataFrame operations only.
 
-Lines become 128-bit hashes of their keys. (hash, document, position) rows are range-partitioned and
-sorted by hash, then document, then position, so that in each range the first row of a hash is its
-first occurrence; the ranges' first and last documents of a hash meet in one aggregation, to which a
-range sends a row for each hash. A line that a third of the documents hold is spread over many ranges,
-as document and position belong to the range key. Hashes found in two documents or more are joined
-back to their later occurrences, and each document gets its runs of kept and dropped lines: a
-run-length bitmap, not text. ``apply_bitmaps`` cuts the texts where that is wanted.
+Lines become 128-bit hashes of their keys. (hash, document, position) rows are range-partitioned by all three,
+so that a line that a third of the documents hold is spread over many ranges. Each range is sorted by hash, then
+document, then position, and streamed: a row whose hash is not the row's before it is its hash's first
+occurrence there, and the rows after it look back to that one. Only what crosses a border is carried: one row
+for each range says where the run of its last hash began, and the ranges that begin inside that run take the
+earliest. Rows of a later document than the first are dropped, and each document gets its runs of kept and dropped
+lines: a run-length bitmap, not text. ``apply_bitmaps`` cuts the texts where that is wanted.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z in lower case. Keys
 of at least ``min_chars`` code points found in two documents or more stay only in the smallest doc_id
@@ -19,7 +19,7 @@ the same lines; other columns pass through ``drop_lines``; an empty table stays
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import packed, read_table, written
@@ -47,15 +47,28 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "text_hash", "pos")
 
 
+def later_occurrences(occurrences: DataFrame) -> DataFrame:
+    """Those of the rows (h1, h2, doc, text_hash, pos) whose hash a smaller doc holds."""
+    order = ["h1", "h2", "doc", "pos"]
+    ranged = written(occurrences.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # one row for each range: its first hash, and its last with the least document that holds it there
+    last = F.max(F.struct("h1", "h2", F.bitwise_not("doc").alias("not_doc")))
+    edges = written(ranged.groupBy("_range").agg(F.min(F.struct("h1", "h2")).alias("low"), last.alias("high")), "edges")
+    begun = edges.groupBy("high.h1", "high.h2").agg(F.min(F.bitwise_not("high.not_doc")).alias("_carried"))
+    carried = edges.select("_range", "low.h1", "low.h2").join(F.broadcast(begun), ["h1", "h2"])
+    # what streams: the row before, and the last row that began a hash
+    rows = Window.partitionBy("_range").orderBy(*order)
+    new = ~(F.lag("h1").over(rows).eqNullSafe(F.col("h1")) & F.lag("h2").over(rows).eqNullSafe(F.col("h2")))
+    first = F.last(F.when(F.col("_new"), F.col("doc")), ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    streamed = ranged.withColumn("_new", new).withColumn("_first", first)
+    # as many rows as there are ranges
+    known = streamed.join(F.broadcast(carried), ["_range", "h1", "h2"], "left")
+    return known.filter(F.col("doc") > F.least("_first", "_carried")).select(*occurrences.columns)
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, text_hash, n_dropped, runs) of documents that lose lines; runs: alternating numbers of lines to keep and to drop."""
-    order = ["h1", "h2", "doc", "pos"]
-    narrow = written(line_occurrences(docs, min_chars), "lines")  # texts are split once; ranges are drawn from hashes
-    ranged = written(narrow.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
-    firsts = ranged.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    # as a table of its own, so that both sides of the join are dealt out anew and a line in very many documents can be split
-    repeated = written(firsts.filter(F.col("first_doc") < F.col("last_doc")).select("h1", "h2", "first_doc"), "repeated")
-    later = ranged.join(repeated, ["h1", "h2"]).filter(F.col("doc") > F.col("first_doc"))
+    later = later_occurrences(written(line_occurrences(docs, min_chars), "lines"))  # texts are split once; ranges are drawn from hashes
     dropped = later.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # as many as a document has lines
     at = F.col("at")
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))

@@ -308,6 +308,26 @@ def test_bitmaps_are_runs(spark):
     assert one["doc"] == 2 and one.n_dropped == 3 and [tuple(x) for x in one.runs] == [(1, 2), (1, 1)]
 
 
+def test_first_occurrences_cross_borders_of_ranges(spark):
+    """Hashes that fill whole ranges, begin inside one or end at a border; documents' order is not the rows' order."""
+    import random
+
+    draw = random.Random(2)
+    rows = [(h, h + 1, d, 7, p) for h, docs in ((5, 200), (6, 1), (7, 3), (8, 150), (9, 40)) for d in draw.sample(range(10**6), docs) for p in range(draw.randint(1, 3))]
+    rows += [(h, h + 1, -h, 7, 0) for h in range(1000, 1100)]
+    draw.shuffle(rows)
+    least = {}
+    for h, _, d, _, _ in rows:
+        least[h] = min(least.get(h, d), d)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "h1 long, h2 long, doc long, text_hash long, pos int").repartition(5)
+        got = Counter(map(tuple, line_dedup.later_occurrences(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == Counter(r for r in rows if r[2] > least[r[0]])
+
+
 # quality
 
 
