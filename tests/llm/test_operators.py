@@ -433,33 +433,40 @@ def test_components_of_long_chains(spark):
 # language models
 
 
-def test_scores_equal_counts_by_dictionary(spark, awkward, empty):
-    labels = spark.createDataFrame([(3, 1), (5, 1), (5, 0), (7, 1), (8, 0), (None, 1), (9, None)], "doc_id long, quality int")
+@pytest.mark.parametrize(("chunk_bytes", "part_grams"), [(8 << 20, 4 << 20), (3000, 400)])
+def test_scores_equal_counts_by_dictionary(spark, awkward, empty, chunk_bytes, part_grams):
+    """A target document's own counts are not in the target that it is scored by."""
+    labels = spark.createDataFrame([(3, 1), (5, 1), (5, 0), (7, 1), (8, 0), (None, 1), (9, None), (777, 1)], "doc_id long, quality int")
     rows = awkward.collect()
-    tokens = lambda t: lm_scoring.buckets(lm_scoring.word_hashes(t or ""))
-    assert all(len(tokens(r.text)[0]) == len(WORD.findall(r.text or "")) for r in rows)
-    models = []
-    for own in (rows, [r for r in rows if r.doc_id in (3, 5, 7)]):
-        words, pairs, starts = Counter(), Counter(), Counter()
-        for r in own:
-            w, p = tokens(r.text)
-            words.update(w.tolist())
-            pairs.update(p.tolist())
-            starts.update(w[:-1].tolist())
-        models.append((words, pairs, starts, sum(words.values())))
-
-    def loss(model, text):
-        words, pairs, starts, n = model
-        w, p = (x.tolist() for x in tokens(text))
-        one = [(words[x] + lm_scoring.ALPHA) / (n + lm_scoring.ALPHA * lm_scoring.WORD_BUCKETS) for x in w]
-        both = [(pairs[p[i - 1]] + lm_scoring.MU * one[i]) / (starts[w[i - 1]] + lm_scoring.MU) for i in range(1, len(w))]
-        return -sum(map(math.log, one[:1] + both)) / len(w)
-
-    done = lm_scoring.score(awkward, labels)
+    words = {r.text: WORD.findall(lower(r.text or "")) for r in rows}
+    vocabulary = len({w for own in words.values() for w in own})
+
+    def counts(own):
+        single, pairs = Counter(), Counter()
+        for t in own:
+            single.update(words[t])
+            pairs.update(zip(words[t], words[t][1:], strict=False))
+        return single, pairs
+
+    every = [counts([r.text for r in rows]), counts([r.text for r in rows if r.doc_id in (3, 5, 7)])]
+
+    def losses(text, good):
+        mine = counts([text] * good)
+        (a, b), (c, d) = every[0], (every[1][0] - mine[0], every[1][1] - mine[1])
+        n, w = sum(c.values()), words[text]
+        for single, pairs, scale in ((a, b, n / sum(a.values())), (c, d, 1)):
+            one = [(scale * single[x] + lm_scoring.ALPHA) / (n + lm_scoring.ALPHA * vocabulary) for x in w]
+            both = [(scale * pairs[w[i - 1], w[i]] + lm_scoring.MU * one[i]) / (scale * single[w[i - 1]] + lm_scoring.MU) for i in range(1, len(w))]
+            yield -sum(map(math.log, one[:1] + both)) / len(w)
+
+    done = lm_scoring.score(awkward, labels, chunk_bytes, part_grams)
     assert done.columns == [*[c for c in awkward.columns if c != "n_words"], "n_words", "target_loss", "background_loss", "score"]
-    for r in done.collect():
+    got = done.collect()
+    assert Counter((r.doc_id, r.text, r.key, r.size) for r in got) == Counter((r.doc_id, r.text, r.key, r["size"]) for r in rows)
+    for r in got:
+        assert r.n_words == len(words[r.text])
         if r.n_words:
-            background, target = loss(models[0], r.text), loss(models[1], r.text)
+            background, target = losses(r.text, r.doc_id in (3, 5, 7))
             assert r.target_loss == pytest.approx(target) and r.background_loss == pytest.approx(background) and r.score == pytest.approx(background - target)
         else:
             assert r.score is None
@@ -467,6 +474,15 @@ def test_scores_equal_counts_by_dictionary(spark, awkward, empty):
     assert lm_scoring.score(awkward, labels.limit(0)).count() == awkward.count()
 
 
+def test_a_word_in_every_chunk_is_one_message_a_chunk(spark):
+    """A hot pair and a hot word are sent once by each chunk, however often they come up."""
+    df = spark.createDataFrame([(k, "hot pair " * 200) for k in range(300)], "doc_id long, text string")
+    rows = lm_scoring.score(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), 20_000, 1000).collect()
+    assert len(rows) == 300 and len({round(r.background_loss, 9) for r in rows if r.doc_id != 1}) == 1
+    own = lm_scoring.Chunk(["hot pair " * 200] * 50, [False] * 50, lm_scoring.Space(2, 16))
+    assert len(own.grams) == 4 and own.total.sum() == 50 * (400 + 399)
+
+
 def test_scores_tell_kinds_of_text_apart(spark):
     import random
 
