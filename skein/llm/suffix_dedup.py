@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,9 +265,13 @@ def _covered_by_windows(pieces: DataFrame, length: int) -> DataFrame:
 
     rows = pieces.select("n", "doc", "text_hash", "start", "data").mapInArrow(run, "w1 long, w2 long, n long, doc long, text_hash long, a long")
     rows = written(rows, "windows")
-    again = rows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2")
-    found = rows.filter("n = 1").join(again, ["w1", "w2"], "left_semi")
-    return found.select("doc", "text_hash", "a", (F.col("a") + length).alias("b"))
+    again = written(rows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1").select("w1", "w2"), "again")
+    found = rows.filter("n = 1").join(again, ["w1", "w2"], "left_semi").select("doc", "text_hash", "a").distinct()
+    # windows that touch become one run before a text gathers its own
+    order = Window.partitionBy("doc", "text_hash").orderBy("a")
+    found = found.withColumn("new", F.coalesce(F.col("a") > F.lag("a").over(order) + length, F.lit(True)).cast("long"))
+    found = found.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return found.groupBy("doc", "text_hash", "run").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).drop("run")
 
 
 def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -275,14 +279,15 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     found = written(find_segments(docs, length, gram), "segments")
     # a table of its own, so that the join deals both sides out anew and a key of very many rows can be split
     shared = written(found.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "keys")
-    rows = written(found.join(shared, "key"), "shared")
+    # dealt out by document: a key or segment of very many rows lies in every file, so that later joins can split it
+    rows = written(found.join(shared, "key").repartition("doc", "start"), "shared")
     distinct = rows.groupBy("key", "segment").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc", "text_hash", "start", "size", "place")])
     distinct = written(distinct, "distinct")
     copies = rows.join(distinct.filter("n > 1").select("key", "segment"), ["key", "segment"], "left_semi")
     copies = copies.select("doc", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
 
     keys = distinct.groupBy("key").agg(F.count("*").alias("different"), F.sum("size").alias("bytes")).filter("different > 1")
-    wanted = distinct.join(keys.select("key", "bytes"), "key")
+    wanted = distinct.join(written(keys.select("key", "bytes"), "sizes"), "key")
     wanted = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "segment", "n", "start", "size", "place", (F.col("bytes") > SHARD_BYTES).alias("many"))).alias("wanted"))
     texts = docs.select(*_document(), _bytes()).join(wanted, ["doc", "text_hash"])
     kind = "key long, segment long, n long, start long, place int, many boolean"
@@ -296,7 +301,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "segment", "n", "start", "place", "many", "doc", "text_hash", "data"])
 
     pieces = texts.select("doc", "text_hash", "data", "wanted").mapInArrow(cut, f"{kind}, doc long, text_hash long, data binary")
-    # rows that repeat an id and text would give a segment twice
+    # rows that repeat an id and text give a segment twice, which then marks itself: it is one of n > 1 and covered anyway
     pieces = written(pieces, "pieces")
     spans = copies.union(_covered_in_shards(pieces.filter("not many"), length, gram)).union(_covered_by_windows(pieces.filter("many"), length))
     return spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
