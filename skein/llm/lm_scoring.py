@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from skein.llm.common import free_names, read_table, ship
 
 CHUNK_BYTES = 8 << 20
-PART_GRAMS = 4 << 20
+PART_GRAMS = 2 << 20
 ALPHA, MU = 0.1, 50.0
 #: Words whose hash a worker keeps; it starts anew beyond.
 KEPT_WORDS = 200_000
@@ -90,6 +90,17 @@ class Space:
         return (((part + np.uint64(first)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))).view(np.int64)
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """A byte for each count; those from 255 on follow as 64-bit integers."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, -1, n) if len(data) > n else 0
+    return out
+
+
 class Chunk:
     """A chunk's documents as numbers, and its counts of every different n-gram."""
 
@@ -145,7 +156,7 @@ def _answer(rows: list[tuple], chunks: int) -> list[tuple]:
     grams = [np.frombuffer(r[2], np.uint32) for r in rows]
     sizes = [len(g) for g in grams]
     own, at = np.unique(np.concatenate(grams), return_inverse=True)
-    weight = lambda k: np.bincount(at, np.concatenate([np.frombuffer(r[k], np.uint32) for r in rows]), len(own)).astype(np.int64)
+    weight = lambda k: np.bincount(at, np.concatenate([unsqueezed(r[k], n) for r, n in zip(rows, sizes, strict=True)]), len(own)).astype(np.int64)
     total, target = weight(3), weight(4)
     held = np.bincount(at, minlength=len(own))
     sums = (int(total.sum()), int(target.sum()), len(own)) if rows[0][5] else (0, 0, 0)  # pairs' parts have no words
@@ -154,7 +165,7 @@ def _answer(rows: list[tuple], chunks: int) -> list[tuple]:
         mine = at[start : start + size]
         start += size
         mine = mine[held[mine] > 1]
-        out.append((r[0], part, own[mine].tobytes(), total[mine].tobytes(), target[mine].tobytes(), *sums))
+        out.append((r[0], part, own[mine].tobytes(), squeezed(total[mine]), squeezed(target[mine]), *sums))
         seen.add(r[0])
     if sums[0]:
         out += [(c, part, b"", b"", b"", *sums) for c in range(chunks) if c not in seen]
@@ -188,8 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES, pa
         number, out = texts.column(chunk)[0].as_py(), []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=False):
             p = int(part[a])
-            columns = ((own.grams[a:b] & 0xFFFFFFFF).astype(np.uint32), own.total[a:b].astype(np.uint32), own.target[a:b].astype(np.uint32))
-            out.append((number, p, *(x.tobytes() for x in columns), int(p < space.words), 0, 0))
+            out.append((number, p, (own.grams[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes(), squeezed(own.total[a:b]), squeezed(own.target[a:b]), int(p < space.words), 0, 0))
         return pa.Table.from_batches([_message(out)])
 
     def add(batches):
@@ -210,7 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES, pa
         sums = np.zeros(3, np.int64)
         for row in notes.filter(pa.array(~is_label)).to_pylist():
             at = np.searchsorted(own.grams, (row["part"] << 32) + np.frombuffer(row["grams"], np.uint32).astype(np.int64))
-            total[at], target[at] = np.frombuffer(row["total"], np.int64), np.frombuffer(row["target"], np.int64)
+            total[at], target[at] = unsqueezed(row["total"], len(at)), unsqueezed(row["target"], len(at))
             sums += row["words"], row["target_words"], row["vocabulary"]
         found = own.scores(total, target, *sums.tolist())
         columns = list(zip(*found, strict=True)) if found else [()] * 4

@@ -15,7 +15,7 @@ from skein.functions import fuzzy
 from skein.functions import text as X
 from skein.operators import resolve
 from skein.schemas import AMBIGUOUS, INFERRED
-from skein.shared import ship
+from skein.shared import ship, stored
 
 
 def backtick_mentions(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def _tiers(prefix: str, provider):
 
         def add(concept, target, confidence, tier):
             taken.add(target)
-            out.append((concept, target, confidence, tier))
+            out.append((concept, target, None, confidence, tier))
 
         for r in rows.itertuples():
             exact, normal = list(r.exact), list(r.normalized)
@@ -77,13 +77,10 @@ def _tiers(prefix: str, provider):
             else:
                 pending.append((r.concept_id, r.name_))
         if pending and provider is not None:
-            known = dict(provider.symbols())
-            answers = provider.link([n for _, n in pending], list(known))
-            for concept, name in pending:
-                target = known.get(answers.get(name))
-                if target is not None and target not in taken:
-                    add(concept, target, AMBIGUOUS, "vision_semantic_llm_link_batch" if prefix == "vision" else "semantic_llm_link_batch")
-        return pd.DataFrame([(rows["rel_path"].iloc[0], *x) for x in out], columns=["rel_path", "source", "target", "confidence", "context"])
+            answers = provider.ask([n for _, n in pending])
+            tier = "vision_semantic_llm_link_batch" if prefix == "vision" else "semantic_llm_link_batch"
+            out += [(concept, None, answers[name], AMBIGUOUS, tier) for concept, name in pending if name in answers]
+        return pd.DataFrame([(rows["rel_path"].iloc[0], k, *x) for k, x in enumerate(out)], columns=["rel_path", "place", "source", "target", "answer", "confidence", "context"])
 
     return link
 
@@ -108,10 +105,21 @@ def link_concepts(concepts: DataFrame, symbols: DataFrame, already: DataFrame, p
     rows = concepts.join(in_order(exact, "exact"), "concept_id", "left").join(in_order(normalized_matches(concepts, symbols, prefix == "vision"), "normalized"), "concept_id", "left")
     rows = rows.join(best, "name", "left").join(taken, "rel_path", "left").withColumnRenamed("name", "name_")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("exact", "normalized", "already")})
-    linked = rows.groupBy("rel_path").applyInPandas(_tiers(prefix, provider), "rel_path string, source string, target string, confidence string, context string")
+    linked = rows.groupBy("rel_path").applyInPandas(_tiers(prefix, provider), "rel_path string, place int, source string, target string, answer string, confidence string, context string")
+    if provider is not None:
+        linked = _checked(stored(linked, "linked"), symbols, already)
     return linked.select("source", "target", F.lit("references").alias("relation"), "confidence", F.col("rel_path").alias("source_file"), "context")
 
 
+def _checked(linked: DataFrame, symbols: DataFrame, already: DataFrame) -> DataFrame:
+    """linked with a provider's answers as targets, where they are symbols that the file doesn't refer to yet: a file's first one for each."""
+    sure = linked.filter("answer is null")
+    answered = linked.filter("answer is not null").drop("target").join(symbols.select(F.col("name").alias("answer"), F.col("id").alias("target")), "answer")
+    known = sure.select("rel_path", "target").unionByName(already.select("rel_path", "target"))
+    new = answered.join(known, ["rel_path", "target"], "left_anti").groupBy("rel_path", "target").agg(F.min(F.struct("place", "source", "confidence", "context")).alias("first"))
+    return sure.select("rel_path", "target", "source", "confidence", "context").unionByName(new.select("rel_path", "target", "first.source", "first.confidence", "first.context"))
+
+
 def relation_edges(relations: DataFrame, concepts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Edges between what a file's relations name: its concepts, or, with symbols, a symbol first. Others fall away.
 

@@ -54,7 +54,8 @@ def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFra
     named = parts["concepts"].join(files.select("rel_path", F.col("modality").alias("of")), "rel_path")
     linker = None
     if provider is not None:
-        linker = providers.Linker(provider, {r["name"]: r["id"] for r in symbols.select("name", "id").orderBy("seq").limit(100_000).collect()})
+        shown = symbols.select("name").distinct().orderBy("name").limit(providers.CANDIDATES).collect()
+        linker = providers.Linker(provider, [r["name"] for r in shown])
     for prefix, kinds in (("semantic", ("document",)), ("vision", ("image",))):
         own = named.filter(F.col("of").isin(*kinds)).drop("of")
         made.append(concepts.link_concepts(own, symbols, described, prefix, linker))

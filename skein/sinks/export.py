@@ -1,4 +1,4 @@
-"""The graph on disk: Parquet tables, and for bounded graphs one JSON file, a page to look at and a report."""
+"""The graph on disk: Parquet tables, one JSON file with all of it, a page with the best connected part and a report."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import community, graph
 
-#: A page or a JSON file holds so many nodes and edges at most; Parquet holds all.
+#: A page draws so many nodes and edges; it says how many it leaves out. The JSON file and the tables hold all.
 SHOWN_NODES, SHOWN_EDGES = 5_000, 20_000
 
 
@@ -37,14 +37,29 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def graph_dict(nodes: DataFrame, edges: DataFrame) -> dict:
-    """Node-link form of at most SHOWN_NODES nodes, the best connected ones, and the edges among them."""
-    best = nodes.join(graph.degrees(edges), "id", "left").orderBy(F.desc_nulls_last("degree"), "seq").limit(SHOWN_NODES)
-    rows = [r.asDict(recursive=True) for r in best.collect()]
+    """Node-link form of what a page shows: the SHOWN_NODES best connected nodes, and the first SHOWN_EDGES edges among them."""
     from skein.operators.traverse import induced_edges
 
-    kept = induced_edges(edges, best).limit(SHOWN_EDGES)
+    best = nodes.join(graph.degrees(edges), "id", "left").orderBy(F.desc_nulls_last("degree"), "seq").limit(SHOWN_NODES)
+    rows = [r.asDict(recursive=True) for r in best.collect()]
+    kept = induced_edges(edges, best).orderBy("seq").limit(SHOWN_EDGES)
     links = [r.asDict(recursive=True) for r in graph.keyed_edges(kept).orderBy("seq").collect()]
-    return {"directed": True, "multigraph": True, "graph": {}, "nodes": rows, "edges": links}
+    left_out = {"nodes": nodes.count() - len(rows), "edges": edges.count() - len(links)}
+    return {"directed": True, "multigraph": True, "graph": {"left_out": left_out}, "nodes": rows, "edges": links}
+
+
+def write_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The whole graph in node-link form, a row at a time: memory holds a partition's rows, however large the graph is."""
+    parts = (("nodes", nodes.orderBy("seq")), ("edges", graph.keyed_edges(edges).orderBy("seq")))
+    with open(path, "w", encoding="utf-8") as out:
+        out.write('{"directed": true, "multigraph": true, "graph": {}')
+        for name, rows in parts:
+            lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+            for k, row in enumerate(lines.toLocalIterator()):
+                out.write(f', "{name}": [\n' if not k else ",\n")
+                out.write(row["line"])
+            out.write("]" if rows.take(1) else f', "{name}": []')
+        out.write("}\n")
 
 
 def from_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -104,6 +119,6 @@ def export(nodes: DataFrame, edges: DataFrame, out: str, provider=None) -> None:
     write_tables(nodes, edges, out)
     nodes, edges = read_tables(nodes.sparkSession, out)
     shown, info = graph_dict(nodes, edges), community_info(nodes, edges, provider)
-    Path(out, "graph.json").write_text(json.dumps(shown, ensure_ascii=False, default=str), encoding="utf-8")
+    write_json(nodes, edges, str(Path(out, "graph.json")))
     Path(out, "graph.html").write_text(_PAGE % (_json(shown), _json(info)), encoding="utf-8")
     Path(out, "REPORT.md").write_text("\n".join(report_lines(nodes, edges)) + "\n", encoding="utf-8")

@@ -34,8 +34,8 @@ class Profile:
 
 
 _MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|readonly|get|set|sealed|synchronized|native|default|export|extern|unsafe|partial|open|suspend|inline|operator|external|late|const|factory)\s+)*"
-_TYPED_METHOD = rf"^[ \t]*{_MODIFIERS}(?:<[^>\n]+>\s*)?[\w$<>\[\],.?& \t*:]*?[\w$>\]?*&]\s+\**&?({NAME})\s*\([^;{{}}]*?\)\s*(?:const|noexcept|override|throws\s+[\w., ]+|async\*?|sync\*)?\s*(?={{|=>)"
-_SCRIPT_METHOD = rf"^[ \t]*(?:(?:static|async|public|private|protected|readonly|get|set|override|abstract)\s+)*\*?({NAME})\s*(?:<[^>\n]*>)?\([^;{{}}]*?\)\s*(?::[^={{;\n]+)?(?={{)"
+_TYPED_METHOD = rf"(?:^|[{{}};])[ \t]*{_MODIFIERS}(?:<[^>\n]+>\s*)?[\w$<>\[\],.?& \t*:]*?[\w$>\]?*&]\s+\**&?({NAME})\s*\([^;{{}}]*?\)\s*(?:const|noexcept|override|throws\s+[\w., ]+|async\*?|sync\*)?\s*(?={{|=>)"
+_SCRIPT_METHOD = rf"(?:^|[{{}};])[ \t]*(?:(?:static|async|public|private|protected|readonly|get|set|override|abstract)\s+)*\*?({NAME})\s*(?:<[^>\n]*>)?\([^;{{}}]*?\)\s*(?::[^={{;\n]+)?(?={{)"
 _SCRIPT = Profile(
     classes=rf"\bclass\s+({NAME})",
     functions=rf"\bfunction\s*\*?\s*({NAME})\s*(?:<[^>\n]*>)?\(|{_SCRIPT_METHOD}",
@@ -53,7 +53,7 @@ PROFILES: dict[str, Profile] = {
     "cpp": Profile(r"\b(?:class|struct)\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^;{]*)?(?=\{)", _TYPED_METHOD, (r"^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]",), quotes="\"'"),
     "csharp": Profile(rf"\b(?:class|interface|struct)\s+({NAME})", _JAVA_LIKE, (r"^[ \t]*using\s+(?:static\s+)?([\w.]+)\s*;",), namespace=r"^[ \t]*namespace\s+([\w.]+)\s*(?=\{)"),
     "go": Profile(r"^[ \t]*type\s+([A-Za-z_]\w*)\s", r"^[ \t]*func\s+(?:\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)[^)]*\)\s*)?([A-Za-z_]\w*)\s*[\[(]", (r"^[ \t]*import\s+(?:\w+\s+)?\"([^\"\n]+)\"",), quotes="\"'`"),
-    "rust": Profile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+)*fn\s+([A-Za-z_]\w*)", (r"^[ \t]*(?:pub\s+)?use\s+([\w:]+::\w+)\s*;",), reopens=r"^[ \t]*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?([A-Za-z_]\w*(?:<[^>{]*>)?)", calls=r"(?<![\w:!])([A-Za-z_]\w*)\s*\(", quotes='"'),
+    "rust": Profile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+)*fn\s+([A-Za-z_]\w*)", (r"^[ \t]*(?:pub\s+)?use\s+([\w:]+::\w+)\s*;",), reopens=r"^[ \t]*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?([A-Za-z_]\w*(?:<[^>{]*>)?)", calls=r"(?<![\w:!])([A-Za-z_]\w*)\s*\(", quotes='"', not_calls=NOT_CALLS | {"pub"}),
     "php": Profile(r"\bclass\s+([A-Za-z_]\w*)", r"\bfunction\s+&?([A-Za-z_]\w*)\s*\(", (r"^[ \t]*use\s+([^;(]+?)\s*;",), line_comments=("//", "#"), calls=r"(?<![\w$])(?<!new )([A-Za-z_]\w*)\s*\(", quotes="\"'"),
     "kotlin": Profile(r"\bclass\s+([A-Za-z_]\w*)", r"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\(", (r"^[ \t]*import\s+([\w.]+)",), quotes="\"'"),
     "swift": Profile(r"\bclass\s+(?!func\b)([A-Za-z_]\w*)", r"\bfunc\s+([A-Za-z_]\w*)\s*[<(]", (r"^[ \t]*import\s+([\w.]+)",), quotes='"'),
@@ -105,7 +105,7 @@ def events(text: str, language: str) -> tuple[list[tuple], str | None]:
             name = next((g for g in groups if g), None)
             if name is None or kind == "function" and name in profile.not_names:
                 continue
-            at = m.start() + len(m[0]) - len(m[0].lstrip())
+            at = m.start() + len(m[0]) - len(m[0].lstrip(" \t\r\n{};"))
             if kind == "function" and re.match(r"(?:return|else|new|throw|await|case)\b", clean[at:]):
                 continue
             index = next(k for k in range(1, m.re.groups + 1) if k != m.re.groupindex.get("owner") and m[k])

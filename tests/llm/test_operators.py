@@ -474,6 +474,11 @@ def test_scores_equal_counts_by_dictionary(spark, awkward, empty, chunk_bytes, p
     assert lm_scoring.score(awkward, labels.limit(0)).count() == awkward.count()
 
 
+def test_counts_of_any_size_come_back():
+    counts = np.array([0, 1, 254, 255, 256, 2**40, 255])
+    assert lm_scoring.unsqueezed(lm_scoring.squeezed(counts), 7).tolist() == counts.tolist() and lm_scoring.unsqueezed(b"", 0).tolist() == []
+
+
 def test_a_word_in_every_chunk_is_one_message_a_chunk(spark):
     """A hot pair and a hot word are sent once by each chunk, however often they come up."""
     df = spark.createDataFrame([(k, "hot pair " * 200) for k in range(300)], "doc_id long, text string")

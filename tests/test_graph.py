@@ -1,5 +1,7 @@
 """Operators on small tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,11 +211,8 @@ def test_tiers(spark):
         def __init__(self, answers):
             self.answers = answers
 
-        def symbols(self):
-            return {"checkPassword": "t1", "save": "t2"}
-
-        def link(self, names, candidates):
-            return self.answers
+        def ask(self, names):
+            return {n: self.answers[n] for n in names if n in self.answers}
 
     symbols = spark.createDataFrame([("checkPassword", "t1", 1), ("save", "t2", 2)], "name string, id string, seq long")
     rows = [("d", "c1", "the save step", 1), ("d", "c2", "check_password", 2), ("d", "c3", "checkPasswrd", 3), ("e", "c4", "checkPasswrd", 1), ("f", "c5", "persist", 1), ("g", "c6", "made up", 1)]
@@ -232,4 +231,33 @@ def test_answers_must_be_symbols():
         def link_names(self, names, candidates):
             return {"a": "real", "b": "invented", "c": None}
 
-    assert providers.Linker(Model(), {"real": "1"}).link(["a", "b", "c"], ["real"]) == {"a": "real"}
+    assert providers.link_names(Model(), ["a", "b", "c"], {"real"}) == {"a": "real"} and providers.link_one(Model(), "b", {"real": "1"}) is None
+
+
+def test_answers_name_any_symbol_and_each_once_a_file(spark):
+    """Beyond the candidates that a model is shown, too; a symbol that a file refers to already isn't linked again."""
+
+    class Links:
+        def ask(self, names):
+            return {n: "zz900" for n in names} | {"taken": "zz001"}
+
+    symbols = spark.createDataFrame([(f"zz{k:03}", f"t{k}", k) for k in range(1000)], "name string, id string, seq long")
+    found = spark.createDataFrame([("d", "c1", "unheard", 1), ("d", "c2", "of", 2), ("d", "c3", "taken", 3), ("e", "c4", "other", 1)], "rel_path string, concept_id string, name string, pos int")
+    got = concepts.link_concepts(found, symbols, spark.createDataFrame([("d", "t1")], "rel_path string, target string"), provider=Links())
+    assert {(r.source, r.target, r.source_file) for r in got.collect()} == {("c1", "t900", "d"), ("c4", "t900", "e")}
+
+
+def test_replies_with_and_without_fences():
+    one = {"entities": [{"name": "a"}]}
+    text = json.dumps(one)
+    for raw in (text, f"  {text}\n", f"```json\n{text}\n```", f"```\n{text}```", f"```{text}```", f"```json\n{text}"):
+        assert providers.parse_reply(raw) == one
+    for raw in ("", "no", "[1]", "```\nno\n```"):
+        assert providers.parse_reply(raw) == {"entities": [], "relations": []}
+
+
+def test_long_answers_end_with_a_whole_line():
+    lines = "\n".join(f"fact {k}" for k in range(500))
+    body = providers.fallback_answer(lines).split("\n\n", 1)[1]
+    assert body.endswith("\n[...]") and len(body) <= 806 and body[:-6] + "\nfact" in lines
+    assert providers.shortened("x" * 900) == "x" * 800 + "\n[...]" and "Nothing" in providers.fallback_answer(" ")

@@ -208,3 +208,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graph_json_holds_all_of_a_large_graph(spark, tmp_path):
+    from skein.sinks import export
+
+    nodes = spark.range(10_000).selectExpr("concat('n', id) AS id", "concat('label </', id) AS label", "'code' AS modality", "'f' AS source_file", "CAST(NULL AS STRING) AS source_location", "id AS seq")
+    edges = spark.range(30_000).selectExpr("concat('n', id % 10000) AS source", "concat('n', (id * 7 + 1) % 10000) AS target", "'calls' AS relation", "'EXTRACTED' AS confidence", "'f' AS source_file", "id AS seq")
+    export.write_json(nodes, edges, f"{tmp_path}/graph.json")
+    whole = json.loads(open(f"{tmp_path}/graph.json").read())
+    assert [n["id"] for n in whole["nodes"]] == [f"n{k}" for k in range(10_000)] and len(whole["edges"]) == 30_000
+    assert whole["nodes"][0]["source_location"] is None and whole["directed"] and whole["multigraph"]
+    again, links = export.from_json(spark, f"file://{tmp_path}/graph.json")
+    assert again.count() == 10_000 and links.count() == 30_000
+    export.write_json(nodes.limit(0), edges.limit(0), f"{tmp_path}/empty.json")
+    assert json.loads(open(f"{tmp_path}/empty.json").read())["nodes"] == []
+    shown = export.graph_dict(nodes, edges)
+    assert shown["graph"]["left_out"] == {"nodes": 5000, "edges": 30_000 - len(shown["edges"])}
