@@ -9,8 +9,8 @@ words a shingle has, how many times 64 bits a fingerprint, whether repeats count
   0.8 have a cosine of 0.889 at least, so nearly all of them are within (the README has the measured share).
   A cosine of 0.8 also needs sizes within 0.64 of each other, which rules out most pairs of texts.
 
-Equal fingerprints are one row from then on. Rows are range-partitioned in order of their population counts (of
-all bits, then of halves and quarters), or of their sizes where sizes matter, and packed into tiles. Only
+Equal fingerprints are one row from then on. Rows are numbered in order of their population counts (of
+all bits, then of halves and quarters), or of their sizes where sizes matter, and packed into tiles of so many. Only
 pairs of tiles whose population counts, or sizes, come within reach are dealt out, each to a task of its
 own. There sub-tiles are compared by exclusive-or and bit counts, and a pair of sub-tiles is left out where
 the population counts of any blocks of bits add up to a difference beyond the radius, or the sizes
@@ -35,12 +35,12 @@ from math import acos, log, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import read_table, ship, written
 from skein.llm.components import components
+from skein.shared import numbered
 
 SEED = 42
 #: A tile holds a 64th of the rows, within these bounds (a layout: whatever they are, all pairs are compared).
@@ -230,34 +230,32 @@ def _reach(kind: Prints) -> int:
 
 
 def tiles(prints: DataFrame, kind: Prints, rows: int) -> DataFrame:
-    """(id, low, high, data): prints (fp, n, w0 ...) in order, packed ``rows`` at a time, with the least and the largest level."""
+    """(id, low, high, data): prints (fp, n, w0 ...) in order, packed ``rows`` at a time however many partitions there are, with the least and the largest level."""
     half, quarter = F.bit_count(F.shiftrightunsigned("w0", 32)), F.bit_count(F.col("w0").bitwiseAND(F.lit(0xFFFF0000FFFF)))
     order = ["n", "fp"] if kind.ratio else ["level", half, quarter, "fp"]
-    placed = prints.withColumn("level", _level(kind)).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = numbered(prints.withColumn("level", _level(kind)), "place", *order)
+    dealt = placed.withColumn("id", F.floor(F.col("place") / rows)).repartition("id").sortWithinPartitions("id", "place")
 
-    def pack(batches):
-        number, held, count = TaskContext.get().partitionId() << 32, [], 0
-
-        def cut(part: np.ndarray):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([part[0, 0]], pa.int32()), pa.array([part[-1, 0]], pa.int32()), pa.array([np.ascontiguousarray(part[:, 1:]).tobytes()], pa.binary())],
-                names=["id", "low", "high", "data"],
-            )
+    def cut(parts: list[np.ndarray]) -> pa.RecordBatch:
+        whole = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(whole[:1, 0], pa.int64()), pa.array(whole[:1, 1], pa.int32()), pa.array(whole[-1:, 1], pa.int32()), pa.array([np.ascontiguousarray(whole[:, 2:]).tobytes()], pa.binary())],
+            names=["id", "low", "high", "data"],
+        )
 
+    def pack(batches):
+        held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
-            count += batch.num_rows
-            if count >= rows:
-                whole = np.concatenate(held)
-                for start in range(0, count - rows + 1, rows):
-                    yield cut(whole[start : start + rows])
-                    number += 1
-                held = [whole[count - count % rows :]]
-                count %= rows
-        if count:
-            yield cut(np.concatenate(held))
-
-    return written(placed.select("level", "fp", "n", *kind.columns).mapInArrow(pack, "id long, low int, high int, data binary"), "tiles")
+            whole = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            for part in np.split(whole, np.flatnonzero(np.diff(whole[:, 0])) + 1):
+                if held and len(part) and part[0, 0] != held[0][0, 0]:
+                    yield cut(held)
+                    held = []
+                held += [part] if len(part) else []
+        if held:
+            yield cut(held)
+
+    return written(dealt.select("id", "level", "fp", "n", *kind.columns).mapInArrow(pack, "id long, low int, high int, data binary"), "tiles")
 
 
 def links(prints: DataFrame, kind: Prints = Prints(), tile: int | None = None) -> DataFrame:  # noqa: B008
