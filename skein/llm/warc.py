@@ -10,12 +10,14 @@ page_id is a response; the others are revisits that refer to it. Smaller ones ar
 
 Plan: the digest is taken in the scan. Only (digest, page_id) pairs are aggregated, with partial sums,
 so a payload that a third of the pages share is one row per task; so are payload bytes, which move once
-by digest. Reading back is an equi-join that adaptive execution can split.
-
-Defined cases: a null html is an empty payload; a null page_id or url is an absent header field and
-sorts after all others (a revisit of a payload that only null ids hold has no refers_to); repeated
-rows with the same page_id and payload are all responses where that id is the smallest; an empty
-table gives empty archives; other columns are ignored.
+by digest. The smallest ids are a table before they are joined, and so are payloads, so adaptive execution can
+split a digest that very many pages share in both joins.
+
+Defined cases: a null html is an empty payload; a null page_id sorts after all others, its record is named by
+its digest, and where only null ids hold a payload all of its records are responses; a null url is an absent
+header field, and line ends in a url are left out; repeated rows with the same page_id and payload are all
+responses where that id is the smallest; an empty table gives empty archives; other columns are ignored.
+Records carry ``date`` as WARC-Date: pages have no time of their own, and equal tables give equal archives.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import new_path, read_table
+from skein.llm.common import new_path, read_table, written
 
 REVISIT_FROM = 100
 #: The profile URI for identical payloads in WARC/1.1, and the record ids' prefix.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:page:"
+#: What a record is dated by default.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def _header() -> F.Column:
+def _header(date: str) -> F.Column:
     """The header block of a row with page_id, url, digest, length, record_type and refers_to."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
@@ -39,29 +43,30 @@ def _header() -> F.Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
-        optional("WARC-Record-ID", F.concat(F.lit(f"<{RECORD}"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit(f"<{RECORD}"), F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none:"), F.col("digest"))), F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         optional("WARC-Target-URI", plain),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         optional("WARC-Refers-To", F.concat(F.lit(f"<{RECORD}"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.when(F.col("record_type") == "revisit", F.lit(f"WARC-Profile: {PROFILE}\r\n")).otherwise(F.lit("")),
+        F.when(F.col("record_type") == "response", F.lit("Content-Type: text/html; charset=utf-8\r\n")).otherwise(F.lit("")),
         line("X-Payload-Length", F.col("length").cast("string")),
         line("Content-Length", F.when(F.col("record_type") == "revisit", F.lit("0")).otherwise(F.col("length").cast("string"))),
         F.lit("\r\n"),
     )
 
 
-def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None:
+def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, date: str = DATE) -> None:
     """Writes ``path``/headers and ``path``/payloads from rows with page_id, url and html."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"))
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-
+    first = written(narrow.groupBy("digest").agg(F.min("page_id").alias("first_id")), "first")
     known = narrow.join(first, "digest")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("length") < revisit_from)
     known = known.withColumn("record_type", F.when(is_first, "response").otherwise("revisit"))
     known = known.withColumn("refers_to", F.when(~is_first, F.col("first_id")))
-    known.select("page_id", "digest", F.encode(_header(), "UTF-8").alias("header")).write.parquet(f"{path}/headers")
+    known.select("page_id", "digest", F.encode(_header(date), "UTF-8").alias("header")).write.parquet(f"{path}/headers")
 
     # equal digests have equal bytes: a task sends one payload for each, and the bytes move once
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
@@ -77,12 +82,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "header",
         "payload",
         F.col("page_id").alias("stored_id"),
-        field("WARC-Type", "(.*)").alias("record_type"),
-        field("WARC-Record-ID", f"<{RECORD}(.*)>").alias("own"),
-        field("WARC-Refers-To", f"<{RECORD}(.*)>").alias("other"),
-        field("WARC-Target-URI", "(.*)").alias("url"),
-        field("WARC-Payload-Digest", "sha256:(.*)").alias("payload_digest"),
-        field("X-Payload-Length", "(.*)").alias("says_length"),
+        field("WARC-Type", "([^\r\n]*)").alias("record_type"),
+        field("WARC-Record-ID", f"<{RECORD}([^\r\n]*)>").alias("own"),
+        field("WARC-Refers-To", f"<{RECORD}([^\r\n]*)>").alias("other"),
+        field("WARC-Target-URI", "([^\r\n]*)").alias("url"),
+        field("WARC-Payload-Digest", "sha256:([^\r\n]*)").alias("payload_digest"),
+        field("X-Payload-Length", "([^\r\n]*)").alias("says_length"),
     )
     found = F.sha2("payload", 256)
     wrong = F.col("payload").isNull() | (found != F.col("payload_digest")) | (F.octet_length("payload").cast("string") != F.col("says_length"))
@@ -108,7 +113,7 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p),
-r AS (SELECT *, (page_id = first_id OR payload_bytes < {REVISIT_FROM}) AS whole FROM f)
+r AS (SELECT *, (page_id IS NOT DISTINCT FROM first_id OR payload_bytes < {REVISIT_FROM}) AS whole FROM f)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN whole THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN whole THEN NULL ELSE first_id END AS refers_to FROM r
 """
