@@ -81,6 +81,17 @@ def test_archive_round_trip(spark, tmp_path):
         assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n")
         assert body[:-4] == (bytes(r.payload) if r.record_type == "response" else b"")
     assert spark.read.parquet(f"file://{tmp_path}/a/payloads").count() == len({h or "" for _, _, h in rows})
+    for r in out:
+        head = bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        names = [line.split(": ")[0] for line in head[1:]]
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(names) and len(names) == len(set(names))
+        assert ("Content-Type" in names) == (r.record_type == "response")
+    warc.write_archive(spark.createDataFrame([(1, "http://a/\u2028b\x85c", "h")], pages.schema), f"file://{tmp_path}/u")
+    assert [r.url for r in warc.read_archive(spark, f"file://{tmp_path}/u").collect()] == ["http://a/\u2028b\x85c"]
+    hot = spark.range(400).selectExpr("id AS page_id", "cast(null AS string) AS url", f"if(id % 3 = 1, '{'x' * 200}', concat('{'y' * 200}', id)) AS html")
+    warc.write_archive(hot, f"file://{tmp_path}/h")
+    kinds = Counter((r.record_type, r.refers_to) for r in warc.read_archive(spark, f"file://{tmp_path}/h").collect())
+    assert kinds == {("response", None): 268, ("revisit", 1): 132}
     warc.write_archive(pages.limit(0), f"file://{tmp_path}/b")
     assert warc.read_archive(spark, f"file://{tmp_path}/b").count() == 0
 
@@ -109,14 +120,13 @@ def library():
 
 @pytest.mark.parametrize("fragment", [0, 1, 3, 2048])
 def test_bpe_equals_the_library(library, fragment):
-    import base64
     import random
-    from pathlib import Path
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(bpe.vocabulary_path()).read_bytes().splitlines())}
-    own = bpe.ForcedBoundaryBpe(ranks, fragment=fragment)
+    own = bpe.ForcedBoundaryBpe(bpe.vocabulary_path(), fragment=fragment)
     draw = random.Random(fragment)
     texts = ["".join(draw.choice("ab 's\n\t éà日1! \x1c<|>\xa0 \x85.") for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    # letters of every age: the library's Unicode tables decide
+    texts += [f"a{c}1{c}!{c}{c}b" for c in map(chr, [0x558, 0x88F, 0x208F, 0x3FC3F, *range(0x80, 0xD800, 97), *range(0xE000, 0x110000, 1999)])]
     texts += ["日本語" * 2000 + "a" * 5000, " !" * 3000, "<|endoftext|>x<|endoftext|>", "", " \n \n x"]
     for text in texts:
         ids = library.encode(text, add_special_tokens=False).ids
@@ -124,6 +134,18 @@ def test_bpe_equals_the_library(library, fragment):
         assert own.decode(own.encode(text)) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_bpe_cuts_at_forced_pairs(library):
+    own = bpe.load(bpe.vocabulary_path())
+    pieces = ["Ġthe", "qxzj" * 30, "日本語のテキスト", "!!??;;--", "ĠZvxqk"]
+    for piece in ["".join(p for p, _ in library.pre_tokenizer.pre_tokenize_str(x)) for x in pieces] + pieces[:1]:
+        cut = own.fragments(piece)
+        assert "".join(cut) == piece
+        assert all(a[-1] + b[0] not in own.inside for a, b in zip(cut, cut[1:], strict=False))
+        assert all(x[k : k + 2] in own.inside for x in cut for k in range(len(x) - 1))
+        assert [k for x in cut for k in own.merged(x)] == own.merged(piece)
+    assert len(own.fragments("qxzj" * 30)) > 30
+
+
 def test_bpe_on_rows(awkward, empty, library):
     out = bpe.decode(bpe.encode(awkward))
     assert out.columns == [*awkward.columns, "ids", "n_tokens", "decoded"]
