@@ -1,17 +1,27 @@
-"""Approximate names: the best symbol by longest-matching-blocks ratio, with a lossless prefilter."""
+"""Approximate names: the best symbol by longest-matching-blocks ratio, with a lossless prefilter.
+
+A ratio of t between a and b means that at least t * (|a| + |b|) / 2 characters match, so a and b share at least
+as many letters, counted with repeats. Each string is the set of its numbered letters (the second e is not
+the first), in one order for all, rare ones first. Strings that share that many hold one of them among
+their first few (prefix filtering: Chaudhuri et al., 2006), so an equi-join on those few letters finds every pair.
+A pair is kept where the letter is the first that both have, so each comes up once; what shares too few letters
+goes; only the rest is compared.
+"""
 
 from __future__ import annotations
 
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.shared import ship
 
 THRESHOLD = 0.85
+#: From frequent to rare. The order only decides how many pairs are looked at, not which are found.
+FREQUENT = "_etaoinsrhdlucmfywgpbvkxqjz"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -19,26 +29,47 @@ def ratio(name: pd.Series, symbol: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(name, symbol, strict=True)])
 
 
-def _letters(text):
-    """Counts of single characters can only overestimate a match."""
-    return F.array_sort(F.split(text, ""))
+def numbered_letters(text: Column) -> Column:
+    """The letters of a text with their numbers among equal ones, rare ones first."""
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    own = F.transform(letters, lambda c, k: F.struct(c.alias("c"), (k + 1 - F.array_position(letters, c)).alias("n")))
 
+    def keyed(x: Column) -> Column:
+        place = F.instr(F.lit(FREQUENT), x["c"])
+        rarity = F.when(place == 0, -len(FREQUENT) - 1).otherwise(-place) - 8 * x["n"]
+        return F.struct(rarity.alias("rarity"), F.concat(x["c"], x["n"].cast("string")).alias("letter"))
+
+    return F.transform(F.array_sort(F.transform(own, keyed)), lambda x: x["letter"])
+
+
+def _shared_at_least(a: Column, b: Column, threshold: float) -> Column:
+    """How many letters strings of these lengths share if they reach the threshold."""
+    return F.ceil((a + b) * F.lit(threshold / 2) - F.lit(1e-9)).cast("int")
 
-def best_symbols(names: DataFrame, symbols: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(name, symbol, id, ratio): each name's best symbol, the first by seq among equals, if it reaches the threshold.
 
-    A ratio of t needs lengths within a factor of (2 - t) / t, so lengths are joined by equality after each
-    name is put on the few lengths that can match it: no cross join, and nothing is lost."""
+def _dealt(rows: DataFrame, text: str, threshold: float) -> DataFrame:
+    """rows by each letter that the shortest string in reach could make them share first."""
+    rows = rows.withColumn(f"{text}_letters", numbered_letters(F.col(text))).withColumn(f"{text}_n", F.length(text))
+    n = F.col(f"{text}_n")
+    least = F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
+    first = F.slice(f"{text}_letters", F.lit(1), F.greatest(n - _shared_at_least(n, least, threshold) + 1, F.lit(1)))
+    rows = rows.withColumn(f"{text}_first", F.when(n == 0, F.array(F.lit(""))).otherwise(first))
+    return rows.withColumn("letter", F.explode(f"{text}_first"))
+
+
+def candidates(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of a (with column a) and b (with column b) that share enough letters to reach the threshold, each pair once."""
+    pairs = _dealt(a, "a", threshold).join(_dealt(b, "b", threshold), "letter")
+    once = F.get(F.array_intersect("a_first", "b_first"), 0) == F.col("letter")
+    enough = F.size(F.array_intersect("a_letters", "b_letters")) >= _shared_at_least(F.col("a_n"), F.col("b_n"), threshold)
+    return pairs.filter(once & enough).select(*a.columns, *b.columns)
+
+
+def best_symbols(names: DataFrame, symbols: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(name, symbol, id, ratio): each name's best symbol, the first by seq among equals, if it reaches the threshold."""
     ship(names.sparkSession)
     a = names.select("name").distinct().withColumn("a", F.lower("name"))
-    b = symbols.select(F.col("name").alias("symbol"), "id", "seq").withColumn("b", F.lower("symbol")).withColumn("size", F.length("b"))
-    least = F.ceil(F.length("a") * F.lit(threshold) / F.lit(2 - threshold)).cast("int")
-    most = F.floor(F.length("a") * F.lit(2 - threshold) / F.lit(threshold)).cast("int")
-    near = a.withColumn("size", F.explode(F.sequence(F.greatest(least, F.lit(0)), F.greatest(most, least, F.lit(0)))))
-    pairs = near.join(b, "size")
-    # letters in common bound the ratio from above
-    shared = F.size(F.array_intersect(F.array_distinct(F.split("a", "")), F.array_distinct(F.split("b", ""))))
-    some = pairs.filter((shared > 0) | ((F.length("a") == 0) & (F.length("b") == 0)))
-    scored = some.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    b = symbols.select(F.col("name").alias("symbol"), "id", "seq").withColumn("b", F.lower("symbol"))
+    scored = candidates(a, b, threshold).withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= threshold)
     first = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ratio"), "seq"))
     return scored.withColumn("place", first).filter("place = 1").select("name", "symbol", "id", "ratio")

@@ -410,7 +410,7 @@ def seed_exact(spark, sf_dir):
 @_query("seed_fuzzy")
 def seed_fuzzy(spark, sf_dir):
     """A question of misspelt names; the ratio is a library's, which SQL doesn't have."""
-    return traverse.seeds(A.trade_nodes(spark, sf_dir).filter("modality = 'concept'"), traverse.question_words(spark, "what of NATINO_12 in AFRIKA or EUROP"))
+    return traverse.seeds(A.trade_nodes(spark, sf_dir), traverse.question_words(spark, "what of NATINO_12 in AFRIKA or EUROP"))
 
 
 @_query("fuzzy_symbols")
@@ -426,22 +426,29 @@ def component_scope(spark, sf_dir):
     return traverse.component_scope(links, seeds)
 
 
-_COMPONENTS = ", few AS (SELECT u, v FROM links WHERE NOT starts_with(u, 'nation') AND NOT starts_with(v, 'nation')), s AS (SELECT u, v FROM few UNION ALL SELECT v, u FROM few), reach AS (SELECT DISTINCT u AS id, u AS r FROM s UNION SELECT reach.id, s.v FROM reach JOIN s ON s.u = reach.r) SELECT id, min(r) AS component FROM reach GROUP BY id"
+#: Smallest ids spread by one link a round; no two ids of the trade graph are further apart than six links.
+_SPREAD = 8
+_COMPONENTS = ", ".join(
+    [
+        f", {_BOTH}, e AS MATERIALIZED (SELECT u, v FROM sym UNION SELECT u, u FROM sym), c0 AS (SELECT DISTINCT u AS id, u AS component FROM sym)",
+        *[f"c{k + 1} AS MATERIALIZED (SELECT u AS id, min(component) AS component FROM e JOIN c{k} ON id = v GROUP BY u)" for k in range(_SPREAD)],
+    ]
+) + f" SELECT id, component FROM c{_SPREAD}"
 
 
-def _some_links(spark, sf_dir):
-    return stored(graph.collapse_edges(A.trade_edges(spark, sf_dir)).filter("not startswith(u, 'nation') and not startswith(v, 'nation')"), "links")
+def _links(spark, sf_dir):
+    return stored(graph.collapse_edges(A.trade_edges(spark, sf_dir)), "links")
 
 
 @_query("connected_components", _COMPONENTS, True)
 def connected_components(spark, sf_dir):
-    return traverse.ranked_components(_some_links(spark, sf_dir))
+    return traverse.ranked_components(_links(spark, sf_dir))
 
 
 @_query("connected_components_distributed", _COMPONENTS, True)
 def connected_components_distributed(spark, sf_dir):
     """The path beyond one task's size."""
-    return traverse.ranked_components(_some_links(spark, sf_dir), 0)
+    return traverse.ranked_components(_links(spark, sf_dir), 0)
 
 
 @_query("component_scope_distributed", f", {_SEEDS}, {_BOTH}, {_SCOPE} SELECT id FROM scope", True)
@@ -503,10 +510,9 @@ def context_sentences(spark, sf_dir):
     return traverse.fact_lines(nodes, A.trade_edges(spark, sf_dir)).select("source_file", "seq", "is_code", "line")
 
 
-@_query("context_by_source", ", t AS (SELECT * FROM edges WHERE relation IN ('lies_in', 'sells_from')), f AS (SELECT CASE WHEN a.modality = 'code' AND b.modality = 'code' THEN '' ELSE t.source_file END AS section, t.seq, a.label || ' —' || relation || '—> ' || b.label AS line FROM t JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target) SELECT section, count(*) AS n_facts, string_agg(line, chr(10) ORDER BY seq, line) AS body FROM f GROUP BY section", True)
+@_query("context_by_source", ", f AS (SELECT CASE WHEN a.modality = 'code' AND b.modality = 'code' THEN '' ELSE t.source_file END AS section, t.seq, a.label || ' —' || relation || '—> ' || b.label AS line FROM edges t JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target) SELECT section, count(*) AS n_facts, string_agg(line, chr(10) ORDER BY seq, line) AS body FROM f GROUP BY section", True)
 def context_by_source(spark, sf_dir):
-    edges = A.trade_edges(spark, sf_dir).filter("relation in ('lies_in', 'sells_from')")
-    return traverse.context_sections(traverse.fact_lines(A.trade_nodes(spark, sf_dir), edges))
+    return traverse.context_sections(traverse.fact_lines(A.trade_nodes(spark, sf_dir), A.trade_edges(spark, sf_dir)))
 
 
 @_query("fallback_answers", "WITH t AS (SELECT doc_id, trim(coalesce(text, '')) AS t, substr(trim(coalesce(text, '')), 1, 800) AS h FROM documents) SELECT doc_id, CASE WHEN t = '' THEN 'Nothing in the graph bears on this question.' ELSE 'From the graph (no provider):' || chr(10) || chr(10) || CASE WHEN length(t) > 800 THEN CASE WHEN contains(h, chr(10)) THEN regexp_replace(h, '\\n[^\\n]*$', '') ELSE h END || chr(10) || '[...]' ELSE t END END AS answer FROM t")
