@@ -49,6 +49,7 @@ FRAGMENT = 2048
 KEPT, SHORT = 200_000, 48
 #: Rows of an Arrow batch that are Python objects at a time.
 ROWS = 200
+_NONE, _ID = 1 << 63, (1 << 32) - 1
 SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -96,7 +97,8 @@ class ForcedBoundaryBpe:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = {c: vocabulary[c] for c in byte_of if c in vocabulary}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: The rank and the joined token, in one number.
+        self.merges = {(vocabulary[a], vocabulary[b]): rank << 32 | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
         #: Pairs that some token holds; a cut between any other two is certain.
         self.inside = {t[k : k + 2] for t in vocabulary for k in range(len(t) - 1)}
         self.tokens: list[bytes] = [b""] * (max([*vocabulary.values(), *self.special.values()], default=-1) + 1)
@@ -119,33 +121,48 @@ class ForcedBoundaryBpe:
 
     def merged(self, fragment: str) -> list[int]:
         """Ids of one fragment, from nothing but itself: of all neighbours that a merge joins, those of the least rank first, from the left."""
-        ids: list[int | None] = [self.letters[c] for c in fragment]
-        end = len(ids)
+        ids = [self.letters[c] for c in fragment]
+        if len(ids) > SHORT:
+            return self._merged_by_heap(ids)
+        find = self.merges.get
+        while len(ids) > 1:
+            joins = [find(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]
+            best = min(joins)
+            if best == _NONE:
+                break
+            k = joins.index(best)
+            ids[k : k + 2] = [best & _ID]
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same for long fragments, in n log n steps."""
+        at: list[int | None] = list(ids)
+        end, find = len(at), self.merges.get
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        waiting = [(*self.merges[pair], k) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in self.merges]
-        waiting = [(rank, k, joined) for rank, joined, k in waiting]
+        waiting = [(self.merges[pair], k) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in self.merges]
         heapq.heapify(waiting)
         while waiting:
-            rank, k, joined = heapq.heappop(waiting)
+            join, k = heapq.heappop(waiting)
             other = after[k]
-            if ids[k] is None or other == end or self.merges.get((ids[k], ids[other])) != (rank, joined):
+            if at[k] is None or other == end or find((at[k], at[other])) != join:
                 continue  # one of the two is in another token by now
-            ids[k], ids[other], after[k] = joined, None, after[other]
+            at[k], at[other], after[k] = join & _ID, None, after[other]
             if after[k] < end:
                 before[after[k]] = k
             for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < end and (found := self.merges.get((ids[left], ids[right]))):
-                    heapq.heappush(waiting, (found[0], left, found[1]))
-        return [x for x in ids if x is not None]
+                if left >= 0 and right < end and (found := find((at[left], at[right]))) is not None:
+                    heapq.heappush(waiting, (found, left))
+        return [x for x in at if x is not None]
+
+    def _piece_ids(self, piece: str) -> bytes:
+        chars = "".join(map(self.chars.__getitem__, piece.encode()))
+        return _packed([k for x in self.fragments(chars) for k in self.merged(x)])
 
     def pieces(self, text: str) -> list[str]:
         if text.isascii() or max(text) < AGREED:
             return self.by_pattern(text)
         return [text[a:b] for _, (a, b) in self.by_library(text)]
 
-    def _piece_ids(self, piece: str) -> bytes:
-        return b"".join([_packed(self.merged(x)) for x in self.fragments("".join(map(self.chars.__getitem__, piece.encode())))])
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.special_split and any(s in text for s in self.special):
