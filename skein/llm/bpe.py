@@ -7,9 +7,9 @@ table of such pairs comes from the vocabulary alone. It cuts twice:
 * A text is cut, about every 2 KB, where white space follows another byte and that pair is forced; the
   pre-tokenizer starts a new piece there whatever stands around it (or, after other Unicode white space,
   groups pieces differently but only across the forced pair), so these parts are pre-tokenized by themselves.
-* Every piece of the pre-tokenizer is cut at every forced pair. Each fragment is merged by itself, by the ranks of
-  the vocabulary's merges, and the ids of the fragments are concatenated. A worker keeps the ids of
-  the short pieces that it has seen.
+* Every piece of the pre-tokenizer is cut at every forced pair. Each fragment is merged by itself, by tiktoken's
+  merge of one piece with the vocabulary's ids as ranks, and the ids of the fragments are concatenated. A worker
+  keeps the ids of the short pieces that it has seen.
 
 The vocabulary is the tokenizers library's JSON file; its tokens and merges are in an alphabet that has one
 character for each byte. Pieces are that library's too, as its Unicode tables decide what a letter is; up to
@@ -27,7 +27,6 @@ empty table stays empty.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import re
 from pathlib import Path
@@ -49,7 +48,6 @@ FRAGMENT = 2048
 KEPT, SHORT = 200_000, 48
 #: Rows of an Arrow batch that are Python objects at a time.
 ROWS = 200
-_NONE, _ID = 1 << 63, (1 << 32) - 1
 SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -87,18 +85,15 @@ class ForcedBoundaryBpe:
 
     def __init__(self, path: str, fragment: int = FRAGMENT):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         vocabulary: dict[str, int] = spec["model"]["vocab"]
-        byte_of = {c: b for b, c in enumerate(alphabet())}
+        self.byte_of = byte_of = {c: b for b, c in enumerate(alphabet())}
         self.by_library = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.by_pattern = regex.compile(PATTERN).findall
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.letters = {c: vocabulary[c] for c in byte_of if c in vocabulary}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        #: The rank and the joined token, in one number.
-        self.merges = {(vocabulary[a], vocabulary[b]): rank << 32 | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
         #: Pairs that some token holds; a cut between any other two is certain.
         self.inside = {t[k : k + 2] for t in vocabulary for k in range(len(t) - 1)}
         self.tokens: list[bytes] = [b""] * (max([*vocabulary.values(), *self.special.values()], default=-1) + 1)
@@ -106,6 +101,9 @@ class ForcedBoundaryBpe:
             self.tokens[k] = bytes(map(byte_of.__getitem__, token))
         for text, k in self.special.items():
             self.tokens[k] = text.encode()
+        # ids follow the merges' order here, so they are ranks
+        ranks = {self.tokens[k]: k for k in vocabulary.values()}
+        self.merger = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known = _Known(self._piece_ids)
         # cut before white space that follows any other byte, where no token holds that pair
         self.chars = chars = alphabet()
@@ -120,39 +118,8 @@ class ForcedBoundaryBpe:
         return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
 
     def merged(self, fragment: str) -> list[int]:
-        """Ids of one fragment, from nothing but itself: of all neighbours that a merge joins, those of the least rank first, from the left."""
-        ids = [self.letters[c] for c in fragment]
-        if len(ids) > SHORT:
-            return self._merged_by_heap(ids)
-        find = self.merges.get
-        while len(ids) > 1:
-            joins = [find(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]
-            best = min(joins)
-            if best == _NONE:
-                break
-            k = joins.index(best)
-            ids[k : k + 2] = [best & _ID]
-        return ids
-
-    def _merged_by_heap(self, ids: list[int]) -> list[int]:
-        """The same for long fragments, in n log n steps."""
-        at: list[int | None] = list(ids)
-        end, find = len(at), self.merges.get
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        waiting = [(self.merges[pair], k) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in self.merges]
-        heapq.heapify(waiting)
-        while waiting:
-            join, k = heapq.heappop(waiting)
-            other = after[k]
-            if at[k] is None or other == end or find((at[k], at[other])) != join:
-                continue  # one of the two is in another token by now
-            at[k], at[other], after[k] = join & _ID, None, after[other]
-            if after[k] < end:
-                before[after[k]] = k
-            for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < end and (found := find((at[left], at[right]))) is not None:
-                    heapq.heappush(waiting, (found, left))
-        return [x for x in at if x is not None]
+        """Ids of one fragment, from nothing but itself."""
+        return self.merger._encode_single_piece(bytes(map(self.byte_of.__getitem__, fragment)))
 
     def _piece_ids(self, piece: str) -> bytes:
         chars = "".join(map(self.chars.__getitem__, piece.encode()))
