@@ -2,9 +2,9 @@
 
 Tokens are summed by cell (source, language, topic). Starting at the cells' token shares, each sweep
 scales the cells so that the shares of every source, then of every language, then of every topic are
-the targets. A cell's calibrated weight over its token share says how much denser it has to be;
-documents are kept with a probability in proportion to that, at most 1, such that the expected number
-of tokens kept is ``budget`` times the total. The draw is a hash of seed and doc_id: runs agree, and a
+the targets; sweeps go on until all shares are within TOLERANCE. A cell's calibrated weight over its
+token share says how much denser it has to be; documents are kept with a probability in proportion to
+that, at most 1, such that the expected number of tokens kept is ``budget`` times the total. The draw is a hash of seed and doc_id: runs agree, and a
 document keeps its draw whatever else is in the corpus.
 
 Targets default to token shares to the power of ``temper``, brought to a sum of 1, which lifts small
@@ -22,6 +22,8 @@ equal draws; other columns pass through ``sample``; an empty table stays empty.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,13 @@ from skein.llm.common import packed, read_table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
+#: Sweeps between two looks at the marginals, which are met when all shares are within TOLERANCE of their targets.
 SWEEPS = 6
+TOLERANCE = 1e-6
 BUDGET = 0.5
 SEED = 17
 ONE_TASK_CELLS = 200_000
+log = logging.getLogger(__name__)
 
 
 def tokens_of(text: str = "text") -> Column:
@@ -64,8 +69,8 @@ def cell_tokens(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     return sums.select(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS], "tokens")
 
 
-def raked(cells: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """cells with share and weight, each of sum 1."""
+def raked(cells: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells with share and weight, each of sum 1. Sweeps go on until the marginals are met, or come no nearer, which a warning tells."""
     few = cells.count() <= ONE_TASK_CELLS
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     out = cells.withColumn("share", F.col("tokens") / F.lit(float(total)))
@@ -81,15 +86,29 @@ def raked(cells: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str,
         by_value = written(by_value, "targets")
         whole = by_value.agg(F.sum("raw")).first()[0] or 1.0
         out = out.join(by_value.select(d, (F.col("raw") / F.lit(whole)).alias(f"target_{d}")), d)
-    out = out.withColumn("weight", F.col("share"))
-    for k in range(sweeps):
-        if k % SWEEPS == 0:  # plans stay short
-            out = written(out, "raking")
-            out = out.coalesce(1) if few else out
-        for d in DIMENSIONS:
-            at = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(at > 0, F.col("weight") * F.col(f"target_{d}") / at).otherwise(0.0))
-    return written(out.select(*DIMENSIONS, "tokens", "share", "weight"), "weights")
+    out = written(out.withColumn("weight", F.col("share")), "raking")
+    before = float("inf")
+    while True:
+        out = out.coalesce(1) if few else out
+        for _ in range(SWEEPS):
+            for d in DIMENSIONS:
+                at = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.when(at > 0, F.col("weight") * F.col(f"target_{d}") / at).otherwise(0.0))
+        out = written(out, "raking")  # plans stay short
+        gap = marginal_gap(out)
+        if gap <= tolerance:
+            break
+        if gap > 0.99 * before:
+            log.warning("raking ends with a share %.3g off its target: the targets fit no weights of these cells", gap)
+            break
+        before = gap
+    return out.select(*DIMENSIONS, "tokens", "share", "weight")
+
+
+def marginal_gap(weighted: DataFrame) -> float:
+    """How far the share of a source, language or topic is from its target at most, from cells with weight and targets."""
+    gaps = [weighted.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("gap")).agg(F.max("gap").alias("gap")) for d in DIMENSIONS]
+    return gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
 
 
 def calibrated(weights: DataFrame, budget: float = BUDGET) -> DataFrame:

@@ -166,7 +166,7 @@ def test_raking_meets_its_targets(spark, empty):
     cells = [("a", "en", "x", 600), ("a", "de", "x", 200), ("b", "en", "y", 100), ("b", "de", "x", 70), ("b", "en", "x", 25), ("a", "de", "y", 5)]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.25, "b": 0.25, "none": 0.5}, "lang": {"en": 0.4, "de": 0.6}, "topic": {"x": 0.7, "y": 0.3}}
-    rows = mixing.raked(df, targets=targets, sweeps=30).collect()
+    rows = mixing.raked(df, targets=targets).collect()
     for d, want in (("source", {"a": 0.5, "b": 0.5}), ("lang", targets["lang"]), ("topic", targets["topic"])):
         for value, share in want.items():
             assert abs(sum(r.weight for r in rows if r[d] == value) - share) < 1e-6
@@ -176,6 +176,21 @@ def test_raking_meets_its_targets(spark, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_raking_goes_on_until_shares_are_met(spark, caplog):
+    """Cells that hang together by thin threads take far more than one round of sweeps; targets that no weights fit end with a warning."""
+    cells = [("a", "x", "t", 10_000), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 10_000)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.8, "b": 0.2}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"t": 1.0}}
+    rows = mixing.raked(df, targets=targets).collect()
+    for place, name in enumerate(("source", "lang")):
+        for value, share in targets[name].items():
+            assert sum(r["weight"] for r in rows if r[place] == value) == pytest.approx(share, abs=2 * mixing.TOLERANCE)
+    assert not caplog.records
+    apart = spark.createDataFrame([c for c in cells if c[3] > 1], df.schema)
+    mixing.raked(apart, targets=targets)
+    assert "off its target" in caplog.text
+
+
 def test_mixing_keeps_rows_and_draws(awkward):
     one, two = (sorted(map(repr, mixing.mixed(awkward, 0.5).collect())) for _ in range(2))
     assert one == two and mixing.mixed(awkward, 0.5).columns == awkward.columns
