@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules in the operators' order.
-MODULES = ("sharding", "warc", "bpe", "mixing", "suffix_dedup", "mtree", "line_dedup", "quality", "simhash", "lm_scoring", "alignment")
+MODULES = ("sharding", "warc", "bpe", "mixing", "suffix_dedup", "mtree", "line_dedup", "quality", "simhash", "lm_scoring", "whitening", "alignment", "decontamination")
 
 
 def _all(what: str) -> dict:

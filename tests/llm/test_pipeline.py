@@ -102,10 +102,10 @@ def test_queries_and_sql_have_equal_names():
     from skein.llm import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
-@pytest.mark.parametrize("name", ["op1_", "op2_", "op4_", "op5_", "op6_", "op7_", "op8_"])
+@pytest.mark.parametrize("name", ["op1_", "op2_", "op4_", "op5_", "op6_", "op7_", "op8_", "op13_"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from skein.llm import registry
@@ -114,7 +114,7 @@ def test_query_equals_its_sql(spark, name):
     df = registry.queries()[key](spark, "/root/testdata/sf0.001")
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     names = ", ".join(f'"{c}"' for c in columns)
     want = con.sql(f"SELECT {names} FROM ({registry.oracle_sql()[key]})").fetchall()
