@@ -176,17 +176,20 @@ def _sql() -> str:
     for d in DIMENSIONS:
         parts.append(f"r_{d} AS (SELECT {d}, pow(sum(share), {TEMPER}) AS raw FROM s GROUP BY {d})")
         parts.append(f"t_{d} AS (SELECT {d}, raw / (SELECT sum(raw) FROM r_{d}) AS target_{d} FROM r_{d})")
-    parts.append("w0 AS (SELECT s.*, target_source, target_lang, target_topic, share AS weight FROM s JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    k = 0
-    for _ in range(SWEEPS):
-        for d in DIMENSIONS:
-            at = f"sum(weight) OVER (PARTITION BY {d})"
-            parts.append(f"w{k + 1} AS (SELECT * REPLACE (CASE WHEN {at} > 0 THEN weight * target_{d} / {at} ELSE 0 END AS weight) FROM w{k})")
-            k += 1
-    return "WITH " + ",\n".join(
+    at = {d: f"sum(weight) OVER (PARTITION BY {d})" for d in DIMENSIONS}
+    sweeps = "SELECT * FROM w WHERE NOT done"
+    for d in DIMENSIONS * SWEEPS:
+        sweeps = f"SELECT * REPLACE (CASE WHEN {at[d]} > 0 THEN weight * target_{d} / {at[d]} ELSE 0 END AS weight) FROM ({sweeps})"
+    gap = "greatest(" + ", ".join(f"abs({at[d]} - target_{d})" for d in DIMENSIONS) + ")"
+    # rounds of sweeps until the marginals are met, or come no nearer
+    parts.append(f"""w AS (SELECT s.*, target_source, target_lang, target_topic, share AS weight, 'inf'::DOUBLE AS gap, false AS done
+    FROM s JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)
+  UNION ALL SELECT source, lang, topic, tokens, share, target_source, target_lang, target_topic, weight, now, now <= {TOLERANCE} OR now > 0.99 * gap
+    FROM (SELECT *, max(own) OVER () AS now FROM (SELECT *, {gap} AS own FROM ({sweeps}))))""")
+    return "WITH RECURSIVE " + ",\n".join(
         [
             *parts,
-            f"q AS (SELECT *, CASE WHEN share > 0 THEN weight / share ELSE 0 END AS ratio FROM w{k})",
+            "q AS (SELECT *, CASE WHEN share > 0 THEN weight / share ELSE 0 END AS ratio FROM w WHERE done)",
             # the first cell, from the densest on, that isn't certain if all before it are
             """o AS (SELECT ratio, coalesce(sum(share) OVER (ORDER BY ratio DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS capped,
   sum(weight) OVER (ORDER BY ratio DESC RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM q)""",

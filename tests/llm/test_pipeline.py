@@ -72,12 +72,16 @@ def brute_run(rows):
             own[c[k]] = own.get(c[k], 0) + x
         raw = {v: x**mixing.TEMPER for v, x in own.items()}
         targets.append({v: x / sum(raw.values()) for v, x in raw.items()})
-    for _ in range(mixing.SWEEPS):
-        for k in range(3):
+    gap = float("inf")
+    while True:
+        for k in [0, 1, 2] * mixing.SWEEPS:
             now = {}
             for c, x in weights.items():
                 now[c[k]] = now.get(c[k], 0) + x
             weights = {c: x * targets[k][c[k]] / now[c[k]] if now[c[k]] else 0 for c, x in weights.items()}
+        before, gap = gap, max(abs(sum(x for c, x in weights.items() if c[k] == v) - t) for k in range(3) for v, t in targets[k].items())
+        if gap <= mixing.TOLERANCE or gap > 0.99 * before:
+            break
     ratio = {c: weights[c] / share[c] if share[c] else 0 for c in share}
     low, high = 0.0, 1e9
     for _ in range(200):
