@@ -27,7 +27,6 @@ table stays empty.
 from __future__ import annotations
 
 import functools
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,8 @@ ROWS = 64
 HOT = 1 << 17
 #: Masks an id, and is none itself.
 MARK = 2**31 - 1
-ADDED = ["n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
+NONE = np.zeros(0, np.int32)
+ADDED = ["n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "n_best", "count_sum"]
 
 
 def paths() -> tuple[str, str]:
@@ -78,20 +78,20 @@ class Pair:
         self.b_tokens = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(k) else p.replace("▁", " ").encode() for k in range(self.pieces.get_piece_size()) for p in (self.pieces.id_to_piece(k),)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, t)) or [0], np.int64) for t in (self.a_tokens, self.b_tokens))
 
-    def a_ids(self, text: str) -> list[int]:
+    def a_ids(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) < AGREED:
-            return self.fast.encode_ordinary(text)
-        return self.library.encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of A and B; none where their bytes aren't those of space + text."""
-        if not text:
-            return [], []
-        whole, b = b" " + text.encode(), self.pieces.encode(text, out_type=int, num_threads=1)
-        if b"".join(map(self.b_tokens.__getitem__, b)) != whole:
-            return [], []
-        a = self.a_ids(" " + text)
-        return (a, b) if b"".join(map(self.a_tokens.__getitem__, a)) == whole else ([], [])
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and B; none where their bytes aren't those of space + text. A changes no byte, so their number tells."""
+        if text:
+            whole, b = b" " + text.encode(), self.pieces.encode(text, out_type=int, num_threads=1)
+            if b"".join(map(self.b_tokens.__getitem__, b)) == whole:
+                a = self.a_ids(" " + text)
+                if self.a_sizes[a].sum() == len(whole):
+                    return a.view(np.int32), np.array(b, np.int32)
+        return NONE, NONE
 
 
 @functools.cache
@@ -99,10 +99,9 @@ def load(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
 
 
-def _lists(ids: list[list[int]], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+def _lists(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The lists of ids, and the lists of the offsets where they end."""
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+    counts, flat = np.array(list(map(len, ids)), np.int64), np.concatenate([NONE, *ids])
     starts = np.r_[0, np.cumsum(counts)]
     ends = np.cumsum(sizes[flat])
     before = np.r_[0, ends][starts[:-1]]
@@ -197,23 +196,33 @@ def scored(groups: DataFrame, row: str, hot: int = HOT) -> DataFrame:
     return both.groupBy(row).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
-def align(df: DataFrame, text: str = "text", byte_path: str | None = None, piece_path: str | None = None, hot: int = HOT) -> DataFrame:
-    """df without its text, with n_a, n_b, n_groups, n_links, groups, n_best and count_sum."""
-    (row,) = free_names(df, "text_row")
+def _aligned_rows(df: DataFrame, row: str, text: str, byte_path: str | None, piece_path: str | None) -> DataFrame:
+    """df without its text, with n_a, n_b, n_groups, groups and their digest, as a table: from here on ``row`` names a row."""
     rest = [c for c in df.columns if c.lower() not in {*ADDED, text.lower()}]
     tokens = tokenised(df.select(*rest, text).withColumn(row, F.monotonically_increasing_id()), text, byte_path, piece_path)
-    groups = written(aligned(tokens), "groups")  # rows keep their numbers from here on
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    return written(aligned(tokens).withColumn("groups_sha256", digest), "groups")
+
+
+def _with_sums(groups: DataFrame, row: str, hot: int, *columns: str) -> DataFrame:
+    """columns of the groups' table with the counts of its links; only these columns move."""
     sums = written(scored(groups, row, hot), "sums")
-    joined = groups.join(sums, row, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return joined.select(*rest, "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "groups", zero("n_best"), zero("count_sum"))
+    joined = groups.select(row, *columns).join(sums, row, "left")
+    return joined.select(*columns, F.col("n_groups").alias("n_links"), zero("n_best"), zero("count_sum"))
+
+
+def align(df: DataFrame, text: str = "text", byte_path: str | None = None, piece_path: str | None = None, hot: int = HOT) -> DataFrame:
+    """df without its text, with n_a, n_b, n_groups, groups, groups_sha256, n_links, n_best and count_sum."""
+    (row,) = free_names(df, "text_row")
+    groups = _aligned_rows(df, row, text, byte_path, piece_path)
+    return _with_sums(groups, row, hot, *[c for c in groups.columns if c != row])
 
 
 def op12_cross_tokenizer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    text = F.array_join("groups", ";")
-    digest = F.when(F.col("n_groups") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256")
-    return align(docs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    groups = _aligned_rows(docs, "text_row", "text", None, None)
+    return _with_sums(groups, "text_row", HOT, "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
 
 
 QUERIES = {"op12_cross_tokenizer_links": op12_cross_tokenizer_links}
