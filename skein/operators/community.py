@@ -1,21 +1,17 @@
-"""Communities at two resolutions: seeded local moving and merging (Blondel et al., 2008; Traag et al., 2019 for the connectivity check).
+"""Communities at two resolutions by the Leiden method, which ``leiden`` has at any size.
 
-The quality is the configuration model's with a resolution. It never gains from joining what isn't
-connected, so components are independent given the whole graph's weight, and each is one group of a
-grouped map. A component beyond ONE_TASK_LINKS is moved by distributed rounds instead."""
+The quality never gains from joining what isn't connected, so components are independent given the whole graph's
+weight, and each is one group of a grouped map; one beyond ONE_TASK_LINKS is contracted by DataFrames until it fits."""
 
 from __future__ import annotations
 
 import logging
-from collections import defaultdict
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
-from skein.operators import traverse
+from skein.operators import leiden, traverse
 from skein.shared import numbered, ship, stored
 
 FINE, COARSE = 0.6, 0.15
@@ -34,120 +30,28 @@ def initial_membership(ids: DataFrame, previous: DataFrame) -> DataFrame:
     return old.unionByName(numbered(new, "place", "id").select("id", (F.lit(base) + F.col("place")).alias("start")))
 
 
-def move_nodes(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, total: float, resolution: float, start: np.ndarray) -> np.ndarray:
-    """Communities of n nodes with links u < v or loops, weight total over the whole graph, from a start membership."""
-    mapped = np.arange(n)
-    members = np.unique(start, return_inverse=True)[1]
-    while True:
-        strength = np.bincount(u, w, n) + np.bincount(v, w, n)
-        near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-        for a, b, x in zip(u.tolist(), v.tolist(), w.tolist(), strict=True):
-            if a != b:
-                near[a][b] += x
-                near[b][a] += x
-        at = members.tolist()
-        sums = np.bincount(members, strength, n).tolist()
-        moved, any_move = True, False
-        while moved:
-            moved = False
-            for k in range(n):
-                own, s = at[k], strength[k]
-                sums[own] -= s
-                to: dict[int, float] = defaultdict(float)
-                for b, x in near[k].items():
-                    to[at[b]] += x
-                best, gain = own, to.get(own, 0.0) - resolution * s * sums[own] / total
-                for c in sorted(to):
-                    g = to[c] - resolution * s * sums[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                at[k] = best
-                sums[best] += s
-                if best != own:
-                    moved = any_move = True
-        _, labels = np.unique(at, return_inverse=True)
-        mapped = labels[mapped]
-        size = labels.max() + 1 if n else 0
-        if size == n or not any_move and size == n:
-            return mapped
-        key = np.minimum(labels[u], labels[v]) * size + np.maximum(labels[u], labels[v])
-        keys, inverse = np.unique(key, return_inverse=True)
-        w = np.bincount(inverse, w)
-        u, v = keys // size, keys % size
-        if size == n:
-            return mapped
-        n, members = int(size), np.arange(size)
-
-
-def connected_parts(u: np.ndarray, v: np.ndarray, membership: np.ndarray) -> np.ndarray:
-    """The same communities, each split where its members aren't connected by links inside it."""
-    parent = np.arange(len(membership))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        if membership[a] == membership[b]:
-            ra, rb = find(a), find(b)
-            parent[max(ra, rb)] = min(ra, rb)
-    return np.array([find(k) for k in range(len(membership))], np.int64)
-
-
-def _in_one_task(total: float, resolution: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(np.concatenate([rows.u, rows.v]), return_inverse=True)
-        u, v = at[: len(rows)], at[len(rows) :]
-        start = np.arange(len(names), dtype=np.int64)
-        known = rows.u_start.notna().to_numpy()
-        start[u[known]] = rows.u_start[known].to_numpy(np.int64) + len(names)
-        known = rows.v_start.notna().to_numpy()
-        start[v[known]] = rows.v_start[known].to_numpy(np.int64) + len(names)
-        found = connected_parts(u, v, move_nodes(u, v, rows.w.to_numpy(), len(names), total, resolution, start))
-        return pd.DataFrame({"id": names, "leader": names[found]})
-
-    return run
-
-
-def _in_rounds(links: DataFrame, total: float, resolution: float, rounds: int = 12) -> DataFrame:
-    """(id, leader) by rounds in which every other node, by hash, moves to its best neighbouring community."""
-    pairs = stored(traverse.both_ways(links).filter("u <> v"), "pairs")
-    strength = stored(links.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("s")), "strength")
-    at = stored(strength.select("id", "s", F.col("id").alias("leader")), "moves")
-    for k in range(rounds):
-        sums = at.groupBy("leader").agg(F.sum("s").alias("sum"))
-        near = pairs.join(at.select(F.col("id").alias("v"), "leader"), "v").groupBy("u", "leader").agg(F.sum("w").alias("to"))
-        own = at.select(F.col("id").alias("u"), "s", F.col("leader").alias("mine"))
-        scored = near.join(own, "u").join(sums, "leader").withColumn("gain", F.col("to") - F.lit(resolution) * F.col("s") * (F.col("sum") - F.when(F.col("leader") == F.col("mine"), F.col("s")).otherwise(0.0)) / F.lit(total))
-        best = scored.groupBy("u").agg(F.max_by("leader", F.struct("gain", "leader")).alias("to"), F.max("gain").alias("gain")).withColumnRenamed("u", "id")
-        moves = F.col("to").isNotNull() & (F.col("gain") > 0) & (F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2)
-        after = stored(at.join(best, "id", "left").select("id", "s", F.when(moves, F.col("to")).otherwise(F.col("leader")).alias("leader"), (moves & (F.col("to") != F.col("leader"))).alias("moved")), "moves")
-        changed = after.filter("moved").isEmpty()
-        at = after.select("id", "s", "leader")
-        if changed and k % 2:
-            break
-    return at.select("id", "leader")
-
-
 def partition(nodes: DataFrame, links: DataFrame, resolution: float, previous: DataFrame | None = None, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, community): numbers by size, then smallest id; with ``previous`` (id, community) a community keeps
     the number that most of its members had, where no larger one has it."""
     ship(links.sparkSession)
     total = 2.0 * (links.agg(F.sum("w")).first()[0] or 0.0) or 1.0
-    inside = traverse.ranked_components(links)
+    inside = stored(traverse.ranked_components(links), "components")
     rows = links.join(inside.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("component", F.coalesce("component", "u"))
-    starts = previous.select("id", F.col("community").cast("long").alias("start")) if previous is not None else nodes.select("id", F.lit(None).cast("long").alias("start"))
+    starts = previous.select("id", F.col("community").cast("string").alias("start")) if previous is not None else nodes.select("id", F.lit(None).cast("string").alias("start"))
     for end in ("u", "v"):
         rows = rows.join(starts.select(F.col("id").alias(end), F.col("start").alias(f"{end}_start")), end, "left")
     rows = stored(rows, "clustered")
     sizes = stored(rows.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     big = sizes.filter(F.col("n") > one_task).select("component")
     small = rows.join(big, "component", "left_anti").select("component", "u", "v", "w", "u_start", "v_start")
-    found = small.groupBy("component").applyInPandas(_in_one_task(total, resolution), "id string, leader string")
-    large = rows.join(big, "component", "left_semi").select("u", "v", "w")
+    found = small.groupBy("component").applyInPandas(leiden.whole_group(total, resolution), "id string, leader string")
     if not big.isEmpty():
-        found = found.union(_in_rounds(large, total, resolution))
+        large = stored(rows.join(big, "component", "left_semi"), "large")
+        # a community of the last time starts under its smallest id in each component
+        known = large.select("component", F.explode(F.array(*[F.struct(F.col(e).alias("id"), F.col(f"{e}_start").alias("start")) for e in ("u", "v")])).alias("x")).select("component", "x.*").filter("start IS NOT NULL").distinct()
+        firsts = stored(known.groupBy("component", "start").agg(F.min("id").alias("c")), "starts")
+        start = stored(known.join(firsts, ["component", "start"]).select("id", "c"), "start")
+        found = found.union(leiden.in_levels(large.select("u", "v", "w"), start, total, resolution, one_task))
     alone = nodes.select("id").distinct().join(inside.select("id"), "id", "left_anti").join(links.filter("u = v").select(F.col("u").alias("id")), "id", "left_anti")
     member = stored(found.union(alone.select("id", F.col("id").alias("leader"))), "members")
     return _numbered(member, previous)

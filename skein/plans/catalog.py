@@ -578,6 +578,22 @@ def communities_two_levels(spark, sf_dir):
     return community.cluster(nodes, edges).select("id", "community", "community_group")
 
 
+@_query("communities_distributed", " SELECT count(*) AS n_nodes, 0::BIGINT AS n_without, 0::BIGINT AS n_in_two, 0::BIGINT AS n_torn, true AS as_good FROM nodes", True)
+def communities_distributed(spark, sf_dir):
+    """The levels of DataFrames that large components take, held to what any right answer has: every node in one community, none torn apart, and a quality within 1 % of the sequential form's."""
+    nodes, edges = A.trade_nodes(spark, sf_dir), A.trade_edges(spark, sf_dir)
+    links = stored(graph.collapse_edges(edges), "links")
+    found = stored(community.partition(nodes, links, community.FINE, one_task=1_000), "levels")
+    whole = stored(community.partition(nodes, links, community.FINE), "one_task")
+    a, b = (found.select(F.col("id").alias(e), F.col("community").alias(f"c{e}")) for e in ("u", "v"))
+    inside = traverse.ranked_components(links.join(a, "u").join(b, "v").filter("cu = cv").select("u", "v", "w"))
+    torn = found.join(inside, "id", "left").groupBy("community").agg(F.count_distinct(F.coalesce("component", "id")).alias("parts")).filter("parts > 1")
+    per_id = nodes.select("id").distinct().join(found.groupBy("id").agg(F.count("*").alias("n")), "id", "left")
+    good = community.modularity(links, found, community.FINE) >= 0.99 * community.modularity(links, whole, community.FINE)
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return per_id.agg(F.count("*").alias("n_nodes"), total(F.col("n").isNull()).alias("n_without"), total(F.col("n") > 1).alias("n_in_two")).withColumns({"n_torn": F.lit(torn.count()).cast("long"), "as_good": F.lit(bool(good))})
+
+
 # files in tables
 
 

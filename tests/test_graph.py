@@ -2,12 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import fuzzy
 from skein.functions import text as X
-from skein.operators import community, concepts, graph, incremental, resolve, traverse
+from skein.operators import community, concepts, graph, incremental, leiden, resolve, traverse
 from skein.sources import providers
 
 N = "id string, label string, modality string, source_file string, seq long"
@@ -192,6 +193,81 @@ def test_communities_of_two_rings(spark, one_task):
     assert community.modularity(links, member) > 0.4
 
 
+def planted(groups, size, seed, across):
+    """Links of a graph with dense groups and some links across."""
+    import random
+
+    draw = random.Random(seed)
+    ids = [(g, k) for g in range(groups) for k in range(size)]
+    name = lambda x: f"n{x[0]:02}_{x[1]:02}"
+    return [(name(a), name(b), 1.0) for i, a in enumerate(ids) for b in ids[i + 1 :] if draw.random() < (0.5 if a[0] == b[0] else across)]
+
+
+def by_array(rows):
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    place = {x: k for k, x in enumerate(names)}
+    return names, *(np.array(c) for c in ([place[a] for a, _, _ in rows], [place[b] for _, b, _ in rows], [w for *_, w in rows]))
+
+
+def quality(u, v, w, member, resolution):
+    m, strength = w.sum(), np.bincount(u, w, len(member)) + np.bincount(v, w, len(member))
+    squares = sum(strength[member == c].sum() ** 2 for c in set(member.tolist()))
+    return w[member[u] == member[v]].sum() / m - resolution * squares / (2 * m) ** 2
+
+
+def test_leiden_is_stable_and_near_the_best_of_all_partitions():
+    def partitions(n, upto=0):
+        if n == 0:
+            yield []
+        else:
+            for rest in partitions(n - 1):
+                for c in range(max(rest, default=-1) + 2):
+                    yield [*rest, c]
+
+    shares = []
+    for seed in range(12):
+        names, u, v, w = by_array(planted(2, 4, seed, 0.25))
+        for resolution in (0.6, 1.0):
+            found = leiden.in_one_task(u, v, w, len(names), 2 * w.sum(), resolution, np.arange(len(names)))
+            own = quality(u, v, w, found, resolution)
+            shares.append(own / max(quality(u, v, w, np.array(p), resolution) for p in partitions(len(names))))
+            # no node gains by moving to another community, or to one of its own
+            for k in range(len(names)):
+                for c in {*found.tolist(), -1}:
+                    moved = found.copy()
+                    moved[k] = c
+                    assert quality(u, v, w, moved, resolution) <= own + 1e-9
+            assert (leiden.in_one_task(u, v, w, len(names), 2 * w.sum(), resolution, found) == found).all()
+    assert sum(shares) / len(shares) > 0.97 and sum(x > 1 - 1e-9 for x in shares) > len(shares) / 2
+
+
+def test_parts_are_connected_and_inside():
+    rows = planted(4, 10, 3, 0.02)
+    names, u, v, w = by_array(rows)
+    graph = leiden._Graph(u, v, w, len(names))
+    at = [k % 3 for k in range(len(names))]  # a poor partition
+    part = np.array(graph.parts(at, 2 * w.sum(), 1.0))
+    assert all(at[k] == at[p] for k, p in enumerate(part)) and 3 < len(set(part.tolist())) < len(names)
+    assert len(set(leiden.connected_parts(u, v, part).tolist())) == len(set(part.tolist()))
+
+
+def test_levels_are_as_good_as_one_task(spark):
+    rows = planted(8, 12, 5, 0.02)
+    links = spark.createDataFrame(rows, "u string, v string, w double")
+    names, u, v, w = by_array(rows)
+    ids = spark.createDataFrame([(x,) for x in names], "id string")
+    one = leiden.in_one_task(u, v, w, len(names), 2 * w.sum(), 1.0, np.arange(len(names)))
+    for one_task in (150,):
+        member = {r.id: r.community for r in community.partition(ids, links, 1.0, one_task=one_task).collect()}
+        found = np.array([member[x] for x in names])
+        assert quality(u, v, w, found, 1.0) >= 0.99 * quality(u, v, w, one, 1.0)
+        assert len(set(leiden.connected_parts(u, v, found).tolist())) == len(set(found.tolist()))
+    # a warm start keeps the numbers there too
+    earlier = spark.createDataFrame([(x, int(c) + 70) for x, c in zip(names, one, strict=True)], "id string, community long")
+    again = {r.id: r.community for r in community.partition(ids, links, 1.0, earlier, one_task=150).collect()}
+    assert again == {x: int(c) + 70 for x, c in zip(names, one, strict=True)}
+
+
 def test_warm_start_keeps_numbers(spark):
     n = nodes(spark, *[(x, x, "f") for x in "abcde"])
     e = edges(spark, ("a", "b", "x", "EXTRACTED", "f"), ("b", "c", "x", "EXTRACTED", "f"), ("d", "e", "x", "EXTRACTED", "f"))
