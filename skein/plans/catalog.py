@@ -597,18 +597,38 @@ def communities_distributed(spark, sf_dir):
 # files in tables
 
 
-@_query("code_facts")
+#: A small file of each language around a part's name, written NAME, and how many rows of each kind it has.
+_SOURCES = [
+    ("python", ".py", "import os\nclass NAME:\n    def size(self):\n        return helper(self)\n"),
+    ("javascript", ".js", "import rig from 'rig';\nclass NAME {\n  size(a) { return helper(new Other(a)); }\n}\n"),
+    ("typescript", ".ts", "import { rig } from 'rig';\nclass NAME<T> {\n  size(a: T): number { return helper<T>(a); }\n}\n"),
+    ("tsx", ".tsx", "import rig from 'rig';\nclass NAME {\n  size() { return <b>{helper(1)} isn't f</b>; }\n}\n"),
+    ("java", ".java", "import com.x.Helper;\npublic class NAME {\n  public NAME(int a) { super(a); }\n  public int size(int a) { return Helper.helper(a); }\n}\n"),
+    ("c", ".c", "#include <stdio.h>\nint helper(int a);\nint size_NAME(int a)\n{\n  return helper(a); /* f() */\n}\n"),
+    ("cpp", ".cpp", "#include <vector>\nclass NAME {\n  int later(int a);\n  int size(int a) { return helper(a); }\n};\n"),
+    ("csharp", ".cs", "using System.Linq;\nnamespace Sea.Parts {\n  class NAME {\n    int Size(int a) => Helper(a);\n  }\n}\n"),
+    ("go", ".go", "package main\nimport \"fmt\"\ntype NAME struct { N int }\nfunc (p *NAME) Size() int { return helper(p.N) }\n"),
+    ("rust", ".rs", "use std::fmt::Debug;\nstruct NAME { n: i32 }\nimpl NAME { fn size(&self) -> i32 { helper(self.n) } }\n"),
+    ("php", ".php", "<?php\nuse Sea\\Helper;\nclass NAME {\n  function size($a) { return helper(new Other($a)); }\n}\n"),
+    ("kotlin", ".kt", "import sea.Helper\nclass NAME(val a: Int) {\n  fun size() = helper(\"${a} f()\")\n}\n"),
+    ("swift", ".swift", "import Foundation\nclass NAME {\n  func size() -> Int { return helper(1) }\n}\n"),
+    ("dart", ".dart", "import 'dart:math';\nclass NAME {\n  NAME(this.a);\n  int size(int a) => helper(a);\n}\n"),
+    ("sql", ".sql", "create function size_NAME(a integer) returns integer as $$ select helper(a); $$ language sql;\n"),
+    ("scala", ".scala", "import scala.util.Try\nclass NAME(a: Int) {\n  def size = helper(a)\n}\n"),
+    ("powershell", ".ps1", "Import-Module Rig\nclass NAME {\n  [int] Size([int]$a) { Helper $a; return $a }\n}\n"),
+]
+#: C and SQL have no class here, SQL no import; C# has a namespace.
+_COUNTS = {lang: {"node": 2 if lang in ("c", "sql") else 3, "edge": 1 if lang in ("c", "sql") else 2, "call": 1, "import": int(lang != "sql"), "namespace": int(lang == "csharp")} for lang, *_ in _SOURCES}
+_EXPECTED = ", ".join(f"({k}, '{ext}', '{kind}', {n})" for k, (lang, ext, _) in enumerate(_SOURCES) for kind, n in _COUNTS[lang].items() if n)
+
+
+@_query("code_facts", f"SELECT 'src/P' || p_partkey || ext AS rel_path, kind, n_rows::BIGINT AS n_rows FROM part JOIN (VALUES {_EXPECTED}) AS e(k, ext, kind, n_rows) ON p_partkey % {len(_SOURCES)} = k")
 def code_facts(spark, sf_dir):
-    """A small source file for each part, read by the scanner of one of four languages; the tests hold its fixtures."""
+    """A small source file for each part in one of the 17 languages, read by its scanner."""
     name = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
-    bodies = [
-        ("python", ".py", F.concat(F.lit("import os\nclass "), name, F.lit(":\n    def size(self):\n        return helper(self)\n"))),
-        ("java", ".java", F.concat(F.lit("import com.x.Helper;\npublic class "), name, F.lit(" {\n  public int size(int a) {\n    return Helper.helper(a);\n  }\n}\n"))),
-        ("go", ".go", F.concat(F.lit("package main\nimport \"fmt\"\ntype "), name, F.lit(" struct { N int }\nfunc (p *"), name, F.lit(") Size() int { return helper(p.N) }\n"))),
-        ("rust", ".rs", F.concat(F.lit("struct "), name, F.lit(" { n: i32 }\nimpl "), name, F.lit(" {\n  fn size(&self) -> i32 { helper(self.n) }\n}\n"))),
-    ]
-    pick = lambda k: F.get(F.array(*[b[k] if k == 2 else F.lit(b[k]) for b in bodies]), (F.col("p_partkey") % 4).cast("int"))
-    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), name, pick(1)).alias("rel_path"), F.lit("code").alias("modality"), pick(0).alias("language"), F.encode(pick(2), "UTF-8").alias("content"))
+    pick = lambda k: F.get(F.array(*[F.lit(x[k]) for x in _SOURCES]), (F.col("p_partkey") % len(_SOURCES)).cast("int"))
+    content = F.encode(F.replace(pick(2), F.lit("NAME"), name), "UTF-8").alias("content")
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), name, pick(1)).alias("rel_path"), F.lit("code").alias("modality"), pick(0).alias("language"), content)
     return extract.extract(files).groupBy("rel_path", "kind").agg(F.count("*").alias("n_rows"))
 
 
