@@ -75,19 +75,34 @@ def test_fuzzy(spark):
     assert fuzzy.best_symbols(names, symbols, 0.99).count() == 0
 
 
-def test_fuzzy_prefilter_loses_nothing(spark):
+@pytest.mark.parametrize("threshold", [0.85, 0.72, 0.5])
+def test_fuzzy_index_loses_nothing(spark, threshold):
     import difflib
     import random
 
     draw = random.Random(2)
-    words = ["".join(draw.choice("abAB") for _ in range(draw.randint(0, 9))) for _ in range(80)]
-    symbols = list(dict.fromkeys("".join(draw.choice("abAB") for _ in range(draw.randint(1, 9))) for _ in range(80)))
+    words = ["", *("".join(draw.choice("abAB") for _ in range(draw.randint(0, 9))) for _ in range(80))]
+    symbols = list(dict.fromkeys("".join(draw.choice("abAB") for _ in range(draw.randint(0, 9))) for _ in range(80)))
     df = spark.createDataFrame([(s, s, k) for k, s in enumerate(symbols)], "name string, id string, seq long")
-    got = {r.name: r.id for r in fuzzy.best_symbols(spark.createDataFrame([(w,) for w in words], "name string"), df).collect()}
+    got = {r.name: r.id for r in fuzzy.best_symbols(spark.createDataFrame([(w,) for w in words], "name string"), df, threshold).collect()}
     for w in words:
         scores = [difflib.SequenceMatcher(None, w.lower(), s.lower()).ratio() for s in symbols]
         best = max(scores)
-        assert got.get(w) == (symbols[scores.index(best)] if best >= 0.85 else None)
+        assert got.get(w) == (symbols[scores.index(best)] if best >= threshold else None)
+
+
+def test_fuzzy_pairs_are_few(spark):
+    """Rows of the join, of all pairs of words that texts hold; and nothing lost."""
+    import difflib
+
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("a")).filter(F.length("a") >= 4).distinct()
+    a, b = (words.filter(F.pmod(F.xxhash64("a"), F.lit(20)) == k) for k in (0, 1))
+    left, right = ([r[0] for r in t.collect()] for t in (a, b))
+    near = {(x, y) for x in left for y in right if difflib.SequenceMatcher(None, x, y).ratio() >= 0.85}
+    b = b.withColumnRenamed("a", "b")
+    found = {tuple(r) for r in fuzzy.candidates(a, b).collect()}
+    assert near and near <= found and len(found) < 10 * len(near)
+    assert len(left) * len(right) > 10_000 and fuzzy.joined(a, b).count() < len(left) * len(right) / 10
 
 
 def test_collisions_duplicates_and_dangling_edges(spark):
