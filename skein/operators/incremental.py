@@ -19,12 +19,19 @@ def status_summary(states: DataFrame) -> DataFrame:
     return states.agg(*[count(s) for s in ("new", "changed", "unchanged", "deleted")]).withColumn("needs_rebuild", (F.col("new") + F.col("changed") + F.col("deleted")) > 0)
 
 
+def _key(files: DataFrame, cache: DataFrame) -> list[str]:
+    """A cached result holds for a path and hash, and for the provider that made it where both tables name one."""
+    return ["rel_path", "sha1", *(["provider"] if "provider" in files.columns and "provider" in cache.columns else [])]
+
+
 def hits(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return cache.join(files.select("rel_path", "sha1"), ["rel_path", "sha1"], "left_semi")
+    key = _key(files, cache)
+    return cache.join(files.select(*key), key, "left_semi")
 
 
 def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return files.join(cache.select("rel_path", "sha1"), ["rel_path", "sha1"], "left_anti")
+    key = _key(files, cache)
+    return files.join(cache.select(*key), key, "left_anti")
 
 
 def pruned(cache: DataFrame, files: DataFrame) -> DataFrame:

@@ -36,10 +36,17 @@ def _store_cache(spark: SparkSession, out: str, files: DataFrame, facts: DataFra
     fs.rename(path(f"{out}/cache.new"), path(f"{out}/cache"))
 
 
+def _open(nodes: DataFrame) -> DataFrame:
+    """Nodes of files that any provider may see."""
+    return nodes.filter(~F.coalesce("force_local", F.lit(False))) if "force_local" in nodes.columns else nodes
+
+
 def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from all files' facts. Links between files are made anew each time, so that a cached file's never go stale."""
     parts = extract.split_facts(facts, files.select("rel_path", "file_seq"))
     nodes = parts["nodes"]
+    if "force_local" in files.columns:  # what must not leave the machine is known of each node from here on
+        nodes = nodes.join(files.select(F.col("rel_path").alias("source_file"), "force_local"), "source_file", "left").select(*parts["nodes"].columns, "force_local")
     code = nodes.filter("modality = 'code'")
     symbols = stored(resolve.symbols_last_wins(code), "symbols")
     modules = files.filter("modality = 'code'").select(X.module_path(F.col("rel_path")).alias("module"), X.make_id(F.col("rel_path")).alias("id"), F.col("file_seq").alias("seq"))
@@ -54,7 +61,7 @@ def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFra
     named = parts["concepts"].join(files.select("rel_path", F.col("modality").alias("of")), "rel_path")
     linker = None
     if provider is not None:
-        shown = symbols.select("name").distinct().orderBy("name").limit(providers.CANDIDATES).collect()
+        shown = resolve.symbol_rows(_open(code)).select("name").distinct().orderBy("name").limit(providers.CANDIDATES).collect()
         linker = providers.Linker(provider, [r["name"] for r in shown])
     for prefix, kinds in (("semantic", ("document",)), ("vision", ("image",))):
         own = named.filter(F.col("of").isin(*kinds)).drop("of")
@@ -84,17 +91,20 @@ def build(spark: SparkSession, root: str, out: str, do_cluster: bool = True, pro
     provider = provider or providers.choose(False, own.model, own.vision_model)
     name = provider.name if provider is not None else "none"
     found = read_files(spark, root, own.extra_ignore_dirs, own.extra_sensitive_dirs)
-    listed = stored(found.drop("content").withColumn("provider", F.when(F.col("force_local"), "none").otherwise(F.lit(name))), "files")
+    found = found.withColumn("provider", F.when(F.col("force_local"), "none").otherwise(F.lit(name)))
+    listed = stored(found.drop("content"), "files")
     then, old_facts = _cached(spark, out)
     # text read without a provider is read again once there is one
-    same = listed.join(then, ["rel_path", "sha1", "provider"], "left_semi").select("rel_path")
-    todo = found.join(same, "rel_path", "left_anti")
+    todo = incremental.misses(found, then)
     fresh = stored(extract.extract(todo, provider), "facts")
-    facts = stored(old_facts.join(same, "rel_path", "left_semi").unionByName(fresh), "facts")
-    failed = facts.filter("kind = 'incomplete'").select("rel_path").distinct()
-    log.info("%d files, %d read anew, %d incomplete", listed.count(), todo.count(), failed.count())
+    facts = stored(incremental.pruned(old_facts, incremental.hits(listed, then)).unionByName(fresh), "facts")
+    failed = stored(facts.filter("kind = 'incomplete'").select("rel_path").distinct(), "incomplete")
+    read = stored(incremental.misses(listed, then).select("rel_path", "sha1", "provider"), "read")
+    log.info("%d files, %d read anew, %d incomplete", listed.count(), read.count(), failed.count())
     nodes, edges = assemble(listed, facts, provider)
-    _store_cache(spark, out, listed.join(failed, "rel_path", "left_anti").select("rel_path", "sha1", "provider"), facts.join(failed, "rel_path", "left_anti"))
+    done = read.join(failed.withColumn("incomplete", F.lit(True)), "rel_path", "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(False)))
+    cache = stored(incremental.updated(then, listed, done), "cache")
+    _store_cache(spark, out, cache, incremental.pruned(facts, cache))
     nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     if do_cluster:
         nodes = community.cluster(_with_previous(spark, nodes, out), edges, own.fine_resolution, own.coarse_resolution)
@@ -125,14 +135,24 @@ def query(spark: SparkSession, out: str, question: str, provider=None) -> str:
     if found is None:
         return "No node of the graph matches this question. Name a function or class."
     _, shown, links = found
+    shown, open_nodes = stored(shown, "shown"), None
+    if provider is None and _open(shown).count() < shown.count():
+        provider = providers.choose(force_local=True)
+    if provider is None:
+        provider, open_nodes = providers.choose(force_local=False), _open(shown).select("id")
+    elif not getattr(provider, "local", False):
+        open_nodes = _open(shown).select("id")
+    if provider is not None and open_nodes is not None:  # facts of files that must not leave the machine stay here
+        links = traverse.induced_edges(links, open_nodes)
     context = traverse.context_text(traverse.context_sections(traverse.fact_lines(shown, links)))
-    return providers.answer(provider or providers.choose(force_local=False), question, context)
+    return providers.answer(provider, question, context)
 
 
 def status(spark: SparkSession, root: str, out: str) -> dict:
     """{new, changed, unchanged, deleted: paths, needs_rebuild}; nothing is extracted."""
     own = settings.load_settings(root)
     files = read_files(spark, root, own.extra_ignore_dirs).select("rel_path", "sha1")
-    rows = incremental.status(files, _cached(spark, out)[0]).orderBy("rel_path").collect()
+    found = stored(incremental.status(files, _cached(spark, out)[0]), "status")
+    rows = found.orderBy("rel_path").collect()
     states = {s: [r["rel_path"] for r in rows if r["state"] == s] for s in ("new", "changed", "unchanged", "deleted")}
-    return states | {"needs_rebuild": bool(states["new"] or states["changed"] or states["deleted"])}
+    return states | {"needs_rebuild": incremental.status_summary(found).first()["needs_rebuild"]}

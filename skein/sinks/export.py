@@ -73,7 +73,7 @@ def from_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Graph</title>
 <style>body{margin:0;font:14px sans-serif}#side{position:fixed;left:0;top:0;width:240px;height:100%%;overflow:auto;padding:8px;background:#f6f6f6}canvas{margin-left:256px}label{display:block}</style>
-<div id="side"><input id="find" placeholder="Find"><div id="groups"></div></div><canvas id="view"></canvas>
+<div id="side"><input id="find" placeholder="Find"><p id="left"></p><div id="groups"></div></div><canvas id="view"></canvas>
 <script id="graph" type="application/json">%s</script><script id="info" type="application/json">%s</script>
 <script>
 const read=i=>JSON.parse(document.getElementById(i).textContent),g=read("graph"),info=read("info"),view=document.getElementById("view"),pen=view.getContext("2d");
@@ -85,6 +85,7 @@ function draw(){const q=document.getElementById("find").value.toLowerCase();pen.
 pen.strokeStyle="#ccc";g.edges.forEach(e=>{if(shown.has(e.source)&&shown.has(e.target)){pen.beginPath();pen.moveTo(...at[e.source]);pen.lineTo(...at[e.target]);pen.stroke()}});
 g.nodes.forEach(n=>{if(!shown.has(n.id))return;const hit=q&&n.label.toLowerCase().includes(q);pen.fillStyle=hit?"#000":(info[group(n)]||{}).color||"#888";pen.beginPath();pen.arc(...at[n.id],size(n),0,7);pen.fill();if(hit||g.nodes.length<80)pen.fillText(n.label,at[n.id][0]+6,at[n.id][1])})}
 for(const [k,v] of Object.entries(info)){const l=document.createElement("label"),c=document.createElement("input");c.type="checkbox";c.checked=true;c.onchange=()=>{c.checked?hidden.delete(k):hidden.add(k);draw()};l.append(c,v.label+" ("+v.count+")");l.style.color=v.color;document.getElementById("groups").append(l)}
+const left=(g.graph||{}).left_out||{};if(left.nodes||left.edges)document.getElementById("left").textContent="Not shown: "+(left.nodes||0)+" nodes, "+(left.edges||0)+" edges. graph.json has all.";
 document.getElementById("find").oninput=draw;draw();
 </script>
 """
@@ -101,8 +102,13 @@ def community_info(nodes: DataFrame, edges: DataFrame, provider=None) -> dict:
 
     if "community" not in nodes.columns:
         nodes = nodes.withColumn("community", F.lit(None).cast("long"))
-    rows = community.representatives(nodes, edges).orderBy(F.desc("n_members"), "community").limit(SHOWN_NODES).collect()
-    named = lambda r: group_name(provider, list(r["top_labels"])) if r["n_members"] > 1 else None
+    largest = lambda of: community.representatives(of, edges).orderBy(F.desc("n_members"), "community").limit(SHOWN_NODES).collect()
+    rows = largest(nodes)
+    shown = {r["community"]: list(r["top_labels"]) for r in rows}
+    if provider is not None and "force_local" in nodes.columns and not getattr(provider, "local", False):
+        # labels of files that must not leave the machine aren't sent
+        shown = {r["community"]: list(r["top_labels"]) for r in largest(nodes.filter(~F.coalesce("force_local", F.lit(False))))}
+    named = lambda r: group_name(provider, shown.get(r["community"], [])) if r["n_members"] > 1 else None
     return {str(r["community"]): {"label": named(r) or r["label"], "count": r["n_members"], "color": r["color"]} for r in sorted(rows, key=lambda r: r["community"])}
 
 

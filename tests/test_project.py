@@ -225,3 +225,42 @@ def test_graph_json_holds_all_of_a_large_graph(spark, tmp_path):
     assert json.loads(open(f"{tmp_path}/empty.json").read())["nodes"] == []
     shown = export.graph_dict(nodes, edges)
     assert shown["graph"]["left_out"] == {"nodes": 5000, "edges": 30_000 - len(shown["edges"])}
+
+
+def test_what_must_stay_here_is_not_sent(spark, tmp_path):
+    """Labels and facts of files in a sensitive folder go to local providers only."""
+
+    class Far:
+        name, sent = "far", []
+
+        def link_names(self, names, candidates):
+            Far.sent.append(("link", list(candidates)))
+            return {}
+
+        def name_group(self, labels):
+            Far.sent.append(("group", list(labels)))
+            return "Named"
+
+        def answer(self, question, context):
+            Far.sent.append(("answer", context))
+            return "answered"
+
+    class Near(Far):
+        name, local = "near", True
+
+    files = {"src/vault.py": "def open_vault():\n    return helper_one()\ndef helper_one():\n    return open_vault()\n", "secret/plan.md": "# Midnight\n## Heist\nSee `open_vault`.\n"}
+    for name, text in files.items():
+        path = tmp_path / "project" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    out = str(tmp_path / "out")
+    nodes, _ = project.build(spark, str(tmp_path / "project"), out, provider=Far())
+    assert {r.source_file for r in nodes.filter("force_local").collect()} == {"secret/plan.md"}
+    for provider, known in ((Far(), False), (Near(), True)):
+        assert project.query(spark, out, "what does open_vault do", provider) == "answered"
+        context = Far.sent[-1][1]
+        assert "open_vault()" in context and ("plan.md" in context) == known
+    text = repr([x for x in Far.sent if x[0] != "answer"])
+    assert "open_vault" in text and "Midnight" not in text and "Heist" not in text
+    with open(f"{out}/graph.html") as page:
+        assert "left_out" in page.read()
