@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators import leiden, traverse
-from skein.shared import numbered, ship, stored
+from skein.shared import forget, numbered, ship, stored
 
 FINE, COARSE = 0.6, 0.15
 LARGE_GRAPH = 5000
@@ -83,7 +83,8 @@ def modularity(links: DataFrame, member: DataFrame, resolution: float = 1.0) ->
 
 
 def cluster(nodes: DataFrame, edges: DataFrame, fine: float = FINE, coarse: float = COARSE) -> DataFrame:
-    """nodes with community and community_group; warm start from these columns where nodes have them."""
+    """nodes with community and community_group; warm start from these columns where nodes have them. Should the
+    Leiden method fail, greedy merging gives both."""
     ids = [c for c in nodes.columns if c not in ("community", "community_group")]
     n = nodes.count()
     if n > LARGE_GRAPH:
@@ -92,16 +93,51 @@ def cluster(nodes: DataFrame, edges: DataFrame, fine: float = FINE, coarse: floa
         return nodes
     links = stored(G.collapse_edges(edges), "links")
     out = nodes.select(*ids)
-    for name, resolution in (("community", fine), ("community_group", coarse)):
-        earlier = nodes.filter(F.col(name).isNotNull()).select("id", F.col(name).alias("community")) if name in nodes.columns else None
-        out = out.join(partition(nodes, links, resolution, earlier).withColumnRenamed("community", name), "id", "left")
+    try:
+        for name, resolution in (("community", fine), ("community_group", coarse)):
+            earlier = nodes.filter(F.col(name).isNotNull()).select("id", F.col(name).alias("community")) if name in nodes.columns else None
+            out = out.join(partition(nodes, links, resolution, earlier).withColumnRenamed("community", name), "id", "left")
+    except Exception as error:
+        log.warning("no Leiden communities (%s): merging greedily", error)
+        member = greedy_modularity(nodes, links)
+        out = nodes.select(*ids).join(member.withColumn("community_group", F.col("community")), "id", "left")
     return out
 
 
-def greedy_modularity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with one partition under both columns: communities of resolution 1, which stand in where a resolution isn't wanted."""
-    member = partition(nodes, stored(G.collapse_edges(edges), "links"), 1.0)
-    return nodes.drop("community", "community_group").join(member.withColumn("community_group", F.col("community")), "id", "left")
+def greedy_modularity(nodes: DataFrame, links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id, community): communities of one node each, merged while that raises modularity, the pair that gains most first
+    (Clauset, Newman and Moore, 2004). Beyond one_task links, rounds first merge all pairs that are each other's best."""
+    ship(links.sparkSession)
+    total = 2.0 * (links.agg(F.sum("w")).first()[0] or 0.0) or 1.0
+    strength = links.select(F.explode(F.array("u", "v")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("s"))
+    at = stored(strength, "strength")
+    member = stored(at.select("id", F.col("id").alias("point")), "points")
+    left = stored(links.select("u", "v", "w"), "links")
+    while left.count() > one_task:
+        a, b = (at.select(F.col("id").alias(e), F.col("s").alias(f"s{e}")) for e in ("u", "v"))
+        gain = F.col("w") - F.col("su") * F.col("sv") / F.lit(total)
+        gains = traverse.both_ways(left).filter("u <> v").join(a, "u").join(b, "v").withColumn("gain", gain).filter("gain > 1e-12")
+        # ties go to the link whose ends come first, which is the same seen from either end
+        rank = F.struct("gain", F.xxhash64(F.least("u", "v"), F.greatest("u", "v")), "v")
+        best = stored(gains.groupBy("u").agg(F.max(rank)["v"].alias("v")), "best")
+        mutual = best.join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).filter("u < v")
+        into = stored(mutual.select(F.col("v").alias("id"), F.col("u").alias("into")), "merged")
+        if into.isEmpty():
+            break
+        to = lambda end: into.select(F.col("id").alias(end), F.col("into").alias(f"to_{end}"))  # noqa: E731, B023
+        ends = left.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("to_u", "u").alias("a"), F.coalesce("to_v", "v").alias("b"), "w")
+        smaller = stored(ends.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")), "links")
+        at2 = stored(at.join(into, "id", "left").groupBy(F.coalesce("into", "id").alias("id")).agg(F.sum("s").alias("s")), "strength")
+        member2 = stored(member.join(into.withColumnRenamed("id", "point"), "point", "left").select("id", F.coalesce("into", "point").alias("point")), "points")
+        forget(left, at, member, best, into)
+        left, at, member = smaller, at2, member2
+    if left.count() <= one_task:
+        found = left.withColumn("one", F.lit(True)).groupBy("one").applyInPandas(leiden.merged_group(total), "point string, leader string")
+        member = member.join(stored(found, "merged"), "point").select("id", "leader")
+    else:
+        member = member.select("id", F.col("point").alias("leader"))
+    alone = nodes.select("id").distinct().join(member.select("id"), "id", "left_anti")
+    return _numbered(stored(member.union(alone.select("id", F.col("id").alias("leader"))), "members"), None)
 
 
 def representatives(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:

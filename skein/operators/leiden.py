@@ -14,6 +14,7 @@ and a refinement that merges single nodes into well-connected parts.
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 import numpy as np
@@ -169,6 +170,53 @@ def whole_group(total: float, resolution: float):
     return run
 
 
+def merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, total: float) -> np.ndarray:
+    """Communities of n nodes by merging, from a heap of gains in modularity: the pair that gains most first, the smaller numbers among equals."""
+    strength = (np.bincount(u, w, n) + np.bincount(v, w, n)).tolist()
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, x in zip(u.tolist(), v.tolist(), w.tolist(), strict=True):
+        if a != b:
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + x
+    into, version = list(range(n)), [0] * n
+    gain = lambda a, b: near[a][b] - strength[a] * strength[b] / total
+    heap = [(-gain(a, b), a, b, 0, 0) for a in range(n) for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        less, a, b, va, vb = heapq.heappop(heap)
+        if -less <= EPS:
+            break
+        if version[a] != va or version[b] != vb:
+            continue  # one of the two has changed since
+        into[b], version[b] = a, -1
+        del near[a][b], near[b][a]
+        for c, x in near[b].items():
+            del near[c][b]
+            near[a][c] = near[c][a] = near[a].get(c, 0.0) + x
+        near[b] = {}
+        strength[a] += strength[b]
+        version[a] += 1
+        for c in near[a]:
+            x, y = min(a, c), max(a, c)
+            heapq.heappush(heap, (-gain(x, y), x, y, version[x], version[y]))
+    for k in range(n):  # what a node was merged into has a smaller number or was merged before
+        root = k
+        while into[root] != root:
+            root = into[root]
+        into[k] = root
+    return np.array(into, np.int64)
+
+
+def merged_group(total: float):
+    """A function of one group's rows (u, v, w) to (point, leader) by greedy merging."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([rows.u, rows.v]), return_inverse=True)
+        found = merged(at[: len(rows)], at[len(rows) :], rows.w.to_numpy(), len(names), total)
+        return pd.DataFrame({"point": names, "leader": names[found]})
+
+    return run
+
+
 def _moving(pairs: DataFrame, at: DataFrame, total: float, resolution: float, level: int) -> DataFrame:
     """at (id, s, c) after rounds of local moving along pairs (u, v, w), both ways and without loops."""
     active = None  # all

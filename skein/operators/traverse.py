@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import fuzzy
 from skein.functions import text as X
 from skein.operators.graph import collapse_edges
-from skein.shared import ship, stored
+from skein.shared import forget, ship, stored
 
 ALPHA = 0.85
 TOLERANCE = 1e-6
@@ -67,25 +67,13 @@ def _components_in_one_task(rows: pd.DataFrame) -> pd.DataFrame:
         label = new
 
 
-def component_scope(links: DataFrame, seed_ids: DataFrame, max_rounds: int = 10_000, one_task: int = ONE_TASK_LINKS) -> DataFrame:
-    """(id) of everything that a seed reaches. Up to one_task links the components are found in one task.
-    Beyond, each round is a join of the newest ids only, written to the shared folder; a chain as long
-    as a graph's diameter is slow, a wide graph is not."""
-    if links.count() <= one_task:
-        inside = stored(ranked_components(links, one_task), "components")
-        wanted = inside.join(seed_ids.select("id").distinct(), "id", "left_semi").select("component").distinct()
-        alone = seed_ids.select("id").distinct().join(inside.select("id"), "id", "left_anti")
-        return inside.join(wanted, "component", "left_semi").select("id").union(alone)
-    pairs = stored(both_ways(links).select("u", "v"), "links")
-    reached = stored(seed_ids.select("id").distinct(), "reached")
-    newest = reached
-    for _ in range(max_rounds):
-        step = pairs.join(newest.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        newest = stored(step.join(reached, "id", "left_anti"), "newest")
-        if newest.isEmpty():
-            return reached
-        reached = stored(reached.union(newest), "reached")
-    raise RuntimeError(f"more than {max_rounds} rounds")
+def component_scope(links: DataFrame, seed_ids: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id) of everything that a seed reaches: the members of the seeds' components. Beyond one_task links components
+    take as many rounds as the logarithm of the graph asks for, not as its diameter."""
+    inside = stored(ranked_components(links, one_task), "components")
+    wanted = stored(inside.join(seed_ids.select("id").distinct(), "id", "left_semi").select("component").distinct(), "wanted")
+    alone = seed_ids.select("id").distinct().join(inside.select("id"), "id", "left_anti")
+    return inside.join(wanted, "component", "left_semi").select("id").union(alone)
 
 
 def _ranked_in_one_task(iterations: int, tolerance: float):
@@ -132,7 +120,8 @@ def pagerank(links: DataFrame, ids: DataFrame, seed_ids: DataFrame, iterations:
         lost = x.filter("out = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         sent = shares.join(x.select(F.col("id").alias("u"), "score"), "u").groupBy("v").agg(F.sum(F.col("p") * F.col("score")).alias("got")).withColumnRenamed("v", "id")
         new = ALPHA * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("t")) + (1 - ALPHA) * F.col("t")
-        x = stored(x.join(sent, "id", "left").select("id", "t", "out", new.alias("score"), F.abs(new - F.col("score")).alias("change")), "scores")
+        before, x = x, stored(x.join(sent, "id", "left").select("id", "t", "out", new.alias("score"), F.abs(new - F.col("score")).alias("change")), "scores")
+        forget(before)
         if tolerance > 0 and x.agg(F.sum("change")).first()[0] < n * tolerance:
             return x.select("id", "score")
     return x.select("id", "score") if tolerance <= 0 else x.select("id", F.lit(1.0).alias("score"))
@@ -202,12 +191,14 @@ def ranked_components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataF
     before = None
     while True:
         both = at.union(at.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # tables of their own before the joins, so that a star which very many links name can be split
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        at = stored(moved.filter("u <> v").distinct(), "stars")
+        old, at = at, stored(moved.filter("u <> v").distinct(), "stars")
+        forget(old, least, large, low)
         now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -218,10 +209,5 @@ def ranked_components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataF
     return linked.union(others.select("id", F.col("id").alias("component")))
 
 
-def neighbours(links: DataFrame) -> DataFrame:
-    """(id, n, strength): how many others an id is linked to, and by what weight in all."""
-    return both_ways(links).filter("u <> v").groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n"), F.sum("w").alias("strength"))
-
-
 def first_k(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= k)
