@@ -5,6 +5,8 @@ a name that a third of all calls hold."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,15 @@ def module_imports(raw_imports: DataFrame, modules: DataFrame) -> tuple[DataFram
     return edges, joined.filter(F.col("target").isNull()).select(*raw_imports.columns)
 
 
-def resolve_calls(raw_calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges for calls whose name has one definition, other than the caller itself."""
+def resolve_calls(raw_calls: DataFrame, nodes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Edges for calls whose name has one definition, other than the caller itself, with the calls' columns ``keep``."""
     found = raw_calls.join(unique_symbols(nodes).withColumnRenamed("name", "callee_name"), "callee_name")
     return found.filter(F.col("id") != F.col("caller_id")).select(
-        F.col("caller_id").alias("source"), F.col("id").alias("target"), F.lit("calls").alias("relation"), F.lit(EXTRACTED).alias("confidence"), "source_file", F.col("line").alias("source_location"), F.lit("cross_file").alias("context"), "target_source_file"
+        F.col("caller_id").alias("source"), F.col("id").alias("target"), F.lit("calls").alias("relation"), F.lit(EXTRACTED).alias("confidence"), "source_file", F.col("line").alias("source_location"), F.lit("cross_file").alias("context"), "target_source_file", *keep
     )
 
 
-def resolve_imports(raw_imports: DataFrame, nodes: DataFrame, namespaces: DataFrame) -> DataFrame:
+def resolve_imports(raw_imports: DataFrame, nodes: DataFrame, namespaces: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Edges for imports: by the symbol that the last component names, if it is unique; else by a
     declared namespace (rows namespace, id) that one file has. An import of oneself gives no edge, and no second try."""
     unique = unique_symbols(nodes).withColumnRenamed("name", "symbol")
@@ -61,5 +63,5 @@ def resolve_imports(raw_imports: DataFrame, nodes: DataFrame, namespaces: DataFr
     target = F.when(by_symbol, F.col("id")).otherwise(F.col("file_id"))
     found = joined.withColumns({"target": target, "context": F.when(by_symbol, "cross_file_import").otherwise("cross_file_import_namespace")})
     return found.filter(F.col("target").isNotNull() & (F.col("target") != F.col("source_id"))).select(
-        F.col("source_id").alias("source"), "target", "relation", F.lit(EXTRACTED).alias("confidence"), "source_file", F.col("line").alias("source_location"), "context", F.when(by_symbol, F.col("target_source_file")).alias("target_source_file")
+        F.col("source_id").alias("source"), "target", "relation", F.lit(EXTRACTED).alias("confidence"), "source_file", F.col("line").alias("source_location"), "context", F.when(by_symbol, F.col("target_source_file")).alias("target_source_file"), *keep
     )

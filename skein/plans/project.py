@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein import schemas
 from skein.functions import text as X
-from skein.operators import community, concepts, graph, incremental, resolve, traverse
+from skein.operators import community, concepts, graph, incremental, relink, resolve, traverse
 from skein.shared import stored
 from skein.sinks import export
 from skein.sources import extract, providers, settings
@@ -26,11 +26,12 @@ def _cached(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], _CACHE), spark.createDataFrame([], schemas.FACTS)
 
 
-def _store_cache(spark: SparkSession, out: str, files: DataFrame, facts: DataFrame) -> None:
+def _store_cache(spark: SparkSession, out: str, files: DataFrame, facts: DataFrame, links: DataFrame) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda name: jvm.org.apache.hadoop.fs.Path(name)
     files.write.mode("overwrite").parquet(f"{out}/cache.new/files")
     facts.write.mode("overwrite").parquet(f"{out}/cache.new/facts")
+    links.write.mode("overwrite").parquet(f"{out}/cache.new/links")
     fs = path(out).getFileSystem(conf)
     fs.delete(path(f"{out}/cache"), True)
     fs.rename(path(f"{out}/cache.new"), path(f"{out}/cache"))
@@ -41,8 +42,8 @@ def _open(nodes: DataFrame) -> DataFrame:
     return nodes.filter(~F.coalesce("force_local", F.lit(False))) if "force_local" in nodes.columns else nodes
 
 
-def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from all files' facts. Links between files are made anew each time, so that a cached file's never go stale."""
+def assemble(files: DataFrame, facts: DataFrame, provider=None, link=relink.resolved) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from all files' facts. ``link`` makes the links between files from calls, imports, code nodes and namespaces."""
     parts = extract.split_facts(facts, files.select("rel_path", "file_seq"))
     nodes = parts["nodes"]
     if "force_local" in files.columns:  # what must not leave the machine is known of each node from here on
@@ -53,8 +54,7 @@ def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFra
     by_module, open_imports = resolve.module_imports(parts["imports"], modules)
     made = [
         by_module,
-        resolve.resolve_calls(parts["calls"], code),
-        resolve.resolve_imports(open_imports, code, parts["namespaces"]),
+        link(parts["calls"], open_imports, code, parts["namespaces"]).drop(*relink.KEYS),
         concepts.backtick_mentions(parts["mentions"], symbols),
     ]
     described = made[-1].select(F.col("source_file").alias("rel_path"), "target")
@@ -85,6 +85,27 @@ def assemble(files: DataFrame, facts: DataFrame, provider=None) -> tuple[DataFra
     return nodes, edges.select(*[f.name for f in schemas.EDGES.fields])
 
 
+def _change(spark: SparkSession, out: str, listed: DataFrame, then: DataFrame, old_facts: DataFrame, facts: DataFrame) -> relink.Change | None:
+    """What changed since the links in the cache were made; None where there are none."""
+    if not export.exists(spark, f"{out}/cache/links"):
+        return None
+    now, before = listed.select("rel_path", "sha1"), then.select("rel_path", "sha1")
+    moved = now.exceptAll(before).union(before.exceptAll(now)).select("rel_path").distinct()
+    changed = stored(moved.union(facts.filter("kind = 'incomplete'").select("rel_path")).distinct(), "changed")
+    tables = []
+    for rows in (old_facts, facts):
+        own = rows.join(changed, "rel_path", "left_semi")
+        nodes = own.filter("kind = 'node' AND modality = 'code'").select("id", "label", F.col("rel_path").alias("source_file"))
+        spaces = own.filter("kind = 'namespace'").select(F.col("name").alias("namespace"), "id")
+        tables.append((relink.names_of(nodes), spaces))
+    (old_names, old_spaces), (names, spaces) = tables
+    modules = lambda paths: paths.select(X.module_path(F.col("rel_path")).alias("module"))
+    code = lambda rows: modules(rows.filter("kind = 'node' AND modality = 'code'").select("rel_path").distinct())
+    listed_code = modules(listed.filter("modality = 'code'").select("rel_path").join(changed, "rel_path", "left_semi"))
+    stale_modules = relink.stale(code(old_facts.join(changed, "rel_path", "left_semi")), listed_code, "module")
+    return relink.Change(changed, spark.read.parquet(f"{out}/cache/links"), relink.stale(old_names, names, "name"), relink.stale(old_spaces, spaces, "namespace"), stale_modules)
+
+
 def build(spark: SparkSession, root: str, out: str, do_cluster: bool = True, provider=None) -> tuple[DataFrame, DataFrame]:
     settings.load_env(root)
     own = settings.load_settings(root)
@@ -101,10 +122,17 @@ def build(spark: SparkSession, root: str, out: str, do_cluster: bool = True, pro
     failed = stored(facts.filter("kind = 'incomplete'").select("rel_path").distinct(), "incomplete")
     read = stored(incremental.misses(listed, then).select("rel_path", "sha1", "provider"), "read")
     log.info("%d files, %d read anew, %d incomplete", listed.count(), read.count(), failed.count())
-    nodes, edges = assemble(listed, facts, provider)
+    change, links = _change(spark, out, listed, then, old_facts, facts), []
+
+    def link(calls, imports, code, namespaces):
+        made = relink.resolved(calls, imports, code, namespaces) if change is None else relink.relinked(calls, imports, code, namespaces, change)
+        links.append(stored(made, "cross_links"))
+        return links[0]
+
+    nodes, edges = assemble(listed, facts, provider, link)
     done = read.join(failed.withColumn("incomplete", F.lit(True)), "rel_path", "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(False)))
     cache = stored(incremental.updated(then, listed, done), "cache")
-    _store_cache(spark, out, cache, incremental.pruned(facts, cache))
+    _store_cache(spark, out, cache, incremental.pruned(facts, cache), links[0])
     nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     if do_cluster:
         nodes = community.cluster(_with_previous(spark, nodes, out), edges, own.fine_resolution, own.coarse_resolution)
