@@ -27,6 +27,8 @@ table stays empty.
 from __future__ import annotations
 
 import functools
+import json
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,16 @@ def paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def check_ranks(path: str) -> None:
+    """Whether ids may stand for ranks: every longer token is made by a merge, and ids rise with the merges."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, special = spec["model"], {t["content"] for t in spec["added_tokens"]}
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][x] for x in made]
+    if ids != sorted(ids) or {x for x in model["vocab"] if len(x) > 1} - set(made) - special:
+        raise ValueError(f"{path}: its ids don't follow its merges")
+
+
 class Pair:
     """Both tokenizers, and the bytes of their tokens."""
 
@@ -62,6 +74,7 @@ class Pair:
         import tiktoken
         from tokenizers import Tokenizer
 
+        check_ranks(byte_path)
         self.library = Tokenizer.from_file(byte_path)
         self.library.encode_special_tokens = True
         self.library.no_truncation()

@@ -1,7 +1,9 @@
 """Two tokenizers' tokens on the same bytes, against dictionaries."""
 
 import hashlib
+import json
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from conftest import rows_of
@@ -82,6 +84,17 @@ def test_ids_of_either_way_agree():
     assert all(len(both.encode(x)[0]) for x in (" " * 100_000, "ab" * 100_000))
 
 
+def test_a_file_whose_ids_are_no_ranks_is_refused(tmp_path):
+    path = alignment.paths()[0]
+    alignment.check_ranks(path)
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    for wrong in ([*merges[1:], merges[0]], merges[:-1]):
+        (tmp_path / "wrong.json").write_text(json.dumps({**spec, "model": {**spec["model"], "merges": wrong}}), encoding="utf-8")
+        with pytest.raises(ValueError, match="merges"):
+            alignment.check_ranks(str(tmp_path / "wrong.json"))
+
+
 def test_query(spark):
     rows = alignment.op12_cross_tokenizer_links(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
