@@ -58,13 +58,22 @@ def _shared(a: Column, b: Column, threshold: float, q: int) -> Column:
     return matched if q == 1 else 3 * matched - a - b + 1
 
 
+def _reach(n: Column, threshold: float) -> Column:
+    """The lengths in reach of a length."""
+    return F.sequence(F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int"), F.floor(n * F.lit((2 - threshold) / threshold) + F.lit(1e-9)).cast("int"))
+
+
+def _few_edits(a: Column, b: Column, a_n: Column, b_n: Column, threshold: float) -> Column:
+    """Blocks of the threshold's size leave so many characters to take out and put in; an exchange is one of each."""
+    return F.levenshtein(a, b) <= a_n + b_n - 2 * _matched(a_n + b_n, threshold)
+
+
 def _indexed(strings: DataFrame, counts: DataFrame, threshold: float, q: int) -> DataFrame:
     """(text, n, other, grams, gram): each string, for each length in reach, under each gram that it could share first with a string of that length."""
     n = F.length("text")
     each = strings.select("text", F.explode(grams(F.col("text"), q)).alias("gram")).join(counts, "gram")
     ordered = each.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("holders", "gram"))), lambda x: x["gram"]).alias("grams"))
-    reach = F.sequence(F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int"), F.floor(n * F.lit((2 - threshold) / threshold) + F.lit(1e-9)).cast("int"))
-    lengths = ordered.select("text", n.alias("n"), "grams", F.explode(reach).alias("other"))
+    lengths = ordered.select("text", n.alias("n"), "grams", F.explode(_reach(n, threshold)).alias("other"))
     first = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - _shared(F.col("n"), F.col("other"), threshold, q) + 1, F.lit(1)))
     out = lengths.select("text", "n", "other", "grams", F.explode(first).alias("gram"))
     return out if q == 2 else out.union(strings.filter("text = ''").select("text", F.lit(0), F.lit(0), F.array().cast("array<string>"), F.lit("")))
@@ -87,11 +96,20 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) -> Data
     shared = F.array_intersect("a_grams", "b_grams")
     once = F.coalesce(F.get(shared, 0), F.lit("")) == F.col("gram")
     enough = F.size(shared) >= _shared(F.col("a_n"), F.col("b_n"), threshold, q)
-    # blocks of that size leave so many characters to take out and put in; an exchange is one of each
-    edits = F.levenshtein("a", "b") <= F.col("a_n") + F.col("b_n") - 2 * _matched(F.col("a_n") + F.col("b_n"), threshold)
+    edits = _few_edits(F.col("a"), F.col("b"), F.col("a_n"), F.col("b_n"), threshold)
     return joined(a, b, threshold).filter(once & enough & edits).select("a", "b")
 
 
+def in_reach(symbols: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of symbols (name, ...) that lengths and edits leave in reach of some of names, which are few and go to every
+    task: a question's words. No symbol is indexed, moved or grouped for it."""
+    few = names.select(F.lower("name").alias("near")).distinct().withColumn("near_n", F.length("near"))
+    few = few.select("near", "near_n", F.explode(_reach(F.col("near_n"), threshold)).alias("n"))
+    own, n = F.lower("name"), F.length(F.lower("name"))
+    close = _few_edits(F.col("near"), own, F.col("near_n"), n, threshold)
+    return symbols.join(F.broadcast(few), (n == F.col("n")) & close, "left_semi")
+
+
 def best_symbols(names: DataFrame, symbols: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(name, symbol, id, ratio): each name's best symbol, the first by seq among equals, if it reaches the threshold."""
     ship(names.sparkSession)

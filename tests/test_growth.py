@@ -32,6 +32,25 @@ def _links(spark):
     return spark.createDataFrame([(min(u, v), max(u, v), w) for u, v, w in rows], "u string, v string, w double")
 
 
+def test_seeds_of_a_question_index_no_table(spark, tables):
+    nodes = spark.createDataFrame([(f"n{k}", f"order:{k}", k) for k in range(500)] + [("x", "NATION_12", 600), ("y", "NATION_12", 601)], "id string, label string, seq long")
+    found = traverse.fuzzy_seeds(nodes, traverse.question_words(spark, "what of NATINO_12 here"))
+    assert [r.id for r in found.collect()] == ["y"]
+    assert max(n for _, n in tables) < 50
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.72, 0.85, 1.0])
+def test_what_is_in_reach_is_all_that_matches(spark, threshold):
+    import difflib
+    import itertools
+
+    words = ["abcd", "abdc", "Bacd", "abcde", "abcdefgh", "abcdfegh", "zzzz", "abc", "aabbccdd", "abcdabcd"]
+    names, symbols = (spark.createDataFrame([(w,) for w in words], "name string") for _ in range(2))
+    kept = {r.name for r in fuzzy.in_reach(symbols, names.filter("length(name) > 4"), threshold).collect()}
+    due = {b for a, b in itertools.product((w for w in words if len(w) > 4), words) if difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= threshold}
+    assert due <= kept
+
+
 def test_files_of_a_small_table_are_read_by_many_tasks(spark, monkeypatch):
     seen = []
     plain = extract.extract
