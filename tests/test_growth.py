@@ -32,6 +32,18 @@ def _links(spark):
     return spark.createDataFrame([(min(u, v), max(u, v), w) for u, v, w in rows], "u string, v string, w double")
 
 
+@pytest.mark.parametrize(("rounds", "tolerance"), [(1, 0.0), (2, 0.0), (30, 0.0), (100, 1e-6), (2, 1e-6)])
+def test_pagerank_rounds_leave_leaves_out(spark, tables, rounds, tolerance):
+    links = _links(spark)
+    ids = links.select(F.explode(F.array("u", "v")).alias("id")).union(spark.createDataFrame([("alone",)], "id string")).distinct()
+    marks = spark.createDataFrame([("seed",), ("a",), ("h2",)], "id string")
+    one, many = ({r.id: r.score for r in traverse.pagerank(links, ids, marks, rounds, tolerance, n).collect()} for n in (10**6, 0))
+    assert one.keys() == many.keys() == {r.id for r in ids.collect()}
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-12
+    # hubs, the pair's seed, the loop, the seed, the link of no weight and what is alone
+    assert [n for name, n in tables if name == "scores"] and max(n for name, n in tables if name == "scores") == 8
+
+
 def test_seeds_of_a_question_index_no_table(spark, tables):
     nodes = spark.createDataFrame([(f"n{k}", f"order:{k}", k) for k in range(500)] + [("x", "NATION_12", 600), ("y", "NATION_12", 601)], "id string, label string, seq long")
     found = traverse.fuzzy_seeds(nodes, traverse.question_words(spark, "what of NATINO_12 here"))
