@@ -44,6 +44,14 @@ def test_pagerank_rounds_leave_leaves_out(spark, tables, rounds, tolerance):
     assert [n for name, n in tables if name == "scores"] and max(n for name, n in tables if name == "scores") == 8
 
 
+def test_components_leave_leaves_out(spark, tables):
+    links = _links(spark)
+    one, many = ({r.id: r.component for r in traverse.ranked_components(links, n).collect()} for n in (10**6, 0))
+    assert one == many
+    assert many["h2"] == "0l0"  # the smallest id is a leaf's
+    assert all(n <= 6 for name, n in tables if name == "stars")
+
+
 def test_seeds_of_a_question_index_no_table(spark, tables):
     nodes = spark.createDataFrame([(f"n{k}", f"order:{k}", k) for k in range(500)] + [("x", "NATION_12", 600), ("y", "NATION_12", 601)], "id string, label string, seq long")
     found = traverse.fuzzy_seeds(nodes, traverse.question_words(spark, "what of NATINO_12 here"))
