@@ -52,6 +52,15 @@ def test_components_leave_leaves_out(spark, tables):
     assert all(n <= 6 for name, n in tables if name == "stars")
 
 
+def test_communities_start_without_leaves(spark, tables):
+    links = _links(spark).filter("w > 0")
+    ids = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    member = {r.id: r.community for r in community.partition(ids, links, 0.6, one_task=2).collect()}
+    assert member.keys() == {r.id for r in ids.collect()}
+    assert all(member[r.u] == member[r.v] for r in links.collect() if r.u[0] == "h" and r.v[0] == "l")
+    assert max(n for name, n in tables if name == "clustered") < 10
+
+
 def test_seeds_of_a_question_index_no_table(spark, tables):
     nodes = spark.createDataFrame([(f"n{k}", f"order:{k}", k) for k in range(500)] + [("x", "NATION_12", 600), ("y", "NATION_12", 601)], "id string, label string, seq long")
     found = traverse.fuzzy_seeds(nodes, traverse.question_words(spark, "what of NATINO_12 here"))
