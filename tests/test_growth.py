@@ -80,6 +80,17 @@ def test_what_is_in_reach_is_all_that_matches(spark, threshold):
     assert due <= kept
 
 
+def test_context_is_put_together_by_chunks(spark, tables, monkeypatch):
+    monkeypatch.setattr(traverse, "CHUNK", 3)
+    rows = [(("f.md", "g.md")[k % 2], k % 5 == 0, 100 - k // 2, f"line {k}") for k in range(40)]
+    got = {r.section: (r.n_facts, r.body) for r in traverse.context_sections(spark.createDataFrame(rows, "source_file string, is_code boolean, seq long, line string")).collect()}
+    want = {}
+    for seq, line, section in sorted((seq, line, "" if code else file) for file, code, seq, line in rows):
+        want.setdefault(section, []).append(line)
+    assert got == {k: (len(v), "\n".join(v)) for k, v in want.items()}
+    assert sum(n for name, n in tables if name == "chunks") >= 40 / 3
+
+
 def test_files_of_a_small_table_are_read_by_many_tasks(spark, monkeypatch):
     seen = []
     plain = extract.extract
