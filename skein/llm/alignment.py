@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Python only tokenises: each text comes back as two arrays of ids and two arrays of byte offsets at which the tokens
-end. Everything after that is Spark's higher-order functions on those arrays. ``array_intersect`` of the end arrays
+Python only tokenises: each text comes back as two arrays of tokens, longs with the end above and the id below, and two
+arrays of the byte offsets at which the tokens end. A worker tokenises parts of texts, cut where the tokens of both are
+certainly those of the whole, and keeps the ids of short parts, so words that come again aren't merged again. Everything after that is Spark's higher-order functions on those arrays. ``array_intersect`` of the end arrays
 gives the offsets where tokens of both end; they cut a text into groups. To write a group's ids, a tokenizer's tokens
-are sorted as longs (end above, id below) together with a mark for each token whose end isn't common, which thus stands
+are sorted together with a mark for each token whose end isn't common, which thus stands
 right behind its token and joins it to the next one; the arrays of both sides' groups are then zipped. The tokens that
 end a group are linked: their byte ranges end together.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from pathlib import Path
 
 import numpy as np
@@ -43,6 +45,14 @@ from skein.llm.common import free_names, read_table, ship, written
 ROWS = 64
 #: So many group texts at most are sent to every task.
 HOT = 1 << 17
+#: A worker keeps the ids of some twice so many parts of texts, of up to so many characters each.
+KEPT, SHORT = 150_000, 48
+#: Parts are tokenised together up to so many characters.
+TOGETHER = 1 << 17
+#: Stands before parts when B reads them, as it adds its space to what comes first.
+LEAD = "x"
+#: White space before which a text may be cut.
+WHITE = " \t\n\x0b\x0c\r"
 #: Masks an id, and is none itself.
 MARK = 2**31 - 1
 NONE = np.zeros(0, np.int32)
@@ -90,22 +100,116 @@ class Pair:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.b_tokens = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(k) else p.replace("▁", " ").encode() for k in range(self.pieces.get_piece_size()) for p in (self.pieces.id_to_piece(k),)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, t)) or [0], np.int64) for t in (self.a_tokens, self.b_tokens))
+        self.cut = self._cutter(piece_path)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before = self.known
+        self.lead_size = len(self.pieces.encode(LEAD, out_type=int, num_threads=1))
+
+    def _cutter(self, piece_path: str):
+        """Cuts space + text into parts whose tokens are those of the whole: in front of white space that follows something else.
+
+        A's pre-tokenizer always starts anew there. B's merges don't cross where no piece holds such white space behind
+        something else, if its normalizer leaves texts as they are. None where that isn't so.
+        """
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto.FromString(Path(piece_path).read_bytes())
+        norm, train = model.normalizer_spec, model.trainer_spec
+        plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
+        if not plain or train.model_type != train.BPE or train.treat_whitespace_as_suffix or self.library.normalizer is not None:
+            return None
+        shown = [p.piece.replace("▁", " ") for p in model.pieces]
+        held = {y for p in shown for x, y in zip(p, p[1:], strict=False) if y in WHITE and not x.isspace()}
+        if " " in held:
+            return None
+        cut = re.escape("".join(c for c in WHITE if c not in held))
+        # other white space goes with what is before it and what follows
+        other = rf"[^\S{cut}]\s*"
+        return re.compile(rf"\s*\S+(?:{other}\S+)*(?:{other})?|\s+").findall
 
     def a_ids(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) < AGREED:
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and B; none where their bytes aren't those of space + text. A changes no byte, so their number tells."""
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if text:
             whole, b = b" " + text.encode(), self.pieces.encode(text, out_type=int, num_threads=1)
             if b"".join(map(self.b_tokens.__getitem__, b)) == whole:
                 a = self.a_ids(" " + text)
+                # A changes no byte, so their number tells
                 if self.a_sizes[a].sum() == len(whole):
                     return a.view(np.int32), np.array(b, np.int32)
         return NONE, NONE
 
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of parts, tokenised as one text; None for those whose bytes aren't the part's."""
+        whole = "".join(parts)
+        b = self.pieces.encode(LEAD + whole, out_type=int, num_threads=1)[self.lead_size :]
+        if b"".join(map(self.b_tokens.__getitem__, b)) == whole.encode():
+            ids = self.a_ids(whole).view(np.int32), np.array(b, np.int32)
+            ends = [np.cumsum(sizes[x]) for x, sizes in zip(ids, (self.a_sizes, self.b_sizes), strict=True)]
+            stops = np.cumsum([len(p.encode()) for p in parts])
+            last = [np.minimum(np.searchsorted(e, stops), len(e) - 1) for e in ends]
+            if all((e[k] == stops).all() for e, k in zip(ends, last, strict=True)):
+                (a, a_at), (b, b_at) = ((x.tobytes(), [0, *(4 * k + 4).tolist()]) for x, k in zip(ids, last, strict=True))
+                for k, part in enumerate(parts):
+                    self.known[part] = a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]]
+                return
+        if len(parts) == 1:
+            self.known[parts[0]] = None
+        else:
+            self._learn(parts[: len(parts) // 2])
+            self._learn(parts[len(parts) // 2 :])
+
+    def _learn_all(self, parts: set[str]) -> list[str]:
+        """Makes all parts known; returns those that are too long to be kept."""
+        new = []
+        for part in parts:
+            if part not in self.known:
+                if part in self.before:
+                    self.known[part] = self.before[part]
+                else:
+                    new.append(part)
+        # what ends in white space can't stand before another part, and some characters are read more slowly
+        alone = [p for p in new if p[-1].isspace()]
+        quick = [p for p in new if not p[-1].isspace() and (p.isascii() or max(p) < AGREED)]
+        slow = [p for p in new if not (p[-1].isspace() or p.isascii() or max(p) < AGREED)]
+        for part in alone:
+            self._learn([part])
+        for some in (quick, slow):
+            start = size = 0
+            for k, part in enumerate(some):
+                size += len(part)
+                if size >= TOGETHER or k == len(some) - 1:
+                    self._learn(some[start : k + 1])
+                    start, size = k + 1, 0
+        return [p for p in new if len(p) > SHORT]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and B for each text; none where their bytes aren't those of space + text.
+
+        Ids of parts are kept. When there are KEPT, they go with the next lot unless they come again.
+        """
+        if self.cut is None:
+            return list(map(self._whole, texts))
+        cut = [self.cut(" " + t) if t else [] for t in texts]
+        long, out = self._learn_all(set().union(*cut)), []
+        for parts in cut:
+            found = list(map(self.known.__getitem__, parts))
+            if not found or None in found:
+                out.append((NONE, NONE))
+            else:
+                out.append(tuple(np.frombuffer(b"".join(x), np.int32) for x in zip(*found, strict=True)))
+        for part in long:
+            del self.known[part]
+        if len(self.known) > KEPT:
+            self.known, self.before = {}, self.known
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_all([text])[0]
+
 
 @functools.cache
 def load(byte_path: str, piece_path: str) -> Pair:
@@ -113,41 +217,39 @@ def load(byte_path: str, piece_path: str) -> Pair:
 
 
 def _lists(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """The lists of ids, and the lists of the offsets where they end."""
+    """The lists of tokens as longs, a token's end above its id, and the lists of the offsets where they end."""
     counts, flat = np.array(list(map(len, ids)), np.int64), np.concatenate([NONE, *ids])
     starts = np.r_[0, np.cumsum(counts)]
     ends = np.cumsum(sizes[flat])
     before = np.r_[0, ends][starts[:-1]]
-    ends = (ends - np.repeat(before, counts)).astype(np.int32)
+    ends = ends - np.repeat(before, counts)
     offsets = pa.array(starts, pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(ends))
+    return pa.ListArray.from_arrays(offsets, pa.array(ends << 32 | flat)), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))
 
 
 def tokenised(df: DataFrame, text: str = "text", byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
-    """df with arrays a_ids, a_ends, b_ids and b_ends in place of its text: all that Python does."""
+    """df with arrays a_tokens, a_ends, b_tokens and b_ends in place of its text: all that Python does."""
     ship(df.sparkSession)
     default = paths()
     where = (byte_path or default[0], piece_path or default[1])
-    names = ["a_ids", "a_ends", "b_ids", "b_ends"]
+    names = ["a_tokens", "a_ends", "b_tokens", "b_ends"]
     rest = [c for c in df.columns if c.lower() not in {*names, text.lower()}]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in names])
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(c, T.ArrayType(T.LongType() if c.endswith("tokens") else T.IntegerType(), False), False) for c in names])
 
     def run(batches):
         both = load(*where)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                found = [both.encode(t.as_py() or "") for t in part.column(len(rest))]
+                found = both.encode_all([t or "" for t in part.column(len(rest)).to_pylist()])
                 new = [*_lists([a for a, _ in found], both.a_sizes), *_lists([b for _, b in found], both.b_sizes)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *new], names=[*rest, *names])
 
     return df.select(*[df[c] for c in rest], df[text]).mapInArrow(run, schema)
 
 
-def _sorted(ids: str, ends: str) -> Column:
-    """A tokenizer's tokens as longs, by end; where one ends inside its group, a mark stands right behind it."""
-    own = F.col(ids)
-    tokens = F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.coalesce(F.get(own, i), F.lit(0)))
+def _sorted(tokens: str, ends: str) -> Column:
+    """A tokenizer's tokens by end; where one ends inside its group, a mark stands right behind it."""
     marks = F.transform(F.array_except(ends, "common"), lambda e: F.shiftleft(e.cast("long"), 32) + F.lit(MARK))
     return F.sort_array(F.concat(tokens, marks))
 
@@ -164,13 +266,13 @@ def _then(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens (with a_ids, a_ends, b_ids, b_ends) with n_a, n_b and ``groups`` instead: each group's ids of A, '|', its ids of B."""
-    own = ["a_ids", "a_ends", "b_ids", "b_ends"]
+    """tokens (with a_tokens, a_ends, b_tokens, b_ends) with n_a, n_b and ``groups`` instead: each group's ids of A, '|', its ids of B."""
+    own = ["a_tokens", "a_ends", "b_tokens", "b_ends"]
     rest = [c for c in tokens.columns if c.lower() not in {*own, *ADDED}]
     held = tokens.select(F.struct(*[tokens[c] for c in rest], F.lit(0).alias("_")).alias("row"), *own)
     step = _then(held, common=F.array_intersect("a_ends", "b_ends"))
-    sizes = [F.size(c).cast("long").alias(n) for n, c in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_groups", "common"))]
-    step = _then(step, a=_sorted("a_ids", "a_ends"), b=_sorted("b_ids", "b_ends")).select("row", *sizes, "a", "b")
+    sizes = [F.size(c).cast("long").alias(n) for n, c in (("n_a", "a_tokens"), ("n_b", "b_tokens"), ("n_groups", "common"))]
+    step = _then(step, a=_sorted("a_tokens", "a_ends"), b=_sorted("b_tokens", "b_ends")).select("row", *sizes, "a", "b")
     step = _then(step, a_parts=_parts("a"), b_parts=_parts("b"))
     groups = F.zip_with("a_parts", "b_parts", lambda a, b: F.concat(a, F.lit("|"), b))
     done = step.withColumn("groups", F.when(F.col("n_groups") > 0, groups).otherwise(F.array().cast("array<string>")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -84,6 +85,33 @@ def test_ids_of_either_way_agree():
     assert all(len(both.encode(x)[0]) for x in (" " * 100_000, "ab" * 100_000))
 
 
+def test_parts_give_the_tokens_of_whole_texts_and_are_read_once(monkeypatch):
+    both = alignment.Pair(*alignment.paths())
+    odd = random.Random(1)
+    chars = [*"ab  \n\n\t\r;)'1\x0b\x0c\x1c\x85\xa0\u3000\u2581é日ß\u0301\u200b\u180e\x00", " the", "\U0001f642", " word" * 20]
+    texts = [*ODD, "", " ", " \n\n  \t x", "x" * 3000, *("".join(odd.choices(chars, k=odd.randrange(1, 30))) for _ in range(3000))]
+    shown = lambda found: [(a.tolist(), b.tolist()) for a, b in found]
+    whole = shown(map(both._whole, texts))
+    assert sum(bool(a) for a, _ in whole) > 1000
+    monkeypatch.setattr(alignment, "TOGETHER", 200)
+    for kept in (1 << 20, 300):
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        assert shown(x for k in range(0, len(texts), 64) for x in both.encode_all(texts[k : k + 64])) == whole
+        assert len(both.known) <= kept or kept == 1 << 20
+    read, learn = [], both._learn
+    monkeypatch.setattr(both, "_learn", lambda parts: (read.extend(parts), learn(parts)))
+    both.encode_all(["new words here, new words"] * 3)
+    both.encode_all(["here, new words"])
+    assert len(read) == len(set(read)) and {" new", " words", " here,"} >= set(read)
+
+
+def test_tokens_come_as_sorted_longs(spark):
+    row = alignment.tokenised(spark.createDataFrame([("one other",)], "text string")).first()
+    a, b = alignment.load(*alignment.paths()).encode("one other")
+    assert [x & alignment.MARK for x in row.a_tokens] == a.tolist() and [x & alignment.MARK for x in row.b_tokens] == b.tolist()
+    assert [x >> 32 for x in row.a_tokens] == row.a_ends and [x >> 32 for x in row.b_tokens] == row.b_ends and row.a_ends[-1] == 10
+
+
 def test_a_file_whose_ids_are_no_ranks_is_refused(tmp_path):
     path = alignment.paths()[0]
     alignment.check_ranks(path)
