@@ -248,9 +248,9 @@ def tokenised(df: DataFrame, text: str = "text", byte_path: str | None = None, p
     return df.select(*[df[c] for c in rest], df[text]).mapInArrow(run, schema)
 
 
-def _sorted(tokens: str, ends: str) -> Column:
+def _sorted(tokens: str, inner: str) -> Column:
     """A tokenizer's tokens by end; where one ends inside its group, a mark stands right behind it."""
-    marks = F.transform(F.array_except(ends, "common"), lambda e: F.shiftleft(e.cast("long"), 32) + F.lit(MARK))
+    marks = F.transform(inner, lambda e: F.shiftleft(e.cast("long"), 32) + F.lit(MARK))
     return F.sort_array(F.concat(tokens, marks))
 
 
@@ -270,9 +270,10 @@ def aligned(tokens: DataFrame) -> DataFrame:
     own = ["a_tokens", "a_ends", "b_tokens", "b_ends"]
     rest = [c for c in tokens.columns if c.lower() not in {*own, *ADDED}]
     held = tokens.select(F.struct(*[tokens[c] for c in rest], F.lit(0).alias("_")).alias("row"), *own)
-    step = _then(held, common=F.array_intersect("a_ends", "b_ends"))
+    # columns of their own: inside a higher-order function's argument they would be interpreted, with boxed integers
+    step = _then(held, common=F.array_intersect("a_ends", "b_ends"), a_inner=F.array_except("a_ends", "b_ends"), b_inner=F.array_except("b_ends", "a_ends"))
     sizes = [F.size(c).cast("long").alias(n) for n, c in (("n_a", "a_tokens"), ("n_b", "b_tokens"), ("n_groups", "common"))]
-    step = _then(step, a=_sorted("a_tokens", "a_ends"), b=_sorted("b_tokens", "b_ends")).select("row", *sizes, "a", "b")
+    step = _then(step, a=_sorted("a_tokens", "a_inner"), b=_sorted("b_tokens", "b_inner")).select("row", *sizes, "a", "b")
     step = _then(step, a_parts=_parts("a"), b_parts=_parts("b"))
     groups = F.zip_with("a_parts", "b_parts", lambda a, b: F.concat(a, F.lit("|"), b))
     done = step.withColumn("groups", F.when(F.col("n_groups") > 0, groups).otherwise(F.array().cast("array<string>")))
